@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quotes, rules
+from . import archives, mixing, packing, quotes, rules, simhash
 from .common import table
 
 
@@ -15,17 +15,30 @@ def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archives.convert_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+
+
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.rule_report(table(spark, sf_dir, "documents"))
     return out.drop("posterior")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pareto_mixing, op7_quotation_linking, op10_weak_supervision)}
+    return {f.__name__: f for f in (op2_pareto_mixing, op3_simhash_trie, op5_concatenate_and_cut, op7_quotation_linking, op9_arc_to_warc, op10_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
