@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, mixing, packing, quotes, rules, simhash
+from . import archives, mixing, packing, quotes, rules, simhash, suffixes
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pareto_mixing, op3_simhash_trie, op5_concatenate_and_cut, op7_quotation_linking, op9_arc_to_warc, op10_weak_supervision)}
+    return {f.__name__: f for f in (op2_pareto_mixing, op3_simhash_trie, op4_bwt_merge, op5_concatenate_and_cut, op7_quotation_linking, op9_arc_to_warc, op10_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
