@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, mixing, packing, quotes, rules, simhash, suffixes
+from . import ann, archives, mixing, packing, quality, quotes, rules, simhash, suffixes, urls
 from .common import table
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -28,10 +32,18 @@ def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op8_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archives.convert_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
@@ -43,7 +55,11 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pareto_mixing, op3_simhash_trie, op4_bwt_merge, op5_concatenate_and_cut, op7_quotation_linking, op9_arc_to_warc, op10_weak_supervision)}
+    found = (
+        op1_permutation_index, op2_pareto_mixing, op3_simhash_trie, op4_bwt_merge, op5_concatenate_and_cut, op6_quadratic_discriminant,
+        op7_quotation_linking, op8_association_rules, op9_arc_to_warc, op10_weak_supervision,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
