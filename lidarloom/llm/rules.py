@@ -138,3 +138,11 @@ def rule_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     slim = stored(base_statistics(docs.select("doc_id", "text")).drop("text")).withColumn("votes", F.array(*rules.values()))
     out = decided(slim, slim, len(rules), threshold)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior"))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that weak_supervision() keeps, with docs' own columns as they were. Texts are judged once."""
+    rules = votes()
+    d = docs.select(F.struct("*").alias("__row"), F.col("text").cast("string").alias("text"))
+    d = stored(base_statistics(d).drop("text")).withColumn("votes", F.array(*rules.values()))
+    return decided(d, d, len(rules), threshold).filter("kept").select("__row.*")

@@ -588,3 +588,14 @@ def removed(docs: DataFrame, with_text: bool) -> DataFrame:
         spans = spans.union(stored(merge_transforms(strings, shelves)))
     out = cut_texts(texts, spans.select("grp", "blob"), with_text)
     return out.withColumn("doc_id", F.when(F.col("doc") != int(NO_ID), F.col("doc")))
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the texts that remove_repeats() leaves, n_chars (if there) counted anew, all else as it was. Null texts
+    stay null."""
+    d = stored(numbered(docs.select(F.struct("*").alias("__row"), "doc_id", F.col("text").cast("string").alias("text"))))
+    kept = removed(d, True).select("doc", "dup", "kept")
+    out = d.drop("text", "doc_id").withColumn("__null", F.col("__row.text").isNull()).join(kept, ["doc", "dup"])
+    text = F.when(~F.col("__null"), F.col("kept"))
+    own = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
+    return out.select(*[own.get(c, F.col(f"__row.`{c}`").alias(c)) for c in docs.columns])
