@@ -101,35 +101,40 @@ def integrate_segment(start, state, samples, times, gravity=9.80665, orientation
     return out
 
 
-POSES = "drive_id string, scan_id long, stamp_ns long, px double, py double, pz double, qw double, qx double, qy double, qz double"
+POSES = "drive_id {drive}, scan_id {scan}, stamp_ns long, px double, py double, pz double, qw double, qx double, qy double, qz double"
 
 
 def integrate_imu(starts: DataFrame, requests: DataFrame, imu: DataFrame, gravity: float = 9.80665, orientation_base: str = "earlier") -> DataFrame:
     """starts (drive_id, scan_id, start_ns, px..qz, vx..vz), requests (drive_id, scan_id, stamp_ns), corrected imu ->
     a pose for each requested time that the samples reach.
 
-    Segments of a few dozen samples are folded each on its own, all scans in parallel.
+    Segments of a few dozen samples are folded each on its own; a group holds the scans that start in one minute of a
+    drive.
     """
     ends = requests.groupBy(*SCAN).agg(F.max("stamp_ns").alias("end_ns"))
+    kinds = dict(starts.dtypes)
+    schema = POSES.format(drive=kinds["drive_id"], scan=kinds["scan_id"])
     spans = starts.select("drive_id", "scan_id", "start_ns").join(ends, list(SCAN))
-    samples = imu_time_range_join(spans, imu).select(*SCAN, "start_ns", "stamp_ns", "wx", "wy", "wz", "ax", "ay", "az")
-    wanted = requests.select(*SCAN, "stamp_ns").distinct().join(starts, list(SCAN)).select(*SCAN, "stamp_ns", "start_ns", *STATE)
+    minute = F.floor(F.col("start_ns") / BUCKET_NS).cast("long").alias("__b")
+    samples = imu_time_range_join(spans, imu).select(*SCAN, minute, "stamp_ns", "wx", "wy", "wz", "ax", "ay", "az")
+    wanted = requests.select(*SCAN, "stamp_ns").distinct().join(starts, list(SCAN)).select(*SCAN, minute, "stamp_ns", "start_ns", *STATE)
 
     def fold(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in POSES.split(", ")]
-        if not len(own) or not len(asked):
-            return pd.DataFrame(columns=names).astype({"scan_id": "int64", "stamp_ns": "int64"} | {c: "float64" for c in names[3:]})
-        asked, own = asked.sort_values("stamp_ns"), own.sort_values("stamp_ns")
-        zero = int(asked["start_ns"].iloc[0])  # seconds from the start: differences stay exact
-        first = asked.iloc[0]
-        state = (tuple(first[["px", "py", "pz"]]), tuple(first[["qw", "qx", "qy", "qz"]]), tuple(first[["vx", "vy", "vz"]]))
-        sec = lambda c: ((c.to_numpy(np.int64) - zero) / 1e9).tolist()
-        series = list(zip(sec(own["stamp_ns"]), zip(own["wx"], own["wy"], own["wz"], strict=True), zip(own["ax"], own["ay"], own["az"], strict=True), strict=True))
-        found = integrate_segment(0.0, state, series, sec(asked["stamp_ns"]), gravity, orientation_base)
-        rows = [(first["drive_id"], first["scan_id"], t, *p, *q) for t, (p, q) in zip(asked["stamp_ns"], found, strict=False)]
-        return pd.DataFrame(rows, columns=names)
-
-    return samples.groupBy(*SCAN).cogroup(wanted.groupBy(*SCAN)).applyInPandas(fold, POSES)
+        rows = []
+        segments = {k: v for k, v in own.sort_values("stamp_ns").groupby("scan_id")}
+        for scan, times in asked.sort_values("stamp_ns").groupby("scan_id"):
+            if (seg := segments.get(scan)) is None:
+                continue
+            first = times.iloc[0].to_dict()
+            state = tuple(tuple(first[c] for c in part) for part in (STATE[:3], STATE[3:7], STATE[7:]))
+            sec = lambda c, zero=int(first["start_ns"]): ((c.to_numpy(np.int64) - zero) / 1e9).tolist()  # noqa: E731  from the start: differences stay exact
+            v = seg[["wx", "wy", "wz", "ax", "ay", "az"]].to_numpy().tolist()
+            series = [(t, x[:3], x[3:]) for t, x in zip(sec(seg["stamp_ns"]), v, strict=True)]
+            found = integrate_segment(0.0, state, series, sec(times["stamp_ns"]), gravity, orientation_base)
+            rows += [(first["drive_id"], scan, t, *p, *q) for t, (p, q) in zip(times["stamp_ns"].tolist(), found, strict=False)]
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in POSES.split(", ")])
+
+    return samples.groupBy("drive_id", "__b").cogroup(wanted.groupBy("drive_id", "__b")).applyInPandas(fold, schema)
 
 
 def scan_prior(starts: DataFrame, scans: DataFrame, imu: DataFrame, gravity: float = 9.80665) -> DataFrame:

@@ -44,11 +44,14 @@ def jerk(imu: DataFrame, gravity: float = 9.80665) -> DataFrame:
 
 
 def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100) -> DataFrame:
-    """rate: 1 / gap, and trailing_rate: the mean of the last `last` rates; the first row of a drive has none."""
+    """rate: 1 / gap, and trailing_rate: the mean of the last `last` rates; the first row of a drive has none. Rates are
+    added up in whole micro-hertz, so that the mean doesn't depend on the order of addition."""
     order = in_drive(stamp)
     gap = (F.col(stamp) - F.lag(stamp).over(order)) / NS
     out = df.withColumn("rate", F.when(gap > 0, 1.0 / gap))
-    return out.withColumn("trailing_rate", F.avg("rate").over(order.rowsBetween(-(last - 1), 0)))
+    frame = order.rowsBetween(-(last - 1), 0)
+    total = F.sum(F.round(F.col("rate") * 1e6).cast("bigint")).over(frame)
+    return out.withColumn("trailing_rate", total / F.count("rate").over(frame) / 1e6)
 
 
 def elapsed_time(scans: DataFrame, stamp: str = "scan_stamp_ns") -> DataFrame:
@@ -137,7 +140,7 @@ def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alph
     """name: y = (1 - alpha) * y_before + alpha * x along `order`, seeded with the first x.
 
     The closed form of the recurrence is a weighted sum, but its weights under- and overflow on long drives; so each
-    drive's pairs (order, value), and nothing else of its rows, are folded in one task, in batches.
+    drive's pairs (order, value), and nothing else of its rows, are folded in one task.
     """
     import pandas as pd
 
@@ -145,7 +148,11 @@ def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alph
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "__tie"], kind="stable")
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "__tie": pdf["__tie"], name: pdf["__x"].ewm(alpha=alpha, adjust=False).mean()})
+        y, out = None, []
+        for x in pdf["__x"]:
+            y = x if y is None else (1 - alpha) * y + alpha * x
+            out.append(y)
+        return pd.DataFrame({key: pdf[key], order: pdf[order], "__tie": pdf["__tie"], name: out})
 
     tied = df.withColumn("__tie", F.monotonically_increasing_id()) if "scan_id" not in df.columns else df.withColumn("__tie", F.col("scan_id").cast("long"))
     folded = tied.select(key, order, "__tie", F.col(value).cast("double").alias("__x")).groupBy(key).applyInPandas(fold, state_schema)

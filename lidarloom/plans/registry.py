@@ -1,15 +1,517 @@
-"""Queries over the given tables and the SQL that gives the same rows."""
+"""Queries over the given tables and the SQL that gives the same rows.
+
+Values that are sums of floating-point numbers are returned as whole micro-units, since engines add in other orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import covariance, deskew, imu, keyframes, mapping, observer, points, registration, spatial, trajectory
+from ..params import Params
+from ..sources import tables
+from .inputs import oracle, read
+
+HOUR_NS = 3_600_000_000_000
+DAY_NS = 24 * HOUR_NS
+#: A mounting turned by a quarter about z, and half a metre forward.
+TURN, ARM = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [0.5, 0.0, 0.0]
+SCALE, ACCEL_BIAS, GYRO_BIAS = [1.01, 0.0, 0.0, 0.0, 0.99, 0.0, 0.0, 0.0, 1.0], [0.1, -0.2, 0.05], [0.01, 0.02, -0.01]
+RECORDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def micro(c: Column | str, name: str) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6).cast("bigint").alias(name)
+
+
+def query(sql: str | None = None):
+    """Registers a function of the reader of sensor tables as a query, with its oracle."""
+
+    def add(f):
+        RECORDED[f.__name__] = (lambda spark, sf_dir: f(partial(read, spark, sf_dir)), None if sql is None else oracle(sql))
+        return f
+
+    return add
+
+
+def calibrations(imu_: DataFrame) -> DataFrame:
+    """A calibration row for each drive."""
+    lit = lambda v: F.array(*map(F.lit, v))
+    rows = imu_.select("drive_id").distinct()
+    return tables.load_calibration(rows.withColumns({"imu_r": lit(TURN), "imu_t": lit(ARM), "lidar_r": lit(TURN), "lidar_t": lit(ARM), "accel_sm": lit(SCALE), "accel_bias": lit(ACCEL_BIAS), "gyro_bias": lit(GYRO_BIAS)}))
+
+
+CROPPED = "SELECT * FROM points WHERE NOT (x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 AND z BETWEEN -1 AND 1)"
+MEDIANS = f"SELECT drive_id, scan_id, list_sort(list(sqrt(x * x + y * y)))[count(*) // 2 + 1] AS median_range FROM ({CROPPED}) GROUP BY ALL"
+
+
+@query(CROPPED)
+def crop_nan(t):
+    return points.clean_scan(t("points"))
+
+
+@query(f"""SELECT drive_id, scan_id, vx, vy, vz, n, sx / n / 1000000 AS x, sy / n / 1000000 AS y, sz / n / 1000000 AS z, si / n / 1000000 AS intensity FROM (
+    SELECT drive_id, scan_id, CAST(floor(x / 2) AS BIGINT) AS vx, CAST(floor(y / 2) AS BIGINT) AS vy, CAST(floor(z / 2) AS BIGINT) AS vz, count(*) AS n,
+        CAST(sum(CAST(round(x * 1000000) AS BIGINT)) AS BIGINT) AS sx, CAST(sum(CAST(round(y * 1000000) AS BIGINT)) AS BIGINT) AS sy,
+        CAST(sum(CAST(round(z * 1000000) AS BIGINT)) AS BIGINT) AS sz, CAST(sum(CAST(round(intensity * 1000000) AS BIGINT)) AS BIGINT) AS si
+    FROM ({CROPPED}) GROUP BY ALL)""")
+def voxel_grid(t):
+    return points.voxel_grid(points.clean_scan(t("points")), 2.0)
+
+
+@query(MEDIANS)
+def median_range(t):
+    return points.median_planar_range(points.clean_scan(t("points")))
+
+
+@query(f"""WITH RECURSIVE m AS ({MEDIANS}), o AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY scan_id) AS k FROM m),
+    r AS (SELECT drive_id, scan_id, median_range, k, median_range AS ema FROM o WHERE k = 1
+        UNION ALL SELECT o.drive_id, o.scan_id, o.median_range, o.k, (1e0 - 0.05e0) * r.ema + 0.05e0 * o.median_range FROM r JOIN o ON o.drive_id = r.drive_id AND o.k = r.k + 1)
+    SELECT drive_id, scan_id, median_range, ema FROM r""")
+def ema_range(t):
+    return imu.ema(points.median_planar_range(points.clean_scan(t("points"))), "median_range", "ema", "scan_id").select("drive_id", "scan_id", "median_range", "ema")
+
+
+@query("SELECT drive_id, scan_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY ALL")
+def bounding_box(t):
+    return points.bounding_box(t("points"))
+
+
+@query(f"SELECT * FROM ({CROPPED}) WHERE (drive_id, scan_id) IN (SELECT (drive_id, scan_id) FROM ({CROPPED}) GROUP BY drive_id, scan_id HAVING count(*) > 600)")
+def min_points_gate(t):
+    return points.min_points_gate(points.clean_scan(t("points")), 600)
+
+
+@query("""SELECT drive_id, scan_id, 0e0 * x + -1e0 * y + 0e0 * z + 0.5e0 AS x, 1e0 * x + 0e0 * y + 0e0 * z + 0e0 AS y, 0e0 * x + 0e0 * y + 1e0 * z + 0e0 AS z, intensity FROM points""")
+def transform_points(t):
+    p = t("points")
+    c = calibrations(p).select("drive_id", F.col("lidar_r").alias("r"), F.col("lidar_t").alias("t"))
+    return points.transform_points(p, c, ["drive_id"]).select("drive_id", "scan_id", "x", "y", "z", "intensity")
+
+
+@query("SELECT *, CASE WHEN gap = 0 THEN 1e0 / 200 ELSE gap END AS dt FROM (SELECT drive_id, event_id, stamp_ns, (stamp_ns - lag(stamp_ns) OVER (PARTITION BY drive_id ORDER BY stamp_ns)) / 1000000000e0 AS gap FROM imu)".replace("SELECT *,", "SELECT drive_id, event_id, stamp_ns,"))
+def imu_dt(t):
+    return imu.imu_dt(t("imu").select("drive_id", "event_id", "stamp_ns"))
+
+
+RATES = "SELECT drive_id, event_id, stamp_ns, CASE WHEN gap > 0 THEN 1e0 / gap END AS rate FROM (SELECT *, (stamp_ns - lag(stamp_ns) OVER (PARTITION BY drive_id ORDER BY stamp_ns)) / 1000000000e0 AS gap FROM imu)"
+
+
+@query(f"""SELECT drive_id, event_id, stamp_ns, CAST(sum(CAST(round(rate * 1000000) AS BIGINT)) OVER w AS BIGINT) / count(rate) OVER w / 1000000e0 AS trailing_rate FROM ({RATES})
+    WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
+def trailing_rate(t):
+    return imu.trailing_rate(t("imu").select("drive_id", "event_id", "stamp_ns")).drop("rate")
+
+
+@query("""SELECT drive_id, event_id, (wx - bx) / dt AS alpha_x, (wy - by_) / dt AS alpha_y, (wz - bz) / dt AS alpha_z,
+        bx + 0.5e0 * (wx - bx) AS mean_wx, by_ + 0.5e0 * (wy - by_) AS mean_wy, bz + 0.5e0 * (wz - bz) AS mean_wz FROM (
+    SELECT *, lag(wx) OVER w AS bx, lag(wy) OVER w AS by_, lag(wz) OVER w AS bz, (stamp_ns - lag(stamp_ns) OVER w) / 1000000000e0 AS dt FROM imu WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns))""")
+def angular_acceleration(t):
+    out = imu.angular_acceleration(imu.imu_dt(t("imu")))
+    return out.select("drive_id", "event_id", *[f"alpha_{c}" for c in "xyz"], *[f"mean_w{c}" for c in "xyz"])
+
+
+@query("""SELECT drive_id, event_id, (stamp_ns - first_value(stamp_ns) OVER w) / 1000000000e0 AS elapsed, (stamp_ns - lag(stamp_ns) OVER w) / 1000000000e0 AS scan_dt FROM imu
+    WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns)""")
+def elapsed_time(t):
+    return imu.elapsed_time(t("imu"), "stamp_ns").select("drive_id", "event_id", "elapsed", "scan_dt")
+
+
+MONTH = Params(imu_calib_time_s=30 * 86400.0)
+STILL = "SELECT * FROM (SELECT *, (stamp_ns - min(stamp_ns) OVER (PARTITION BY drive_id)) / 1000000000e0 AS age FROM imu) WHERE age < 2592000"
+MEANS = ", ".join(f"CAST(sum(CAST(round({c} * 1e6) AS BIGINT)) AS BIGINT) / count(*) / 1e6 AS mean_{c}" for c in ("wx", "wy", "wz", "ax", "ay", "az"))
+
+
+@query(f"""SELECT drive_id, n, mean_wx AS bg_x, mean_wy AS bg_y, mean_wz AS bg_z, CAST(round((mean_ax - mean_ax / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_x,
+        CAST(round((mean_ay - mean_ay / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_y, CAST(round((mean_az - mean_az / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_z FROM (
+    SELECT *, sqrt(mean_ax * mean_ax + mean_ay * mean_ay + mean_az * mean_az) AS size FROM (SELECT drive_id, count(*) AS n, {MEANS} FROM ({STILL}) GROUP BY drive_id))""")
+def imu_calibration(t):
+    c = imu.calibrate_imu(t("imu"), MONTH)
+    return c.select("drive_id", "n", *[F.get("gyro_bias", i).alias(f"bg_{a}") for i, a in enumerate("xyz")], *[micro(F.get("accel_bias", i), f"ba_{a}") for i, a in enumerate("xyz")])
+
+
+@query(f"SELECT drive_id, event_id, stamp_ns FROM ({STILL})")
+def calibration_window(t):
+    return imu.calibration_window(t("imu"), MONTH.imu_calib_time_s).select("drive_id", "event_id", "stamp_ns")
+
+
+@query("""SELECT drive_id, event_id, 1.01e0 * ax + 0e0 * ay + 0e0 * az - 0.1e0 AS ax, 0e0 * ax + 0.99e0 * ay + 0e0 * az - -0.2e0 AS ay, 0e0 * ax + 0e0 * ay + 1e0 * az - 0.05e0 AS az,
+    wx - 0.01e0 AS wx, wy - 0.02e0 AS wy, wz - -0.01e0 AS wz FROM imu""")
+def imu_correct(t):
+    i = t("imu")
+    return imu.correct_imu(i, calibrations(i)).select("drive_id", "event_id", "ax", "ay", "az", "wx", "wy", "wz")
+
+
+@query("""SELECT drive_id, event_id, CAST(round(u * 1e6) AS BIGINT) AS wx, CAST(round(v * 1e6) AS BIGINT) AS wy, CAST(round(w * 1e6) AS BIGINT) AS wz,
+        CAST(round((-ay + 0.5e0 * (v * v + w * w)) * 1e6) AS BIGINT) AS ax,
+        CAST(round((ax - 0.5e0 * dw - 0.5e0 * u * v) * 1e6) AS BIGINT) AS ay,
+        CAST(round((az + 0.5e0 * dv - 0.5e0 * u * w) * 1e6) AS BIGINT) AS az FROM (
+    SELECT *, -wy AS u, wx AS v, wz AS w, coalesce((wx - lag(wx) OVER o) / ((stamp_ns - lag(stamp_ns) OVER o) / 1e9), 0) AS dv,
+        coalesce((wz - lag(wz) OVER o) / ((stamp_ns - lag(stamp_ns) OVER o) / 1e9), 0) AS dw FROM imu WINDOW o AS (PARTITION BY drive_id ORDER BY stamp_ns))""")
+def imu_lever_arm(t):
+    i = t("imu")
+    out = imu.transform_imu(i, calibrations(i))
+    return out.select("drive_id", "event_id", *[micro(c, c) for c in ("wx", "wy", "wz", "ax", "ay", "az")])
+
+
+@query("SELECT drive_id, event_id, stamp_ns FROM (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns DESC) AS k FROM imu) WHERE k <= 20")
+def latest_samples(t):
+    return imu.latest_samples(t("imu").select("drive_id", "event_id", "stamp_ns"), 20)
+
+
+@query("""SELECT c.drive_id, c.event_id, v.event_id AS match_id, v.ax AS match_ax FROM (SELECT * FROM imu WHERE event_type = 'click') c
+    ASOF LEFT JOIN (SELECT * FROM imu WHERE event_type = 'view') v ON c.drive_id = v.drive_id AND c.stamp_ns >= v.stamp_ns""")
+def asof_pose(t):
+    i = t("imu")
+    out = deskew.asof_pose(i.filter("event_type = 'click'"), i.filter("event_type = 'view'"), 10 * DAY_NS, ("event_id",))
+    return out.select("drive_id", "event_id", F.col("pose.event_id").alias("match_id"), F.col("pose.ax").alias("match_ax"))
+
+
+@query("""SELECT i.drive_id, i.scan_id, s.event_id FROM (SELECT drive_id, event_id AS scan_id, stamp_ns AS s0, stamp_ns + 21600000000000 AS s1 FROM imu WHERE event_type = 'click') i
+    JOIN (SELECT *, lag(stamp_ns) OVER w AS before, lead(stamp_ns) OVER w AS after FROM imu WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns)) s
+    ON i.drive_id = s.drive_id AND (s.after IS NULL OR s.after >= i.s0) AND (s.before IS NULL OR s.before < i.s1)
+    QUALIFY min(s.stamp_ns) OVER (PARTITION BY i.drive_id, i.scan_id) < i.s0""")
+def imu_range(t):
+    i = t("imu")
+    spans = i.filter("event_type = 'click'").select("drive_id", F.col("event_id").alias("scan_id"), F.col("stamp_ns").alias("start_ns"), (F.col("stamp_ns") + 6 * HOUR_NS).alias("end_ns"))
+    return deskew.imu_time_range_join(spans, i, 10 * DAY_NS).select("drive_id", "scan_id", "event_id")
+
+
+@query("""SELECT drive_id, scan_id, stamp_ns AS median_stamp_ns FROM (SELECT *, row_number() OVER (PARTITION BY drive_id, scan_id ORDER BY stamp_ns) AS k, count(*) OVER (PARTITION BY drive_id, scan_id) AS n
+    FROM (SELECT DISTINCT drive_id, scan_id, stamp_ns FROM stamps)) WHERE k = n // 2 + 1""")
+def scan_median_stamp(t):
+    return points.scan_median_stamp(t("stamps"))
+
+
+@query("SELECT drive_id, scan_id, point_id, stamp_ns + (scan_stamp_ns - min(stamp_ns) OVER (PARTITION BY drive_id, scan_id)) AS stamp_ns FROM stamps")
+def time_offset(t):
+    return points.apply_time_offset(t("stamps")).select("drive_id", "scan_id", "point_id", "stamp_ns")
+
+
+@query("SELECT drive_id, scan_id, stamp_ns, count(*) AS n, min(point_id) AS first_point_id FROM stamps GROUP BY ALL")
+def distinct_stamps(t):
+    return points.distinct_stamps(t("stamps"))
+
+
+@query("""SELECT drive_id, scan_id, point_id, 'LIVOX' AS sensor, stamp_ns FROM stamps WHERE point_id % 2 = 0
+    UNION ALL SELECT drive_id, scan_id, point_id, 'VELODYNE', scan_stamp_ns + point_id * 1000 FROM stamps WHERE point_id % 2 = 1""")
+def sensor_times(t):
+    s = t("stamps")
+    livox = s.filter("point_id % 2 = 0").withColumn("timestamp", F.col("stamp_ns").cast("double")).drop("stamp_ns")
+    livox = points.normalize_point_time(points.detect_sensor(livox)).withColumn("stamp_ns", F.round(F.col("stamp_ns") / 1000).cast("bigint") * 1000)
+    velodyne = points.normalize_point_time(points.detect_sensor(s.filter("point_id % 2 = 1").withColumn("time", F.col("point_id") / 1e6).drop("stamp_ns")))
+    keep = ["drive_id", "scan_id", "point_id", "sensor", "stamp_ns"]
+    return livox.select(*keep).unionByName(velodyne.select(*keep))
+
+
+@query("SELECT s.drive_id, s.scan_id, s.scan_stamp_ns FROM (SELECT drive_id, scan_id, max(stamp_ns) AS scan_stamp_ns FROM stamps GROUP BY ALL) s WHERE scan_stamp_ns > (SELECT min(i.stamp_ns) FROM imu i WHERE i.drive_id = s.drive_id)")
+def first_valid_scan_gate(t):
+    scans = t("stamps").groupBy("drive_id", "scan_id").agg(F.max("stamp_ns").alias("scan_stamp_ns"))
+    return points.first_valid_scan_gate(scans, t("imu"))
+
+
+@query("SELECT drive_id, scan_id, width, height, n_points FROM (SELECT drive_id, scan_id, count(*) AS n_points, 2 AS height, count(*) // 2 AS width FROM points GROUP BY ALL) WHERE n_points = width * height")
+def complete_cloud_check(t):
+    p = t("points")
+    scans = p.groupBy("drive_id", "scan_id").agg(F.floor(F.count(F.lit(1)) / 2).cast("bigint").alias("width"), F.lit(2).alias("height"))
+    return points.complete_cloud_check(p, scans)
+
+
+PAIRS = "SELECT a.drive_id, a.scan_id, a.point_id AS left_id, b.point_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a JOIN cloud b ON a.scan_id = b.scan_id"
+KNN = "SELECT *, row_number() OVER (PARTITION BY scan_id, left_id ORDER BY d2, right_id) AS rank FROM ({0}) QUALIFY rank <= {1}"
+KNN8 = KNN.format(PAIRS, 8)
+
+
+@query(KNN8)
+def knn_3d(t):
+    return spatial.knn_join(t("cloud"), t("cloud"), 8, size=1.0)
+
+
+@query(f"SELECT * FROM ({PAIRS}) WHERE d2 < 2.25")
+def radius_3d(t):
+    return spatial.radius_join(t("cloud"), t("cloud"), 2.25)
+
+
+@query(f"SELECT drive_id, scan_id, left_id, CAST(list_sort(list({{'d2': d2, 'r': right_id}}))[1].r AS BIGINT) AS first_id, count(*) AS n FROM ({PAIRS}) WHERE d2 < 2.25 GROUP BY ALL")
+def radius_sorted(t):
+    out = spatial.sorted_radius(spatial.radius_join(t("cloud"), t("cloud"), 2.25))
+    return out.select("drive_id", "scan_id", "left_id", F.get("matches", 0)["right_id"].alias("first_id"), F.size("matches").cast("bigint").alias("n"))
+
+
+@query(f"SELECT drive_id, scan_id, left_id, max({{'d2': d2, 'r': right_id}}).r AS right_id, max(d2) AS d2 FROM ({PAIRS}) WHERE d2 < 2.25 GROUP BY ALL")
+def radius_farthest(t):
+    return spatial.farthest_match(spatial.radius_join(t("cloud"), t("cloud"), 2.25))
+
+
+@query(f"SELECT drive_id, scan_id, left_id, count(*) AS n, CAST(round(sum(d2) * 1e6) AS BIGINT) AS total FROM ({PAIRS}) WHERE d2 < 2.25 GROUP BY ALL")
+def radius_visitor(t):
+    pairs = spatial.radius_join(t("cloud"), t("cloud"), 2.25)
+    return spatial.visit_radius(pairs, lambda: [F.count(F.lit(1)).alias("n"), micro(F.sum("d2"), "total")])
+
+
+@query(KNN.format(f"""SELECT a.drive_id, a.scan_id, a.point_id AS left_id, b.point_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a JOIN cloud b
+    ON a.scan_id = b.scan_id AND abs(floor(a.x / 1.5e0) - floor(b.x / 1.5e0)) <= 1 AND abs(floor(a.y / 1.5e0) - floor(b.y / 1.5e0)) <= 1 AND abs(floor(a.z / 1.5e0) - floor(b.z / 1.5e0)) <= 1""", 8))
+def knn_approximate(t):
+    return spatial.approx_knn_join(t("cloud"), t("cloud"), 8, 1.5)
+
+
+ACROSS = "SELECT a.scan_id AS pair_id, a.point_id AS left_id, b.point_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a JOIN cloud b ON b.scan_id = a.scan_id + 1"
+NEAREST = f"SELECT * FROM ({ACROSS}) WHERE d2 < 1 QUALIFY row_number() OVER (PARTITION BY pair_id, left_id ORDER BY d2, right_id) = 1"
+
+
+def paired(t) -> tuple[DataFrame, DataFrame]:
+    """Label L as source against L + 1 as target, with unit covariances."""
+    unit = {"cxx": F.lit(1.0), "cxy": F.lit(0.0), "cxz": F.lit(0.0), "cyy": F.lit(1.0), "cyz": F.lit(0.0), "czz": F.lit(1.0)}
+    a, b = t("cloud").withColumn("pair_id", F.col("scan_id")), t("cloud").withColumn("pair_id", F.col("scan_id") - 1)
+    return a.withColumns(unit), b.withColumns(unit)
+
+
+@query(NEAREST)
+def nn_within(t):
+    a, b = paired(t)
+    return spatial.nn_within(a, b, 1.0, ["pair_id"])
+
+
+@query(KNN.format(PAIRS, 8).replace("SELECT *, row", "SELECT drive_id, scan_id, left_id, right_id, row").replace(PAIRS, f"{PAIRS} WHERE b.point_id % 3 <> 0"))
+def tombstone(t):
+    gone = t("cloud").filter("point_id % 3 = 0").select("point_id")
+    kept = spatial.tombstone(t("cloud"), gone, ["point_id"])
+    return spatial.knn_join(t("cloud"), kept, 8).drop("d2")
+
+
+@query(KNN8.replace("SELECT *, row", "SELECT drive_id, scan_id, left_id, right_id, row"))
+def knn_of_parts(t):
+    c = t("cloud")
+    even, odd = c.filter("point_id % 2 = 0"), c.filter("point_id % 2 = 1")
+    return spatial.merge_knn([spatial.knn_join(c, even, 8), spatial.knn_join(c, odd, 8)], 8).drop("d2")
+
+
+@query("""SELECT left_id, right_id, rank FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), b.vec_id) AS rank
+    FROM (SELECT * FROM embeddings WHERE vec_id < 100000) a, embeddings b) WHERE rank <= 5""")
+def knn_nd(t):
+    e = t.func(*t.args, "cloud").sparkSession.read.parquet(f"{t.args[1]}/embeddings.parquet")
+    return spatial.knn_nd(e, e, 5, "embedding", "vec_id").select("left_id", "right_id", "rank")
+
+
+@query(f"SELECT drive_id, scan_id, CAST(sum(s) AS BIGINT) / count(*) / 35 / 1e6 AS density FROM (SELECT drive_id, scan_id, left_id, CAST(sum(CASE WHEN rank > 1 THEN CAST(round(d2 * 1e6) AS BIGINT) ELSE 0 END) AS BIGINT) AS s FROM ({KNN8}) GROUP BY ALL) GROUP BY drive_id, scan_id")
+def knn_density(t):
+    return covariance.knn_density(spatial.knn_join(t("cloud"), t("cloud"), 8), 8)
+
+
+COV = ", ".join(f"CAST(round(covar_pop(b.{a}, b.{b}) * 1e6) AS BIGINT) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query(f"SELECT k.drive_id, k.scan_id, k.left_id AS point_id, count(*) AS n, {COV} FROM ({KNN8}) k JOIN cloud b ON k.scan_id = b.scan_id AND k.right_id = b.point_id GROUP BY ALL")
+def local_cov_raw(t):
+    c = t("cloud")
+    out = covariance.local_covariance(spatial.knn_join(c, c, 8), c, "NONE")
+    return out.select("drive_id", "scan_id", "point_id", "n", *[micro(x, x) for x in covariance.COVS])
+
+
+@query(f"SELECT k.drive_id, k.scan_id, k.left_id AS point_id, count(*) AS n, CAST(2001 AS BIGINT) AS trace FROM ({KNN8}) k GROUP BY ALL")
+def local_cov_plane(t):
+    c = t("cloud")
+    out = covariance.local_covariance(spatial.knn_join(c, c, 8), c, "PLANE")
+    return out.select("drive_id", "scan_id", "point_id", "n", F.round((F.col("cxx") + F.col("cyy") + F.col("czz")) * 1000).cast("bigint").alias("trace"))
+
+
+@query(f"""SELECT m.pair_id, count(*) AS n_matches, CAST(round(sum(0.5e0 * m.d2) * 1e6) AS BIGINT) AS error, CAST(round(sum(0.5e0 * a.x * a.x) * 1e6) AS BIGINT) AS g_xx,
+    CAST(round(sum(0.5e0 * a.x * b.y) * 1e6) AS BIGINT) AS h_xy FROM ({NEAREST}) m JOIN cloud a ON a.point_id = m.left_id JOIN cloud b ON b.point_id = m.right_id GROUP BY ALL""")
+def normal_eq_sums(t):
+    a, b = paired(t)
+    state = registration.start_state(a, None, "int")
+    m = registration.correspondences(a, b, state, 1.0)
+    sums = registration.normal_equations(m).select("pair_id", "n_matches", micro("g_00_00", "g_xx"), micro("h_0_1", "h_xy"))
+    error = registration.registration_error(a, b, state, 1.0).select("pair_id", micro("error", "error"))
+    return sums.join(error, "pair_id")
+
+
+@query()
+def register_pairs(t):
+    a, b = paired(t)
+    return registration.register(a, b, distance=1.0).select("pair_id", "converged", "iterations", "n_matches", "error", "r", "t")
+
+
+GAPS = """SELECT p.drive_id, p.pose_id, k.pose_id AS kf_id, sqrt((p.px - k.px) * (p.px - k.px) + (p.py - k.py) * (p.py - k.py) + (p.pz - k.pz) * (p.pz - k.pz)) AS distance
+    FROM (SELECT * FROM poses WHERE pose_id % 10 = 0) p JOIN (SELECT * FROM poses WHERE pose_id % 7 = 0) k USING (drive_id)"""
+
+
+def gaps(t) -> DataFrame:
+    p = t("poses")
+    k = p.filter("pose_id % 7 = 0").select("drive_id", F.col("pose_id").alias("kf_id"), "stamp_ns", "px", "py", "pz")
+    at = p.filter("pose_id % 10 = 0").withColumn("scan_id", F.col("pose_id"))
+    return keyframes.pose_distances(at, k, earlier_only=False).withColumnRenamed("scan_id", "pose_id")
+
+
+KF_SQL = f"SELECT drive_id, pose_id, kf_id FROM ({GAPS}) QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 10"
+
+
+@query(KF_SQL)
+def topk_ties(t):
+    return keyframes.top_k_with_ties(gaps(t), 10, "distance", ["drive_id", "pose_id"]).select("drive_id", "pose_id", "kf_id")
+
+
+@query(f"""{KF_SQL} UNION SELECT drive_id, pose_id, kf_id FROM ({GAPS}) WHERE kf_id % 2 = 0 QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 5
+    UNION SELECT drive_id, pose_id, kf_id FROM ({GAPS}) WHERE kf_id % 3 = 0 QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 5""")
+def submap_select(t):
+    d = gaps(t)
+    hull, concave = (d.filter(F.col("kf_id") % n == 0).select("drive_id", "kf_id").distinct() for n in (2, 3))
+    return keyframes.submap_select(d, hull, concave, 10, 5, 5, ["drive_id", "pose_id"])
+
+
+@query(f"""SELECT drive_id, pose_id, members, members IS DISTINCT FROM lag(members) OVER (PARTITION BY drive_id ORDER BY pose_id) AS changed FROM (
+    SELECT drive_id, pose_id, array_to_string(list_sort(list(DISTINCT kf_id)), ',') AS members FROM ({KF_SQL}) GROUP BY ALL)""")
+def submap_changed(t):
+    m = keyframes.submap_key(topk_ties(t), ["drive_id", "pose_id"])
+    return keyframes.submap_changed(m, "pose_id").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(f"SELECT drive_id, pose_id, min({{'d': distance, 'k': kf_id}}).k AS kf_id, min(distance) AS distance, count(*) FILTER (distance <= 1.5) AS n_nearby FROM ({GAPS}) GROUP BY ALL")
+def nearest_keyframe(t):
+    p = t("poses")
+    k = p.filter("pose_id % 7 = 0").withColumn("kf_id", F.col("pose_id"))
+    return keyframes.nearest_keyframe(p.filter("pose_id % 10 = 0"), k, 1.0)
+
+
+@query("""SELECT s.drive_id, s.pose_id, s.kf_id, p.px, p.py, p.pz FROM (""" + KF_SQL + """) s JOIN poses p ON s.drive_id = p.drive_id AND s.kf_id = p.pose_id""")
+def submap_assemble(t):
+    kf_points = t("poses").select("drive_id", F.col("pose_id").alias("kf_id"), "px", "py", "pz")
+    return keyframes.submap_assemble(topk_ties(t), kf_points, ["drive_id", "pose_id"])
+
+
+DIRECTIONS = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(keyframes.directions(64)))
+
+
+@query(f"""SELECT DISTINCT drive_id, kf_id FROM (SELECT p.drive_id, d.i, p.pose_id AS kf_id, row_number() OVER (PARTITION BY p.drive_id, d.i ORDER BY px * d.x + py * d.y + pz * d.z DESC, p.pose_id) AS k
+    FROM (SELECT *, count(*) OVER (PARTITION BY drive_id) AS n FROM poses) p, (VALUES {DIRECTIONS}) AS d(i, x, y, z) WHERE n >= 4) WHERE k = 1""")
+def convex_hull(t):
+    return keyframes.convex_hull_keyframes(t("poses").withColumn("kf_id", F.col("pose_id")), 64)
+
+
+@query()
+def concave_hull(t):
+    p = t("poses").withColumn("kf_id", F.col("pose_id")).withColumn("pz", (F.col("pose_id") % 31) / 10.0)
+    return keyframes.concave_hull_keyframes(p, 0.8)
+
+
+def attitudes(t) -> DataFrame:
+    """Poses with an attitude about z and a scan id."""
+    half = (F.col("pose_id") % 360) * 0.5 * 3.141592653589793 / 180
+    turn = {"qw": F.cos(half), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(half)}
+    return t("poses").withColumn("scan_id", F.col("pose_id").cast("long")).withColumns(turn)
+
+
+@query()
+def select_keyframes(t):
+    return keyframes.select_keyframes(attitudes(t), 1.0, 45.0)
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id) AS k FROM poses),
+    r AS (SELECT drive_id, pose_id, k, px AS ax, py AS ay, 0e0 AS length FROM o WHERE k = 1
+        UNION ALL SELECT o.drive_id, o.pose_id, o.k, CASE WHEN sqrt((o.px - r.ax) ** 2 + (o.py - r.ay) ** 2) >= 0.1 THEN o.px ELSE r.ax END,
+            CASE WHEN sqrt((o.px - r.ax) ** 2 + (o.py - r.ay) ** 2) >= 0.1 THEN o.py ELSE r.ay END,
+            r.length + CASE WHEN sqrt((o.px - r.ax) ** 2 + (o.py - r.ay) ** 2) >= 0.1 THEN sqrt((o.px - r.ax) ** 2 + (o.py - r.ay) ** 2) ELSE 0 END
+        FROM r JOIN o ON o.drive_id = r.drive_id AND o.k = r.k + 1)
+    SELECT drive_id, pose_id, CAST(round(length * 1e6) AS BIGINT) AS length FROM r""")
+def trajectory_length(t):
+    return trajectory.trajectory_length(t("poses"), 0.1, tie="pose_id").select("drive_id", "pose_id", micro("length", "length"))
+
+
+@query("""SELECT drive_id, pose_id AS scan_id, CAST(round(sum(px) OVER w * 1e6) AS BIGINT) AS px, CAST(round(sum(py) OVER w * 1e6) AS BIGINT) AS py FROM poses
+    WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns, pose_id ROWS UNBOUNDED PRECEDING)""")
+def chain_poses(t):
+    eye = F.array(*map(F.lit, registration.EYE))
+    steps = t("poses").select("drive_id", F.col("pose_id").cast("long").alias("scan_id"), "stamp_ns", eye.alias("r"), F.array("px", "py", "pz").alias("t"))
+    return trajectory.chain_poses(steps, 3650 * DAY_NS).select("drive_id", "scan_id", micro("px", "px"), micro("py", "py"))
+
+
+@query("""SELECT drive_id, pose_id AS scan_id, e.parent AS parent, e.child AS child, e.tx AS tx FROM (SELECT drive_id, pose_id, unnest([{'parent': 'odom', 'child': 'base_link', 'tx': px},
+    {'parent': 'base_link', 'child': 'imu', 'tx': 0.5e0}, {'parent': 'base_link', 'child': 'lidar', 'tx': 0.5e0}]) AS e FROM poses)""")
+def frames(t):
+    p = attitudes(t)
+    return trajectory.frames(p, calibrations(p)).select("drive_id", "scan_id", "parent", "child", "tx")
+
+
+@query("""SELECT drive_id, count(*) AS n_scans, max(px) AS max_comp_time, count(*) FILTER (pose_id % 7 = 0) AS n_keyframes, CAST(sum(pose_id % 5) AS BIGINT) AS n_deskew_stamps FROM poses GROUP BY drive_id""")
+def run_statistics(t):
+    p = t("poses").withColumns({"comp_time": F.col("px"), "rate": F.col("py"), "is_keyframe": F.col("pose_id") % 7 == 0, "deskew_stamps": (F.col("pose_id") % 5).cast("bigint"), "scan_stamp_ns": F.col("stamp_ns")})
+    return trajectory.run_statistics(p).select("drive_id", "n_scans", "max_comp_time", "n_keyframes", "n_deskew_stamps")
+
+
+@query(f"""SELECT drive_id, scan_id, greatest(0.5, least(5.0, median_range)) AS keyframe_thresh, CASE WHEN greatest(0.5, least(5.0, median_range)) < 5 THEN 0.25 ELSE greatest(0.25, least(1.0, median_range / 20)) END AS max_corr FROM ({MEDIANS})""")
+def adaptive_params(t):
+    m = median_range(t).withColumns({"spaciousness": F.col("median_range"), "density": F.col("median_range") / 20})
+    return keyframes.adaptive_params(m).select("drive_id", "scan_id", "keyframe_thresh", "max_corr")
+
+
+@query("SELECT drive_id, scan_id, x, y, z, intensity FROM points WHERE scan_id % 2 = 0 UNION ALL SELECT drive_id, scan_id, x, y, z, intensity FROM points WHERE scan_id % 2 = 1")
+def map_union(t):
+    p = t("points")
+    return p.filter("scan_id % 2 = 0").unionByName(p.filter("scan_id % 2 = 1"))
+
+
+VOXELS = ", ".join(f"CAST(floor({c} / 4) AS BIGINT) AS v{c}" for c in "xyz")
+
+
+@query(f"SELECT drive_id, {VOXELS}, count(*) AS n, CAST(sum(CAST(round(x * 1000000) AS BIGINT)) AS BIGINT) AS sum_x_um FROM points GROUP BY ALL")
+def map_merge(t):
+    p = t("points")
+    parts = [mapping.map_voxels(p.filter(F.col("scan_id") % 3 == i), 4.0) for i in range(3)]
+    return mapping.merge_voxels(*parts).select("drive_id", "vx", "vy", "vz", "n", "sum_x_um")
+
+
+@query("SELECT drive_id, count(*) AS n FROM (SELECT drive_id, scan_id, CAST(floor(x / 4) AS BIGINT) AS a, CAST(floor(y / 4) AS BIGINT) AS b, CAST(floor(z / 4) AS BIGINT) AS c FROM points GROUP BY ALL) GROUP BY drive_id")
+def map_append(t):
+    p = t("points").withColumn("kf_id", F.col("scan_id"))
+    out = mapping.map_append(mapping.map_append(None, p.filter("scan_id % 2 = 0"), 4.0), p.filter("scan_id % 2 = 1"), 4.0)
+    return out.groupBy("drive_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paced(t) -> DataFrame:
+    """IMU rows at 100 Hz in the order of their events: the table's own gaps are hours, which no integration bears."""
+    from .ordered import ordinal
+
+    i = ordinal(t("imu"), ["drive_id"], "stamp_ns", 10 * DAY_NS, ["event_id"], "n")
+    return i.withColumn("stamp_ns", F.col("n") * 10_000_000).drop("n", "event_type")
+
+
+def scan_starts(t) -> DataFrame:
+    """A scan for each tenth sample, over the 80 ms that follow, from the origin at rest."""
+    at_rest = {"px": 0.0, "py": 0.0, "pz": 0.0, "qw": 1.0, "qx": 0.0, "qy": 0.0, "qz": 0.0, "vx": 0.0, "vy": 0.0, "vz": 0.0}
+    s = paced(t).filter(F.col("stamp_ns") % 100_000_000 == 0).select("drive_id", F.col("event_id").cast("long").alias("scan_id"), (F.col("stamp_ns") + 5_000_000).alias("start_ns"))
+    return s.withColumns({k: F.lit(v) for k, v in at_rest.items()})
+
+
+@query()
+def integrate_imu(t):
+    s = scan_starts(t)
+    asked = s.select("drive_id", "scan_id", F.explode(F.array(*[F.col("start_ns") + k * 20_000_000 for k in range(4)])).alias("stamp_ns"))
+    return deskew.integrate_imu(s, asked, paced(t))
+
+
+@query()
+def deskew_points(t):
+    s = scan_starts(t)
+    p = s.select("drive_id", "scan_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "start_ns")
+    p = p.select("drive_id", "scan_id", F.col("k").cast("long").alias("point_id"), F.col("start_ns").alias("scan_stamp_ns"), (F.col("start_ns") + F.col("k") * 10_000_000).alias("stamp_ns"), *[((F.col("scan_id") + F.col("k")) % m * 1.0).alias(c) for c, m in zip("xyz", (17, 13, 5), strict=True)], F.lit(1.0).alias("intensity"))
+    i = paced(t)
+    return deskew.deskew(p, i, s, calibrations(i))
+
 
-from pyspark.sql import DataFrame, SparkSession
+@query()
+def observe(t):
+    i = paced(t)
+    poses = i.filter(F.col("stamp_ns") % 100_000_000 == 0).select("drive_id", "stamp_ns", *[F.lit(0.0).alias(c) for c in ("px", "py", "pz")], F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")])
+    return observer.observe(i, poses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in RECORDED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in RECORDED.items() if sql is not None}
