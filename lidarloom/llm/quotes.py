@@ -32,7 +32,7 @@ def passages(messages: DataFrame) -> DataFrame:
 def unquoted(text: Column) -> Column:
     """The writer's own lines, joined again; a blank run where quotes stood becomes one empty line at most."""
     own = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n", -1), lambda x: level(x) == 0)
-    return F.trim(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
