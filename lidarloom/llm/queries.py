@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, archives, mixing, packing, quality, quotes, rules, simhash, suffixes, urls
+from . import ann, archives, mixing, oracles, packing, quality, quotes, rules, simhash, suffixes, urls
 from .common import table
 
 
@@ -46,7 +46,7 @@ def op8_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archives.convert_pages(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
