@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,61 +13,77 @@ from ..params import Params
 NAMES = ("px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz", "bax", "bay", "baz", "bgx", "bgy", "bgz")
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.concatenate([[a[0] * b[0] - a[1:] @ b[1:]], a[0] * b[1:] + b[0] * a[1:] + np.cross(a[1:], b[1:])])
+def product(a, b):
+    """Of two quaternions (w, x, y, z), as plain numbers: a fold takes one event at a time, so arrays would only cost."""
+    aw, ax, ay, az = a
+    bw, bx, by, bz = b
+    return (aw * bw - ax * bx - ay * by - az * bz, aw * bx + bw * ax + ay * bz - az * by, aw * by + bw * ay + az * bx - ax * bz, aw * bz + bw * az + ax * by - ay * bx)
 
 
-def turned(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    t = 2 * np.cross(q[1:], v)
-    return v + q[0] * t + np.cross(q[1:], t)
+def turned(q, v):
+    w, x, y, z = q
+    ux, uy, uz = v
+    tx, ty, tz = 2 * (y * uz - z * uy), 2 * (z * ux - x * uz), 2 * (x * uy - y * ux)
+    return (ux + w * tx + y * tz - z * ty, uy + w * ty + z * tx - x * tz, uz + w * tz + x * ty - y * tx)
 
 
-def conjugate(q: np.ndarray) -> np.ndarray:
-    return q * np.array([1, -1, -1, -1])
+def conjugate(q):
+    return (q[0], -q[1], -q[2], -q[3])
 
 
-def zeros() -> np.ndarray:
-    return np.zeros(3)
+def unit(q):
+    n = sum(x * x for x in q) ** 0.5
+    return tuple(x / n for x in q)
+
+
+def plus(a, b, k: float = 1.0):
+    return tuple(x + k * y for x, y in zip(a, b, strict=True))
+
+
+def held(v, most: float):
+    return tuple(min(max(x, -most), most) for x in v)
+
+
+ZERO = (0.0, 0.0, 0.0)
 
 
 @dataclass
 class State:
-    p: np.ndarray = field(default_factory=zeros)
-    q: np.ndarray = field(default_factory=lambda: np.array([1.0, 0, 0, 0]))
-    v: np.ndarray = field(default_factory=zeros)
-    ba: np.ndarray = field(default_factory=zeros)
-    bg: np.ndarray = field(default_factory=zeros)
-    body_v: np.ndarray = field(default_factory=zeros)
-    body_w: np.ndarray = field(default_factory=zeros)
-
-    def propagate(self, w: np.ndarray, a: np.ndarray, dt: float, gravity: float) -> None:
+    p: tuple = ZERO
+    q: tuple = (1.0, 0.0, 0.0, 0.0)
+    v: tuple = ZERO
+    ba: tuple = ZERO
+    bg: tuple = ZERO
+    body_v: tuple = ZERO
+    body_w: tuple = ZERO
+
+    def propagate(self, w, a, dt: float, gravity: float) -> None:
         """One sample: world acceleration by the attitude before it, position and velocity, then the attitude."""
-        world = turned(self.q, a) - np.array([0, 0, gravity])
-        self.p = self.p + self.v * dt + world * dt * dt / 2
-        self.v = self.v + world * dt
+        x, y, z = turned(self.q, a)
+        world = (x, y, z - gravity)
+        self.p = plus(plus(self.p, self.v, dt), world, dt * dt / 2)
+        self.v = plus(self.v, world, dt)
         self.body_v = turned(conjugate(self.q), self.v)
-        q = self.q + dt / 2 * product(self.q, np.concatenate([[0.0], w]))
-        self.q, self.body_w = q / np.linalg.norm(q), w
+        self.q, self.body_w = unit(plus(self.q, product(self.q, (0.0, *w)), dt / 2)), tuple(w)
 
-    def observe(self, p: np.ndarray, q: np.ndarray, dt: float, k: Params) -> None:
+    def observe(self, p, q, dt: float, k: Params) -> None:
         """One measured pose: pulls the state and the biases towards it in proportion to the errors and to dt."""
         e = product(conjugate(self.q), q)
         side = -1.0 if e[0] < 0 else 1.0
-        pull = product(self.q, np.concatenate([[1 - abs(e[0])], side * e[1:]]))
-        err = p - self.p
-        self.ba = np.clip(self.ba - dt * k.k_ab * turned(conjugate(self.q), err), -k.abias_max, k.abias_max)
-        self.bg = np.clip(self.bg - dt * k.k_gb * e[0] * e[1:], -k.gbias_max, k.gbias_max)
-        self.p = self.p + dt * k.k_p * err
-        self.v = self.v + dt * k.k_v * err
-        q = self.q + dt * k.k_q * pull
-        self.q = q / np.linalg.norm(q)
+        pull = product(self.q, (1 - abs(e[0]), *(side * x for x in e[1:])))
+        err = plus(p, self.p, -1.0)
+        self.ba = held(plus(self.ba, turned(conjugate(self.q), err), -dt * k.k_ab), k.abias_max)
+        self.bg = held(plus(self.bg, e[1:], -dt * k.k_gb * e[0]), k.gbias_max)
+        self.p = plus(self.p, err, dt * k.k_p)
+        self.v = plus(self.v, err, dt * k.k_v)
+        self.q = unit(plus(self.q, pull, dt * k.k_q))
 
     def row(self) -> list[float]:
         return [*self.p, *self.q, *self.v, *self.ba, *self.bg]
 
     @staticmethod
     def of(values) -> State:
-        x = np.asarray(values, dtype=float)
+        x = tuple(map(float, values))
         return State(x[:3], x[3:7], x[7:10], x[10:13], x[13:16])
 
 
@@ -82,10 +97,10 @@ class Fold:
         self.k, self.state, self.last_imu, self.last_pose = params, state, last_imu, last_pose
 
     def take(self, stamp: int, kind: str, values) -> list[float] | None:
-        x = np.asarray(values, dtype=float)
+        x = tuple(map(float, values))
         if kind == "pose":
             if self.state is None:
-                self.state = State(p=x[:3], q=x[3:7] / np.linalg.norm(x[3:7]))
+                self.state = State(p=x[:3], q=unit(x[3:7]))
             else:
                 self.state.observe(x[:3], x[3:7], (stamp - self.last_pose) / 1e9, self.k)
             self.last_pose = stamp
@@ -95,7 +110,7 @@ class Fold:
             if self.state is None or gap is None:
                 return None
             dt = gap if gap else 1.0 / self.k.fallback_rate_hz
-            self.state.propagate(x[:3] - self.state.bg, x[3:6] - self.state.ba, dt, self.k.gravity)
+            self.state.propagate(plus(x[:3], self.state.bg, -1.0), plus(x[3:6], self.state.ba, -1.0), dt, self.k.gravity)
         return self.state.row()
 
 
