@@ -83,5 +83,23 @@ SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 """
 
 
+SUFFIXES = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+u AS (SELECT doc_id, n, unnest(range(0, n - 99, 400)) AS c, h FROM t WHERE n >= 100),
+v AS MATERIALIZED (SELECT doc_id, n, c, substr(h, 2 * c + 1, 998) AS piece FROM u),
+w AS (SELECT doc_id, c, unnest(range(0, least(400, n - 99 - c))) AS i, piece FROM v),
+k AS MATERIALIZED (SELECT doc_id, c + i AS p, md5_number(substr(piece, 2 * i + 1, 200)) AS s FROM w),
+f AS (SELECT s, min(doc_id * 4294967296 + p) AS first FROM k GROUP BY s HAVING count(*) > 1),
+g AS (SELECT k.doc_id, k.p, lag(k.p) OVER o AS before, lead(k.p) OVER o AS after FROM k JOIN f ON k.s = f.s WHERE k.doc_id * 4294967296 + k.p > f.first WINDOW o AS (PARTITION BY k.doc_id ORDER BY k.p)),
+r AS (SELECT doc_id, CAST(sum(least(100, coalesce(after - p, 100))) AS BIGINT) AS n_removed, CAST(count(*) FILTER (before IS NULL OR p - before > 100) AS BIGINT) AS n_spans FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, p AS a FROM g WHERE before IS NULL OR p - before > 100),
+z AS (SELECT doc_id, p + 100 AS b FROM g WHERE after IS NULL OR after - p > 100),
+c AS (SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS i FROM (SELECT doc_id, b FROM z UNION ALL SELECT doc_id, 0 FROM t)),
+d AS (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i FROM (SELECT doc_id, a FROM e UNION ALL SELECT doc_id, n FROM t)),
+x AS (SELECT c.doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY b) AS kept FROM c JOIN d ON c.doc_id = d.doc_id AND c.i = d.i JOIN t ON t.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN x ON t.doc_id = x.doc_id LEFT JOIN r ON r.doc_id = t.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mixing": mixing_sql(), "op9_arc_to_warc": ARCHIVES, "op10_weak_supervision": rules_sql()}
+    return {"op2_pareto_mixing": mixing_sql(), "op4_bwt_merge": SUFFIXES, "op9_arc_to_warc": ARCHIVES, "op10_weak_supervision": rules_sql()}
