@@ -9,6 +9,8 @@ from .common import stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
+#: Sources up to which tables with a row a source are broadcast; beyond it they are joined by shuffles.
+FEW = 10_000
 #: Slices of a source's rank order; only the slice that holds the cut is looked at row by row.
 SLICES = 4096
 
@@ -49,8 +51,8 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     A document's expected number of copies is target / source_size. Its whole part is allocated for certain; the rest
     is the inclusion probability p of a Pareto order sample: documents are ranked by random odds over inclusion odds,
     (u / (1 - u)) / (p / (1 - p)), and taken in that order until the source's rest is reached, so the sample's size
-    in words is fixed. Where the next document would overshoot, larger ones are passed over, and the last place goes
-    to the document that best fits what is still open. Documents stay whole.
+    in words is fixed. Where the next document would overshoot, the last place goes to the document, of all that are
+    left, whose size is nearest to what is still open, if taking it brings the sum nearer. Documents stay whole.
 
     Null text: size 0, nothing to take. Null source: a source of its own, last in order. Empty table: no rows. Rows
     with the same doc_id draw the same number and rank in order of size; equal ranks fall to the smaller id. Other
@@ -69,19 +71,22 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     plan = plan.withColumn("p", F.greatest(expected - F.col("sure"), F.lit(0.0)))
     plan = stored(plan.withColumn("need", F.greatest(F.round(F.col("target") - F.col("sure") * F.col("source_size")).cast("long"), F.lit(0))))
 
+    few = plan.count() <= FEW
+    small = lambda df: F.broadcast(df) if few else df
+
     # within a source p is the same, so random odds over inclusion odds rank as u does; slices of u are summed first
     in_source = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         by_slice.withColumn("before", F.coalesce(F.sum("words").over(in_source), F.lit(0)))
         .withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
         .join(keyed(plan).select("source_key", "need"), "source_key")
-        .filter((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") > F.col("need")) & (F.col("need") > 0))
+        .filter((F.col("before") <= F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")) & (F.col("need") > 0))
         .groupBy("source_key")
         .agg(F.min_by(F.struct("slice", "before", "need"), "slice").alias("c"))
         .select("source_key", F.col("c.slice").alias("cut_slice"), F.col("c.before").alias("cut_before"), "c.need")
     )
     d = keyed(d)
-    inside = d.join(cut, "source_key").filter(F.col("slice") == F.col("cut_slice")).filter("size > 0")
+    inside = d.join(small(cut), "source_key").filter(F.col("slice") == F.col("cut_slice")).filter("size > 0")
     odds = (F.col("u") / (1 - F.col("u"))).alias("odds")
     in_cut = Window.partitionBy("source_key").orderBy("odds", "size", "doc_id")
     inside = inside.withColumn("odds", odds).withColumn("upto", F.col("cut_before") + F.sum("size").over(in_cut.rowsBetween(Window.unboundedPreceding, 0)))
@@ -97,7 +102,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
         )
         .select("source_key", "cut_slice", F.col("at.u").alias("at_u"), F.col("at.size").alias("at_size"), F.col("at.doc_id").alias("at_id"), (F.col("need") - F.coalesce(F.col("at.upto"), F.col("cut_before"))).alias("open"))
     )
-    chosen = taken_upto(d, last, plan).withColumns({"gap": F.abs(F.col("size") - F.col("open")), "late": F.col("u")})
+    chosen = taken_upto(d, small(last), small(keyed(plan))).withColumns({"gap": F.abs(F.col("size") - F.col("open")), "late": F.col("u")})
     # one document more where that brings the sum nearer: the best fit among all that the sample has not taken
     fit = (
         chosen.filter((F.col("extra") == 0) & (F.col("open") > 0) & (F.col("size") > 0) & (F.col("gap") < F.col("open")) & (F.col("p") > 0))
@@ -105,7 +110,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
         .agg(F.min(F.struct("gap", "u", "size", "doc_id")).alias("fit"))
         .select("source_key", F.col("fit.u").alias("fit_u"), F.col("fit.size").alias("fit_size"), F.col("fit.doc_id").alias("fit_id"))
     )
-    out = chosen.join(fit, "source_key", "left")
+    out = chosen.join(small(fit), "source_key", "left")
     is_fit = (F.col("u") == F.col("fit_u")) & (F.col("size") == F.col("fit_size")) & F.col("doc_id").eqNullSafe(F.col("fit_id"))
     copies = F.when(F.col("size") > 0, F.col("sure") + F.greatest(F.col("extra"), F.coalesce(is_fit.cast("int"), F.lit(0)))).otherwise(0)
     copies = F.least(copies, F.lit(max_copies))
@@ -119,7 +124,7 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def taken_upto(d: DataFrame, last: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds extra: 1 for documents that rank before their source's cut, or at it."""
-    p = keyed(plan).select("source_key", "source_size", "target", "sure", "p", "need")
+    p = plan.select("source_key", "source_size", "target", "sure", "p", "need")
     out = d.join(p, "source_key").join(last, "source_key", "left")
     at = F.struct(F.col("u"), F.col("size"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
     upto = F.struct(F.col("at_u"), F.col("at_size"), F.coalesce(F.col("at_id"), F.lit(-(2**63))))
