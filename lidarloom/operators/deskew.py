@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..plans.ordered import asof, ordinal
+from ..session import stored
 from .points import SCAN, distinct_stamps, scan_median_stamp
 
 #: Width of a time bucket of the ordered plans, in nanoseconds: some 12,000 samples at 200 Hz.
@@ -21,10 +22,10 @@ def imu_time_range_join(intervals: DataFrame, imu: DataFrame, width: int = BUCKE
     strictly before the start to the oldest one not before the end (or the last there is). Intervals without a sample
     before the start have no rows.
 
-    Samples are numbered; two as-of joins find the first and last number, so the join is by number, an equality, and
+    Samples are numbered, and written once with their numbers, since four branches read them; two as-of joins find the first and last number, so the join is by number, an equality, and
     makes exactly the rows it returns.
     """
-    s = ordinal(imu, ["drive_id"], "stamp_ns", width, [c for c in ("event_id",) if c in imu.columns], "__n")
+    s = stored(ordinal(imu, ["drive_id"], "stamp_ns", width, [c for c in ("event_id",) if c in imu.columns], "__n"))
     slim = s.select("drive_id", "stamp_ns", "__n")
     newest = slim.groupBy("drive_id").agg(F.max("__n").alias("__most"))
     i = intervals.select("drive_id", "scan_id", "start_ns", "end_ns")
