@@ -15,6 +15,8 @@ from .common import stored
 
 SEQUENCE = 1024
 SEPARATOR = 0
+#: Partitions up to which their totals are broadcast (16 bytes each); beyond it tokens are shuffled to them.
+FEW_PARTS = 200_000
 #: What the vocabulary's byte-level BPE splits a text by before it merges; a fixed value.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -113,5 +115,6 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, sep
     totals = t.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("base"))
-    placed = t.join(base, "part").withColumn("first", F.col("base") + F.col("at"))
+    few = totals.count() <= FEW_PARTS
+    placed = t.join(F.broadcast(base) if few else base, "part").withColumn("first", F.col("base") + F.col("at"))
     return cut(placed, sequence).withColumn("doc_id", F.col("doc_id").cast(kind))
