@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,44 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that the stage now running has stored, and those of the stage before it.
+_OPEN: list[str] | None = None
+_LAST: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back; cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN is not None:
+        _OPEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def staged(stage):
+    """A stage of a pipeline whose result is written before the next stage starts: when that one starts, the tables
+    that this one stored are deleted, so only one stage's are there at a time."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _OPEN, _LAST
+        drop(spark, _LAST)
+        _OPEN, _LAST = [], []
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _OPEN, _LAST = None, _OPEN
+
+    return run
+
+
+def keep_tables() -> None:
+    """The last stage's tables stay for good: its result is still to be read."""
+    global _LAST
+    _LAST = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS,
 def keep_one(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id (null last), and of rows that share it
     any one. Columns stay as they were."""
-    d = stored(docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__uid")))
-    groups = near_duplicates(d.select(F.col("__uid").alias("doc_id"), F.col("__text").alias("text")), size, errors)
-    named = d.select("__uid", "__id").join(groups.select(F.col("doc_id").alias("__uid"), "component_id"), "__uid")
+    d = stored(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__uid")))
+    groups = near_duplicates(d.select(F.col("__uid").alias("doc_id"), F.col("__row.text").alias("text")), size, errors)
+    named = d.select("__uid", F.col("__row.doc_id").alias("__id")).join(groups.select(F.col("doc_id").alias("__uid"), "component_id"), "__uid")
     stay = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__uid"))["__uid"].alias("__uid"))
     return d.join(stay.select("__uid"), "__uid", "left_semi").select("__row.*")

@@ -593,9 +593,13 @@ def removed(docs: DataFrame, with_text: bool) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with the texts that remove_repeats() leaves, n_chars (if there) counted anew, all else as it was. Null texts
     stay null."""
-    d = stored(numbered(docs.select(F.struct("*").alias("__row"), "doc_id", F.col("text").cast("string").alias("text"))))
+    others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    d = numbered(docs.select(others.alias("__row"), "doc_id", F.col("text").cast("string").alias("text")))
     kept = removed(d, True).select("doc", "dup", "kept")
-    out = d.drop("text", "doc_id").withColumn("__null", F.col("__row.text").isNull()).join(kept, ["doc", "dup"])
+    # numbers are fixed by id and text, so both sides of the join agree; only what is left of the texts is shuffled
+    out = d.select("__row", "doc", "dup", F.col("text").isNull().alias("__null")).join(kept, ["doc", "dup"])
     text = F.when(~F.col("__null"), F.col("kept"))
-    own = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
-    return out.select(*[own.get(c, F.col(f"__row.`{c}`").alias(c)) for c in docs.columns])
+    own = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[own[c] if c in own else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
