@@ -15,20 +15,22 @@ SHRINK = 0.15
 RIDGE = 1e-3
 
 
+#: Words of plain prose that are added to every text before shares are taken, so that a short text is not judged by
+#: chance: their letters, capitals and stops.
+ADDED_WORDS, ADDED_CHARS, ADDED_CAPITALS, ADDED_STOPS = 10, 50, 1.5, 1.5
+
+
 def transformed() -> dict[str, Column]:
-    """Document statistics, by logarithms and roots nearer to normal; none looks at id, source or language."""
-    n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
-    share = lambda a, b: F.sqrt(F.col(a) / (b + 1))
+    """Document statistics, by roots, squares and logarithms nearer to normal; none looks at id, source or language."""
+    n, chars, lines = F.col("n_words") + ADDED_WORDS, F.col("word_chars") + ADDED_CHARS, F.col("n_lines") + 1
     return {
-        "x_words": F.log1p(n),
-        "x_word_length": F.log1p(chars / (n + 1)),
-        "x_line_length": F.log1p(n / (lines + 1)),
-        "x_symbols": share("n_symbols", n),
-        "x_capitals": share("n_capitals", chars),
-        "x_shouts": share("n_shouts", n),
-        "x_stops": share("n_stops", n),
-        "x_repeats": share("n_repeat_words", n),
-        "x_dup_lines": share("n_dup_lines", lines),
+        "x_word_length": F.log1p(chars / n),
+        "x_symbols": F.sqrt(F.col("n_symbols") / n),
+        "x_capitals": F.sqrt((F.col("n_capitals") + ADDED_CAPITALS) / chars),
+        "x_shouts": F.sqrt(F.col("n_shouts") / n),
+        "x_stops": F.sqrt((F.col("n_stops") + ADDED_STOPS) / n),
+        "x_repeats": (F.col("n_repeat_words") / n) ** 2,
+        "x_dup_lines": F.col("n_dup_lines") / lines,
     }
 
 
@@ -90,7 +92,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK) ->
     Learns from labels of rows that are not held out. The score maps the difference of the two classes' log densities
     to 0 to 1 without flattening out: 0.5 + 0.5 * t / (1 + |t|) with t half that difference; predicted is score >= 0.5.
 
-    Null and empty texts have statistics of zero and are scored like others. A null doc_id is never held out and has no
+    Null and empty texts have the statistics of the added words alone and are scored like others. A null doc_id is never held out and has no
     label. Labels other than 0 and 1 are left out; a document with several labels counts once for each. Without labels
     of both classes all scores are 0.5. Repeated rows are scored alike. An empty table gives no rows. Columns besides
     these don't take part.
