@@ -32,12 +32,14 @@ LENGTH = 100
 KEY = 50
 SYMBOL = 25
 STEPS = LENGTH // SYMBOL
-#: Text that is hashed at once; text a group of tasks' work holds; open windows a merge holds.
-SLAB = 1 << 20
+#: Text that is hashed at once; text whose units are held at once; text a group of tasks' work holds; open windows that
+#: a merge holds.
+SLAB = 1 << 19
+CHUNK = 4 << 20
 GROUP_BYTES = 8 << 20
-MERGE_WINDOWS = 200_000
+MERGE_WINDOWS = 100_000
 SHARDS = 8
-#: Different units of one key in one batch, or in one group, from which the key's units are dealt out.
+#: Different units of one key in one chunk, or in one group, from which the key's units are dealt out.
 SALT, HOT = 64, 2000
 #: Windows of a unit at most: its first and last window then cover it.
 UNIT = 100
@@ -209,8 +211,13 @@ def unit_rows(docs: DataFrame, buckets: int, shelves: int) -> DataFrame:
     """(doc, dup, text) -> (grp, kind, weight, blob): kind 0 units by key, 1 units of dealt-out keys, 2 the keys that
     were dealt out, 3 spans that go. Units that a batch has twice are left out already, as spans that go."""
 
-    def batch_rows(pdf):
-        pdf = pdf.sort_values(["doc", "dup"], kind="stable")
+    def batch_rows(batch):
+        batch = batch.sort_values(["doc", "dup"], kind="stable")
+        size = batch["text"].str.len().fillna(0).to_numpy().cumsum() // CHUNK
+        for _, pdf in batch.groupby(size, sort=False):
+            yield from chunk_rows(pdf)
+
+    def chunk_rows(pdf):
         cols: list[tuple[np.ndarray, ...]] = []
         held, ids, size = [], [], 0
 
@@ -583,7 +590,7 @@ def removed(docs: DataFrame, with_text: bool) -> DataFrame:
     texts = shelved(d, shelves)
     spans = v.filter("kind = 3")
     if open_windows:
-        merges = max(8, int(open_windows) // MERGE_WINDOWS)
+        merges = max(16, int(open_windows) // MERGE_WINDOWS)
         strings = open_strings(texts, v.filter("kind = 4").select("grp", "blob"), merges)
         spans = spans.union(stored(merge_transforms(strings, shelves)))
     out = cut_texts(texts, spans.select("grp", "blob"), with_text)
