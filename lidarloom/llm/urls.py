@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,6 @@ LISTED = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Bad URLs that a mined rule needs at least, however few are labelled.
 LEAST_URLS = 10
-MOST_TOKENS = 24
 BAD = "label:bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,23 +53,32 @@ def tokens(url: Column) -> Column:
         tag("key", F.transform(F.split(query, "&"), lambda x: plain(F.substring_index(x, "=", 1)))),
         F.array(F.concat(F.lit("scheme:"), plain(F.substring_index(F.coalesce(url, F.lit("")), "://", 1)))),
     )
-    return F.slice(F.array_sort(F.array_distinct(all_of)), 1, MOST_TOKENS)
+    return F.array_sort(F.array_distinct(all_of))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(tokens, bad boolean) -> rules: antecedent, confidence, support. Token sets that go with a bad label in at least
     `confidence` of their URLs and make up, with it, at least `support` of all; of nested sets the larger goes unless it
-    is surer."""
-    baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    common = baskets.select(F.explode("items").alias("t")).groupBy("t").count()
-    n = baskets.count()
-    support = min(1.0, max(support, LEAST_URLS / max(n, 1)))
-    # a token of nearly every URL tells nothing and multiplies the sets
-    frequent = common.filter((F.col("count") >= support * n) & (F.col("count") <= 0.5 * n) | (F.col("t") == BAD)).select("t")
-    kept = baskets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("t")).join(frequent, "t").groupBy("row").agg(F.collect_list("t").alias("items"))
-    kept = kept.select("items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(stored(kept))
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    is surer.
+
+    No basket is cut. What FP-growth needn't see is left out: tokens that go with too few bad labels for any rule, all
+    but one of tokens of the very same URLs (its rules are given for each of them), and tokens of every URL, which are
+    rules alone or add nothing.
+    """
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", F.col("bad")))
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    least = math.ceil(min(1.0, max(support, LEAST_URLS / max(n, 1))) * n - 1e-6)
+    if not n or n_bad < least:
+        return rows.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    each = rows.select("row", "bad", F.explode("tokens").alias("t"))
+    counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("where"))
+    classes = stored(counts.filter(F.col("n_bad") >= least).groupBy("n_all", "n_bad", "where").agg(F.min("t").alias("t"), F.collect_list("t").alias("same")))
+    shown = each.join(classes.filter(F.col("n_all") < n).select("t"), "t").select("row", "t").union(rows.filter("bad").select("row", F.lit(BAD).alias("t")))
+    kept = stored(shown.groupBy("row").agg(F.collect_list("t").alias("items")).select("items"))
+    n_kept = kept.count()
+    # half a URL less than the least, so that rounding leaves the least itself in
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n_kept), minConfidence=confidence).fit(kept)
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * n_kept / n).alias("support"))
     rules = stored(rules)
     part = rules.select(F.explode("antecedent").alias("t"), F.col("antecedent").alias("small"), F.col("confidence").alias("sure"))
     nested = (
@@ -78,7 +88,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         .select("antecedent")
         .distinct()
     )
-    return rules.join(nested, "antecedent", "left_anti")
+    rules = rules.join(nested, "antecedent", "left_anti").withColumn("id", F.monotonically_increasing_id())
+    spelled = rules.select("id", "confidence", "support", F.explode("antecedent").alias("t")).join(classes.select("t", "same"), "t").groupBy("id", "confidence", "support").agg(F.collect_list("same").alias("each"))
+    one_of_each = F.aggregate("each", F.array(F.array().cast("array<string>")), lambda sets, same: F.flatten(F.transform(sets, lambda x: F.transform(same, lambda t: F.concat(x, F.array(t))))))
+    spelled = spelled.select(F.explode(one_of_each).alias("antecedent"), "confidence", "support").withColumn("antecedent", F.array_sort("antecedent"))
+    share = n_bad / n
+    alone = classes.filter((F.col("n_all") == n) & F.lit(share >= confidence)).select(F.explode("same").alias("t"))
+    return spelled.union(alone.select(F.array("t"), F.lit(share), F.lit(share)))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -99,6 +99,26 @@ def test_quotes(spark):
     assert quotes.linked_conversations(m.limit(0)).count() == 0
 
 
+def test_urls_with_many_keys(spark):
+    keys = "&".join(f"k{chr(97 + i)}=1" for i in range(20))
+    rows = [(f"http://a.b.c.example.com/pills/{i}?{keys}", True) for i in range(20)] + [(f"http://a.b.c.example.com/news/{i}?{keys}", False) for i in range(20)]
+    rows += [(f"ftp://a.b.c.example.com/news/{i}?{keys}&buy=1", i % 10 > 0) for i in range(40)]
+    d = spark.createDataFrame(rows, "url string, bad boolean").withColumn("tokens", urls.tokens(F.col("url")))
+    mined = urls.mine(d.select("tokens", "bad"))
+    got = {tuple(r.antecedent): (round(r.confidence, 3), round(r.support, 3)) for r in mined.collect()}
+    assert got[("path:pills",)] == (1.0, 0.25) and got[("scheme:ftp",)] == got[("key:buy",)] == (0.9, 0.45)
+    assert got[("key:kt",)] == (0.7, 0.7) and not any(len(k) > 1 and "key:kt" in k for k in got)
+    asked = spark.createDataFrame([(f"http://x.y.example.org/pills/1?{keys}&l=1&m=1&n=1",)], "key string").withColumn("tokens", urls.tokens(F.col("key")))
+    assert [r.rule_confidence for r in urls.match(asked, mined).collect()] == [1.0]
+
+
+def test_sure_pair_of_common_tokens(spark):
+    rows = [(f"http://s.org/{'a' if i % 10 < 6 else 'c'}/{'b' if i % 10 in (0, 1, 2, 3, 6, 7) else 'd'}", i % 10 < 4) for i in range(100)]
+    d = spark.createDataFrame(rows, "url string, bad boolean").withColumn("tokens", urls.tokens(F.col("url")))
+    got = {tuple(r.antecedent): r.confidence for r in urls.mine(d.select("tokens", "bad")).collect()}
+    assert got[("path:a", "path:b")] == 1.0 and set(got) == {("path:a", "path:b"), ("path:a",), ("path:b",)}
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.example.com/en/7x", "x"), (2, "https://COM/en/", "x"), (3, None, "x"), (4, "no scheme", "x"), (5, "http://b.example.net/de/8", "x"), (5, "http://b.example.net/de/8", "x"), (6, "http://x.net/de/8?q", "x"), (7, "http://xcom/en/", "x"), (None, "ftp://org/es/?a://b", "x")],
