@@ -9,6 +9,9 @@ from .common import stored
 
 #: A quoted line: a mark, and more marks with or without blanks between.
 MARKS = r"^[ \t]*>(?:[ \t]*>)*"
+UNITS = "array<struct<level:int,lines:array<int>,wide:boolean,h1:bigint,h2:bigint>>"
+#: Words of a window.
+WINDOW = 5
 
 
 def level(line: Column) -> Column:
@@ -18,15 +21,44 @@ def level(line: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, one blank between words, no marks: what a passage keeps however it is quoted and wrapped."""
+    """Lower case, one blank between words, no marks: what a line keeps however it is quoted."""
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, MARKS, "")), r"[\s\p{Z}]+", " "))
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """One row for each line with words: conv_id, turn, line, level, hash of the normalised line."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\r?\n", -1)).alias("line", "raw"))
-    lines = lines.select("conv_id", "turn", "line", level(F.col("raw")).alias("level"), normalised(F.col("raw")).alias("said"))
-    return lines.filter(F.col("said") != "").select("conv_id", "turn", "line", "level", F.xxhash64("said").alias("h1"), F.xxhash64(F.reverse("said")).alias("h2"))
+    """What a message's passages are matched by: conv_id, turn, message, level, line, wide, h1, h2.
+
+    A passage is a run of lines of one level, blank ones left out; its words are joined, so where lines break doesn't
+    matter. Units are each window of WINDOW words of a passage (wide), a passage of fewer words, and each line. A unit
+    has a row for each line that it touches.
+    """
+    raw = F.split(F.coalesce(F.col("text"), F.lit("")), "\r?\n", -1)
+    lines = F.filter(F.transform(raw, lambda x, k: F.struct(k.alias("line"), level(x).alias("level"), F.split(normalised(x), " ").alias("words"))), lambda x: x["words"][0] != "")
+    spread = F.flatten(F.transform(lines, lambda x: F.transform(x["words"], lambda w: F.struct(w.alias("w"), x["level"].alias("level"), x["line"].alias("line")))))
+
+    def unit(part: Column, wide: bool) -> Column:
+        said = F.array_join(part["w"], " ")
+        return F.struct(part[0]["level"].alias("level"), F.array_distinct(part["line"]).alias("lines"), F.lit(wide).alias("wide"), F.xxhash64(said).alias("h1"), F.xxhash64(F.reverse(said)).alias("h2"))
+
+    def of_level(part: Column) -> Column:
+        return F.size(F.array_distinct(part["level"])) == 1
+
+    def windows(words: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, WINDOW))
+        return F.transform(F.filter(parts, lambda x: (F.size(x) == WINDOW) & of_level(x)), lambda x: unit(x, True))
+
+    def short(words: Column) -> Column:
+        """Passages of fewer words than a window: the words after a change of level up to the next."""
+        parts = F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 2)["level"] != F.get(words, i - 1)["level"])), lambda i: F.slice(words, i, WINDOW))
+        # words of the level that come back after others within the slice are of a later passage
+        whole = F.transform(parts, lambda x: F.slice(x, 1, F.coalesce(F.nullif(F.array_position(F.transform(x["level"], lambda v: v == x[0]["level"]), False), F.lit(0)) - 1, F.size(x)).cast("int")))
+        return F.transform(F.filter(whole, lambda x: F.size(x) < WINDOW), lambda x: unit(x, False))
+
+    # an array of one binds the words, so that they are made once and not for each window
+    joined = F.flatten(F.transform(F.array(spread), lambda ws: F.when(F.size(ws) > 0, F.concat(windows(ws), short(ws)))))
+    single = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines"), F.lit(False).alias("wide"), F.xxhash64(F.array_join(x["words"], " ")).alias("h1"), F.xxhash64(F.reverse(F.array_join(x["words"], " "))).alias("h2")))
+    units = messages.select("conv_id", "turn", F.xxhash64("text").alias("message"), F.explode(F.concat(F.coalesce(joined, F.array().cast(UNITS)), single)).alias("u"))
+    return units.select("conv_id", "turn", "message", "u.level", F.explode("u.lines").alias("line"), "u.wide", "u.h1", "u.h2")
 
 
 def unquoted(text: Column) -> Column:
@@ -36,17 +68,23 @@ def unquoted(text: Column) -> Column:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """Quoted lines joined to the message of the same conversation that first said them.
+    """Quoted lines and the message of the same conversation that first said them.
 
-    conv_id, turn, level, source_turn, n_lines. A line at level n of a message is looked up among the own lines (level
-    0) of the conversation's earlier messages. Both sides are reduced to one row for each conversation and hash before
-    they meet, so a line said a thousand times is one row.
+    conv_id, turn, level, source_turn, n_lines. What a message quotes at level n is looked up among the own words (level
+    0) of the conversation's earlier messages, however either is wrapped. A line comes from the message that most
+    windows over it were first said in, so a stray equal line goes with its passage; a line or short passage that no
+    window links comes from the first message that said it. Both sides are reduced to one row for each conversation and
+    hash before they meet, so a line said a thousand times is one row. Conversations without quotes take no part.
     """
-    p = passages(messages)
+    quoting = messages.filter(F.coalesce("text", F.lit("")).rlike("(?m)" + MARKS)).select("conv_id").distinct()
+    p = passages(messages.join(quoting, "conv_id", "left_semi"))
     said = p.filter("level = 0").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("source_turn"))
-    quoted = p.filter("level > 0").groupBy("conv_id", "turn", "level", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    quoted = p.filter("level > 0").select("conv_id", "turn", "message", "level", "line", "wide", "h1", "h2").distinct()
     met = quoted.join(said, ["conv_id", "h1", "h2"]).filter(F.col("source_turn") < F.col("turn"))
-    return met.groupBy("conv_id", "turn", "level", "source_turn").agg(F.sum("n").alias("n_lines"))
+    line = ["conv_id", "turn", "message", "level", "line"]
+    found = met.groupBy(*line, "source_turn").agg(F.count_if("wide").alias("n"))
+    first = found.groupBy(*line).agg(F.max(F.struct("n", (-F.col("source_turn")).alias("t"))).alias("b"))
+    return first.groupBy("conv_id", "turn", "level", (-F.col("b.t")).alias("source_turn")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def linked_conversations(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
