@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -195,20 +197,20 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(warc_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of an unzipped WARC file, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        stop = end + 4 + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the WARC record at byte {at} is not as long as declared")
-        yield fields, data[end + 4 : stop]
-        at = stop + 4
+def warc_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of an unzipped WARC stream, by declared lengths. One record
+    is held at a time."""
+    while version := file.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record in {version[:40]!r}")
+        fields = {}
+        while (line := file.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            fields[name.lower()] = value
+        block = file.read(int(fields["content-length"]))
+        if len(block) != int(fields["content-length"]) or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"{fields['warc-record-id']} is not as long as declared")
+        yield fields, block
 
 
 RETURNED = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string"
@@ -223,7 +225,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for data in pdf["content"]:
                 rows = []
-                for fields, block in warc_records(gzip.decompress(data)):
+                for fields, block in warc_records(gzip.GzipFile(fileobj=io.BytesIO(data))):
                     head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
                     digest, length, kind = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"]), fields["warc-type"]
                     if kind != "revisit" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, length):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import wraps
@@ -29,15 +30,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir, which all executors share. Where it is unset a session on one machine, as in tests, gets a
+    temporary folder; a cluster raises, since no folder of its driver would be seen by its executors."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: A key with this share of all rows is hot; so there are at most as many hot keys.
+HOT_KEYS = 10_000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to classes: one row for each value of `on`, with n, how many of the `total` rows have it.
+
+    Keys that hold a HOT_KEYS-th of all rows or more are at most HOT_KEYS in number, so those are broadcast and their
+    rows stay where they are; the others are shuffled, and none of them is hot. classes is read twice: store it.
+    """
+    hot = F.col(n) * F.lit(HOT_KEYS) >= F.lit(total)
+    few = F.broadcast(classes.filter(hot))
+    rest = rows.join(F.broadcast(classes.filter(hot).select(*on)), on, "left_anti").join(classes.filter(~hot), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 #: Tables that the stage now running has stored, and those of the stage before it.
 _OPEN: list[str] | None = None
 _LAST: list[str] = []

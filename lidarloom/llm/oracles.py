@@ -26,15 +26,20 @@ o AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(ceiling)
     FROM w WINDOW b AS (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, left_ * w > ceiling * w_left AS is_full FROM o),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN ceiling ELSE coalesce((SELECT arg_min(left_ / w_left, ceiling / w) FROM f WHERE NOT is_full), 0e0) * w END AS target FROM f),
-p AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END + 1e-12) AS BIGINT) AS sure FROM t),
-q AS (SELECT *, greatest(CAST(round(target - sure * source_size) AS BIGINT), 0) AS need FROM p),
-r AS (SELECT d.doc_id, d.size, d.u, q.source, q.source_size, q.target, q.sure, q.need, CASE WHEN d.size > 0 THEN
-    CAST(sum(d.size) OVER (PARTITION BY q.source ORDER BY d.size > 0 DESC, d.u, d.size, d.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS upto
-    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT source, size, CAST(round(sqrt(CAST(size AS DOUBLE)) * {mixing.ROOT_UNITS}) AS BIGINT) AS w, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+i AS (SELECT h.*, (t.target - {most} * CAST(coalesce(sum(size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(w * size * n) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rate FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
+j AS (SELECT source, arg_max(rate, size) AS rate FROM i WHERE rate * w <= {most} GROUP BY source),
+e AS (SELECT d.*, t.source_size, t.target, least({most}e0, coalesce(rate, 1e300) * CAST(round(sqrt(CAST(size AS DOUBLE)) * {mixing.ROOT_UNITS}) AS BIGINT)) AS expected
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN j ON d.source IS NOT DISTINCT FROM j.source),
+p AS (SELECT *, CAST(floor(expected) AS BIGINT) AS sure, expected - floor(expected) AS p FROM e),
+q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds,
+    greatest(CAST(round(target - sum(CASE WHEN size > 0 THEN sure * size ELSE 0 END) OVER (PARTITION BY source)) AS BIGINT), 0) AS need FROM p),
+r AS (SELECT *, CASE WHEN odds IS NOT NULL THEN CAST(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, size, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS upto FROM q),
 x AS (SELECT *, CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END AS extra FROM r),
 y AS (SELECT *, need - coalesce(max(CASE WHEN extra = 1 THEN upto END) OVER (PARTITION BY source), 0) AS open_ FROM x),
-z AS (SELECT *, CASE WHEN extra = 0 AND open_ > 0 AND size > 0 AND abs(size - open_) < open_ THEN
-    row_number() OVER (PARTITION BY source, extra = 0 AND open_ > 0 AND size > 0 AND abs(size - open_) < open_ ORDER BY abs(size - open_), u, size, doc_id) END AS fit FROM y)
+v AS (SELECT *, coalesce(extra = 0 AND open_ > 0 AND odds IS NOT NULL AND abs(size - open_) < open_, false) AS fits FROM y),
+z AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - open_), odds, size, doc_id) END AS fit FROM v)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN least(sure + greatest(extra, CASE WHEN fit = 1 THEN 1 ELSE 0 END), {most}) ELSE 0 END * size AS BIGINT) AS taken FROM z
 """
 

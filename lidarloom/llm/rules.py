@@ -113,36 +113,45 @@ def label_model(patterns: DataFrame, k: int) -> DataFrame:
     return weighed.select(F.col("y.votes").alias("votes"), F.col("y.g").alias("posterior"))
 
 
+#: What judged() adds to a row.
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_shouts", "n_stops", "base_failed", "posterior", "kept")
+
+
+def judged(slim: DataFrame, threshold: float) -> DataFrame:
+    """slim: stored base statistics, and no column called votes, posterior or kept -> slim plus JUDGED's last two."""
+    rules = votes()
+    d = slim.withColumn("votes", F.array(*rules.values()))
+    patterns = stored(d.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
+    model = F.broadcast(label_model(patterns, len(rules)))  # at most 3 ** rules rows
+    out = d.join(model, "votes", "left").drop("votes")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
 def weak_supervision(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs plus the base statistics, base_failed, posterior and kept.
 
     kept is false where the base rule fails, and else whether the posterior of good quality reaches threshold.
-    Null text counts as empty: no words, base_failed. Columns of docs that are called like a statistic are replaced;
-    all others pass through. Repeated rows are judged alike; an empty table gives no rows.
+    Null text counts as empty: no words, base_failed. Columns of docs that are called like one of JUDGED are replaced;
+    all others pass through, whatever their names. Repeated rows are judged alike; an empty table gives no rows.
     """
-    rules = votes()
-    d = base_statistics(docs).withColumn("votes", F.array(*rules.values()))
-    return decided(d, d, len(rules), threshold)
-
-
-def decided(d: DataFrame, fit_on: DataFrame, k: int, threshold: float) -> DataFrame:
-    patterns = stored(fit_on.groupBy("votes").agg(F.count(F.lit(1)).alias("n")))
-    model = F.broadcast(label_model(patterns, k).withColumnRenamed("votes", "__v"))  # at most 3 ** k rows
-    out = d.join(model, d["votes"] == model["__v"], "left").drop("__v")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    d = docs.select(F.struct("*").alias("__row"), F.col("text").cast("string").alias("text"))
+    out = judged(stored(base_statistics(d).drop("text")), threshold)
+    keep = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in JUDGED]
+    return out.select(*keep, *JUDGED)
 
 
 def rule_report(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior; texts are read once."""
-    rules = votes()
-    slim = stored(base_statistics(docs.select("doc_id", "text")).drop("text")).withColumn("votes", F.array(*rules.values()))
-    out = decided(slim, slim, len(rules), threshold)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior"))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior; texts are read
+    once. Nulls, repeated rows and empty tables as in weak_supervision(); other columns don't take part."""
+    out = judged(stored(base_statistics(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text")), threshold)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that weak_supervision() keeps, with docs' own columns as they were. Texts are judged once."""
-    rules = votes()
+    """The rows of docs that weak_supervision() keeps, with docs' own columns as they were. Texts are judged once.
+
+    Null, empty and short texts fail the base rule and go. Repeated rows stay or go together; null ids are judged like
+    others; an empty table gives no rows. Columns of docs may have any names.
+    """
     d = docs.select(F.struct("*").alias("__row"), F.col("text").cast("string").alias("text"))
-    d = stored(base_statistics(d).drop("text")).withColumn("votes", F.array(*rules.values()))
-    return decided(d, d, len(rules), threshold).filter("kept").select("__row.*")
+    return judged(stored(base_statistics(d).drop("text")), threshold).filter("kept").select("__row.*")

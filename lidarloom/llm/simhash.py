@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import stored
+from .common import stored, with_class
 
 SHINGLE = 4
 ERRORS = 4
@@ -229,18 +229,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS,
     An empty table gives no rows. Columns besides doc_id and text don't take part.
     """
     fps = stored(fingerprints(docs, size))
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = stored(near_links(classes, errors, subtrie))
-    found = components(links)  # node, root: fingerprints that have a link
-    named = found.join(classes, found["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = found.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = classes.join(of_class, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = components(near_links(classes, errors, subtrie))  # node, root: fingerprints that have a link
+    linked_classes = stored(found.join(classes, found["node"] == classes["fp"]).select("root", "fp", "least"))
+    named = stored(linked_classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("__n")))
+    total, n_linked = classes.agg(F.sum("n")).first()[0] or 0, linked_classes.count()
+    of_class = with_class(linked_classes.select("root", "fp"), named, ["root"], "__n", n_linked).select("fp", "component_id")
+    classes = stored(classes.join(of_class, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    out = with_class(fps, classes, ["fp"], "n", total)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id (null last), and of rows that share it
-    any one. Columns stay as they were."""
+    any one. Columns stay as they were. Null, empty and blank texts are one group, and near others of fingerprint 0; an
+    empty table gives no rows."""
     d = stored(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__uid")))
     groups = near_duplicates(d.select(F.col("__uid").alias("doc_id"), F.col("__row.text").alias("text")), size, errors)
     named = d.select("__uid", F.col("__row.doc_id").alias("__id")).join(groups.select(F.col("doc_id").alias("__uid"), "component_id"), "__uid")

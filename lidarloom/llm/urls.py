@@ -64,8 +64,11 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     No basket is cut. What FP-growth needn't see is left out: tokens that go with too few bad labels for any rule, all
     but one of tokens of the very same URLs (its rules are given for each of them), and tokens of every URL, which are
     rules alone or add nothing.
+
+    Null bad counts as not bad; null tokens are an empty basket. Repeated rows count each. No rows, or too few bad ones:
+    no rules.
     """
-    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", F.col("bad")))
+    rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", F.coalesce("bad", F.lit(False)).alias("bad")))
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     least = math.ceil(min(1.0, max(support, LEAST_URLS / max(n, 1))) * n - 1e-6)
     if not n or n_bad < least:
@@ -98,13 +101,16 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (key, tokens) -> key, rule_confidence of those that some rule fits.
+    """urls (key, tokens) -> key, rule_confidence: the surest rule that fits, for those that some rule fits.
 
-    Rules are posted in an inverted index under their rarest token, URLs look theirs up, and what is met is checked in
-    full. Distinct URLs keep a hot host from meeting a rule once for each page.
+    Rules are posted in an inverted index under that one of their tokens which the fewest URLs have; URLs look theirs
+    up, and what is met is checked in full. Distinct URLs keep a hot host from meeting a rule once for each page. No
+    URLs or no rules: no rows. Rules may come in any number; repeated ones count once.
     """
-    frequency = rules.select(F.explode("antecedent").alias("t")).groupBy("t").count()
-    posted = rules.withColumn("t", F.explode("antecedent")).join(frequency, "t").groupBy("antecedent", "confidence").agg(F.min(F.struct("count", "t"))["t"].alias("t"))
+    each = urls.select("key", F.explode("tokens").alias("t"))
+    named = rules.select(F.explode("antecedent").alias("t")).distinct()
+    frequency = each.join(named, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    posted = rules.withColumn("t", F.explode("antecedent")).join(frequency, "t", "left").groupBy("antecedent", "confidence").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "t"))["t"].alias("t"))
     met = urls.select("key", "tokens", F.explode("tokens").alias("t")).join(posted, "t")
     return met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("key").agg(F.max("confidence").alias("rule_confidence"))
 
@@ -124,7 +130,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, support: float = SU
     labelled = stored(p.join(known, F.col("page_id") == F.col("__id")).select(tokens(F.col("url")).alias("tokens"), "bad"))
     p = p.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
     if labelled.limit(1).count():
-        open_urls = p.filter(F.col("listed").isNull()).select(F.coalesce("url", F.lit("")).alias("key")).distinct().withColumn("tokens", tokens(F.col("key")))
+        open_urls = stored(p.filter(F.col("listed").isNull()).select(F.coalesce("url", F.lit("")).alias("key")).distinct().withColumn("tokens", tokens(F.col("key"))))
         hits = match(open_urls, mine(labelled, support, confidence))
         p = p.join(hits, F.coalesce(p["url"], F.lit("")) == hits["key"], "left").drop("key")
     else:

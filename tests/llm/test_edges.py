@@ -13,7 +13,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASH = ["size", "votes", "kept", "n_words", "fp", "doc", "dup", "u", "p", "need", "score", "quality", "part", "ids", "first", "url", "host", "v", "block", "__row"]
+CLASH = ["size", "votes", "kept", "n_words", "fp", "doc", "dup", "u", "p", "need", "score", "quality", "part", "ids", "first", "url", "host", "v", "block", "__row", "posterior", "__v", "__id", "__copies", "__copy", "__uid", "copies", "odds", "rate", "target", "slice", "source_key", "n", "group", "root", "class", "band", "h", "__n", "dup", "doc", "grp", "n_chars_", "kept_", "base_failed", "size_"]
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,9 @@ def test_mixing(docs, none):
     assert len(r) == len(ROWS) and all(x.taken <= 3 * x.size for x in r)
     assert all(x["size"] == 0 and x.taken == 0 for x in r if x.doc_id in (3, 4, 6))
     assert mixing.pareto_mix(none).count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert all(row[c] == "x" for row in mixed.collect() for c in CLASH)
     assert mixing.mixed_documents(none).count() == 0
 
 
@@ -81,7 +83,10 @@ def test_rules(docs, none):
     assert len(r) == len(ROWS) and not any(x.kept for x in r if x.doc_id in (3, 4, 6, 7))
     assert rules.keep_good(docs).columns == docs.columns
     assert rules.rule_report(none).count() == 0 and rules.keep_good(none).count() == 0
-    assert rules.weak_supervision(docs).count() == len(ROWS)
+    judged = rules.weak_supervision(docs)
+    assert judged.count() == len(ROWS) and judged.columns == [c for c in docs.columns if c not in rules.JUDGED] + list(rules.JUDGED)
+    assert all(x["__v"] == x["__row"] == x["votes"] == "x" and isinstance(x.kept, bool) and 0 <= x.posterior <= 1 for x in judged.collect())
+    assert all(x["posterior"] == "x" for x in rules.keep_good(docs).collect())
 
 
 def test_quotes(spark):

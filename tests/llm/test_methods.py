@@ -21,24 +21,53 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def test_ann_recall(spark):
+def made_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(9000, 64))
     x[5000:5400] = x[17]  # ties go to the smaller id
-    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("sizes", [{}, {"file": 700, "chunk": 100, "pivots": 256}])
+def test_ann_recall(spark, sizes):
+    """In one group for many files, and with files split into parts and queries into chunks."""
+    x, e = made_vectors(spark)
     got = defaultdict(list)
-    for r in ann.nearest(e).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(e, **sizes).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits = 0
     for q in range(0, len(x), 20):
         s = x @ x[q]
         best = [i for i in np.lexsort((np.arange(len(x)), -np.round(s, 9))) if i != q][:20]
         hits += len(set(best) & {i for i, _ in got[q]})
-        assert all(abs(score - s[i]) < 1e-9 for i, score in got[q]) and len(got[q]) == 20
-    assert hits / (20 * 450) >= 0.95
+        assert all(abs(score - s[i]) < 1e-9 for i, score in got[q]) and len({i for i, _ in got[q]}) == 20
+    assert hits / (20 * 450) >= 0.93
     assert [i for i, _ in got[5000]] == [17, *range(5001, 5020)]
 
 
+def test_footrule():
+    rng = np.random.default_rng(2)
+    lists = np.stack([rng.permutation(40)[:12] for _ in range(30)])
+
+    def footrule(a, b):
+        place = lambda x: {p: k for k, p in enumerate(x.tolist())}
+        pa, pb = place(a), place(b)
+        return sum(abs(pa.get(p, 12) - pb.get(p, 12)) for p in pa.keys() | pb.keys())
+
+    got = ann.likeness(lists[:10], lists, 40)
+    assert all(12 * 13 - 2 * got[i, j] == footrule(lists[i], lists[j]) for i in range(10) for j in range(30))
+
+
+def test_files_decide_what_is_met(spark):
+    """With one file a query, it finds only what is posted there."""
+    x, e = made_vectors(spark)
+    few = ann.nearest(e, posted=1, visited=1, k=1, share=1.0).collect()
+    assert 0 < len(few) <= 450
+    want = {q: max((float(x[q] @ v), -i) for i, v in enumerate(x) if i != q) for q in range(0, 9000, 20)}
+    missed = sum(abs(r.score - want[r.query_id][0]) > 1e-9 for r in few)
+    assert missed > 100
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1), (None, 500)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -49,17 +78,63 @@ def test_water_filling(spark):
 def test_mix_nears_targets(docs):
     r = mixing.pareto_mix(docs).collect()
     texts = {d.doc_id: d.text for d in docs.collect()}
-    size, taken, target = Counter(), Counter(), {}
+    taken, target, largest = Counter(), {}, Counter()
     for x in r:
         assert x["size"] == len(SPLIT.findall(texts[x.doc_id] or ""))
-        size[x.source] += x["size"]
+        largest[x.source] = max(largest[x.source], x["size"])
         taken[x.source] += x.taken
         target[x.source] = x.target
         assert x.taken % max(1, x["size"]) == 0 and x.taken <= 3 * x["size"]
-    assert all(abs(taken[s] - target[s]) <= 0.1 * target[s] + 50 for s in target)
+    # whole documents come as near as half of one; ten documents a source here
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
     assert sorted(r) == sorted(mixing.pareto_mix(docs.repartition(3)).collect())
 
 
+def plain_mix(rows, targets):
+    """rows (doc_id, source, size) -> copies: expected copies by bisection, then one ranking by odds over odds."""
+    out = {}
+    for source, target in targets.items():
+        own = [(i, n) for i, s, n in rows if s == source and n > 0]
+        out |= {i: 0 for i, s, n in rows if s == source and n == 0}
+        weight = {i: round(n**0.5 * 1000) for i, n in own}
+        lo, hi = 0.0, 1.0
+        for _ in range(200):
+            rate = (lo + hi) / 2
+            lo, hi = (rate, hi) if sum(min(3.0, rate * weight[i]) * n for i, n in own) < target else (lo, rate)
+        expected = {i: min(3.0, rate * weight[i]) for i, _ in own}
+        copies = {i: int(expected[i]) for i, _ in own}
+        need = max(0, round(target - sum(copies[i] * n for i, n in own)))
+        ranking = []
+        for i, n in own:
+            u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = expected[i] - copies[i]
+            if p > 0:
+                ranking.append(((u / (1 - u)) / (p / (1 - p)), n, i))
+        ranking.sort()
+        total, rest = 0, []
+        for k, (odds, n, i) in enumerate(ranking):
+            if total + n > need:
+                rest = ranking[k:]
+                break
+            total, copies[i] = total + n, copies[i] + 1
+        fits = [(abs(n - (need - total)), odds, n, i) for odds, n, i in rest if abs(n - (need - total)) < need - total]
+        if fits:
+            copies[min(fits)[3]] += 1
+        out |= copies
+    return out
+
+
+def test_mix_is_a_pareto_sample(docs):
+    r = mixing.pareto_mix(docs).collect()
+    want = plain_mix([(x.doc_id, x.source, x["size"]) for x in r], {x.source: x.target for x in r})
+    assert {x.doc_id: x.copies for x in r} == want
+    # chances differ within a source
+    by = defaultdict(set)
+    for x in r:
+        if x["size"]:
+            by[x.source].add(x.copies)
+    assert any(len(v) > 2 for v in by.values())
+
 
 def plain_fingerprint(text):
     ws = re.findall(SPLIT, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -178,7 +253,7 @@ def test_merged_transforms_are_sorted():
 def test_packing(docs, spark):
     from tokenizers import Tokenizer
 
-    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(10**6, None), (10**6 + 1, " a  b <|endoftext|>\n\n xé  ²Ⅷ it's don't 12three   ")]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6, None), (10**6 + 1, " a  b <|endoftext|>\n\n xé  ²Ⅷ it's don't 12three   ")]
     r = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     tok = Tokenizer.from_file(packing.vocabulary())
     by = defaultdict(list)
@@ -208,6 +283,38 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.95
 
 
+def plain_statistics(text):
+    """The transformed statistics of a text, counted word by word."""
+    text = text or ""
+    ws = SPLIT.findall(text)
+    lines = [x for x in text.split("\n") if SPLIT.search(x)]
+    n, chars = len(ws) + 10, sum(map(len, ws)) + 50
+    count = lambda chars: sum(c in chars for c in text)
+    capitals, stops = sum("A" <= c <= "Z" for c in text) + 1.5, count(".,;:?") + 1.5
+    repeats, dup = plain_rules(text)[4], len(lines) - len(set(lines))
+    return [np.log1p(chars / n), (count("#*$%&|<>") / n) ** 0.5, (capitals / chars) ** 0.5, (count("!") / n) ** 0.5, (stops / n) ** 0.5, (repeats / n) ** 2, dup / (len(lines) + 1)]
+
+
+def test_quality_is_the_discriminant(spark):
+    """Scores against densities worked out row by row: Mahalanobis distances by solving, no factors."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    x = {i: np.array(plain_statistics(t)) for i, t in texts.items()}
+    learn = {c: np.array([x[i] for i in x if known.get(i) == c and zlib.crc32(str(i).encode()) % 3 != 1]) for c in (0, 1)}
+    total = sum(map(len, learn.values()))
+    pooled = sum((a - a.mean(0)).T @ (a - a.mean(0)) for a in learn.values()) / total
+    density = {}
+    for c, a in learn.items():
+        cov = (1 - quality.SHRINK) * np.cov(a.T, bias=True) + quality.SHRINK * pooled
+        cov = (1 - quality.SHRINK) * cov + quality.SHRINK * np.diag(np.diag(cov)) + quality.RIDGE * np.eye(len(cov))
+        density[c] = lambda v, a=a, cov=cov: np.log(len(a) / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (v - a.mean(0)) @ np.linalg.solve(cov, v - a.mean(0))
+    for r in quality.score_quality(docs, labels).collect():
+        t = (density[1](x[r.doc_id]) - density[0](x[r.doc_id])) / 2
+        assert abs(r.score - (0.5 + 0.5 * t / (1 + abs(t)))) < 1e-6 and r.predicted == int(r.score >= 0.5)
+
+
 def plain_rules(text):
     ws = SPLIT.findall(text or "")
     windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
@@ -235,3 +342,42 @@ def test_mined_rules(spark):
     asked = spark.createDataFrame([("http://bad-pills9.example.com/buy/1",), ("http://site3.example.org/en/4",)], "key string").withColumn("tokens", urls.tokens(F.col("key")))
     hits = {r.key for r in urls.match(asked, mined).collect()}
     assert hits == {"http://bad-pills9.example.com/buy/1"}
+
+
+def plain_matches(urls_tokens, rules):
+    out = {}
+    for key, own in urls_tokens.items():
+        sure = [c for antecedent, c in rules if set(antecedent) <= set(own)]
+        if sure:
+            out[key] = max(sure)
+    return out
+
+
+def test_rules_against_brute_force(spark):
+    """Many rules, among them from long URLs and of common tokens: mined sets have the counts that they claim, none that
+    should be there is missing, and the index finds what checking every rule finds."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(600):
+        keys = "&".join(f"k{chr(97 + int(k))}=1" for k in rng.choice(26, 6, replace=False))
+        long = "/".join(f"{w}x" for w in "abcdefghijklmnopqrstuvwxyzABCDEFGH"[: int(rng.integers(0, 34))])
+        url = f"http://h{chr(97 + i % 3)}.example.{rng.choice(['com', 'org'])}/{rng.choice(['buy', 'en', 'de'])}/{long}?{keys}"
+        rows.append((url, bool(("/buy/" in url and ".com" in url and rng.random() < 0.9) or rng.random() < 0.05)))
+    d = spark.createDataFrame(rows, "url string, bad boolean").withColumn("tokens", urls.tokens(F.col("url")))
+    mined = urls.mine(d.select("tokens", "bad"), support=0.08, confidence=0.6)
+    rules_ = [(tuple(r.antecedent), r.confidence, r.support) for r in mined.collect()]
+    local = [(set(r.tokens), r.bad) for r in d.collect()]
+    for antecedent, confidence, support in rules_:
+        fits = [bad for own, bad in local if set(antecedent) <= own]
+        assert abs(sum(fits) / len(fits) - confidence) < 1e-9 and abs(sum(fits) / len(local) - support) < 1e-9
+        assert confidence >= 0.6 and support >= 0.08 - 1e-9
+    # every pair that is sure and common enough fits some mined rule at least as sure
+    tokens = sorted(set().union(*(own for own, _ in local)))
+    for i, a in enumerate(tokens):
+        for b in tokens[i:]:
+            fits = [bad for own, bad in local if a in own and b in own]
+            if fits and sum(fits) / len(local) >= 0.08 and sum(fits) / len(fits) >= 0.6:
+                assert any(set(r) <= {a, b} and c >= sum(fits) / len(fits) - 1e-9 for r, c, _ in rules_)
+    asked = d.select(F.col("url").alias("key"), "tokens").distinct()
+    got = {r.key: r.rule_confidence for r in urls.match(asked, mined).collect()}
+    assert got == plain_matches({r.key: r.tokens for r in asked.collect()}, [(a, c) for a, c, _ in rules_]) and got
