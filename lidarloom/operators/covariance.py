@@ -16,14 +16,16 @@ def raw_covariance(neighbours: DataFrame, points: DataFrame, on: Sequence[str] =
     """Population covariance of each left point's neighbours: on, point, n, and the six entries.
 
     Moments are taken about the left point, whose coordinates the neighbours share to within the search distance, so
-    little is lost to cancellation.
+    little is lost to cancellation. Neighbours that have dx, dy, dz (knn_join with offsets) need no look at the points.
     """
-    p = points.select(*on, point, *"xyz")
-    pairs = neighbours.select(*on, "left_id", "right_id")
-    pairs = pairs.join(p.select(*on, F.col(point).alias("left_id"), *[F.col(c).alias(f"l{c}") for c in "xyz"]), [*on, "left_id"])
-    pairs = pairs.join(p.select(*on, F.col(point).alias("right_id"), *[F.col(c).alias(f"r{c}") for c in "xyz"]), [*on, "right_id"])
-    d = {c: F.col(f"r{c}") - F.col(f"l{c}") for c in "xyz"}
-    pairs = pairs.select(*on, "left_id", *[v.alias(c) for c, v in d.items()])
+    if {"dx", "dy", "dz"} <= set(neighbours.columns):
+        pairs = neighbours.select(*on, "left_id", *[F.col(f"d{c}").alias(c) for c in "xyz"])
+    else:
+        p = points.select(*on, point, *"xyz")
+        pairs = neighbours.select(*on, "left_id", "right_id")
+        pairs = pairs.join(p.select(*on, F.col(point).alias("left_id"), *[F.col(c).alias(f"l{c}") for c in "xyz"]), [*on, "left_id"])
+        pairs = pairs.join(p.select(*on, F.col(point).alias("right_id"), *[F.col(c).alias(f"r{c}") for c in "xyz"]), [*on, "right_id"])
+        pairs = pairs.select(*on, "left_id", *[(F.col(f"r{c}") - F.col(f"l{c}")).alias(c) for c in "xyz"])
     return pairs.groupBy(*on, F.col("left_id").alias(point)).agg(F.count(F.lit(1)).alias("n"), *[(F.sum(F.col(a) * F.col(b)) / F.count(F.lit(1)) - F.avg(a) * F.avg(b)).alias(f"c{a}{b}") for a, b in (x[1:] for x in COVS)])
 
 

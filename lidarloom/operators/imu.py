@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..params import Params
+from ..plans.ordered import folded
 
 NS = 1e9
 RATE = ("wx", "wy", "wz")
 ACCEL = ("ax", "ay", "az")
 
 
-def in_drive(*order: str) -> Window:
-    return Window.partitionBy("drive_id").orderBy(*(order or ("stamp_ns",)))
+def in_drive(*order: str, of: DataFrame | None = None) -> Window:
+    """Rows of a drive in order; of equal stamps those of `of` go by event_id or scan_id, where it has one."""
+    tie = [c for c in ("scan_id", "event_id") if of is not None and c in of.columns]
+    return Window.partitionBy("drive_id").orderBy(*(order or ("stamp_ns",)), *tie)
 
 
 def imu_dt(imu: DataFrame, fallback_hz: float = 200.0) -> DataFrame:
     """dt: seconds since the sample before; 1 / fallback_hz where that is 0, null for the first sample of a drive."""
-    gap = (F.col("stamp_ns") - F.lag("stamp_ns").over(in_drive())) / NS
+    gap = (F.col("stamp_ns") - F.lag("stamp_ns").over(in_drive(of=imu))) / NS
     return imu.withColumn("dt", F.when(gap == 0, 1.0 / fallback_hz).otherwise(gap))
 
 
-def _lagged(names: tuple[str, ...]) -> G.Vec:
-    return tuple(F.lag(c).over(in_drive()) for c in names)
+def _lagged(names: tuple[str, ...], of: DataFrame) -> G.Vec:
+    return tuple(F.lag(c).over(in_drive(of=of)) for c in names)
 
 
 def angular_acceleration(imu: DataFrame) -> DataFrame:
     """alpha_*: change of the rate over dt; mean_w*: rate halfway to the sample before. Needs dt."""
-    w, before = G.vec(*RATE), _lagged(RATE)
+    w, before = G.vec(*RATE), _lagged(RATE, imu)
     d = G.sub(w, before)
     return imu.withColumns({**{f"alpha_{c}": x / F.col("dt") for c, x in zip("xyz", d, strict=True)}, **{f"mean_w{c}": b + 0.5 * x for c, b, x in zip("xyz", before, d, strict=True)}})
 
@@ -39,14 +44,14 @@ def jerk(imu: DataFrame, gravity: float = 9.80665) -> DataFrame:
     a = G.rotate(G.vec("qw", "qx", "qy", "qz"), G.vec(*ACCEL))
     a = (a[0], a[1], a[2] - gravity)
     out = imu.withColumns({f"world_a{c}": x for c, x in zip("xyz", a, strict=True)})
-    before = _lagged(("world_ax", "world_ay", "world_az"))
+    before = _lagged(("world_ax", "world_ay", "world_az"), imu)
     return out.withColumns({f"jerk_{c}": (F.col(f"world_a{c}") - b) / F.col("dt") for c, b in zip("xyz", before, strict=True)})
 
 
 def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100) -> DataFrame:
     """rate: 1 / gap, and trailing_rate: the mean of the last `last` rates; the first row of a drive has none. Rates are
     added up in whole micro-hertz, so that the mean doesn't depend on the order of addition."""
-    order = in_drive(stamp)
+    order = in_drive(stamp, of=df)
     gap = (F.col(stamp) - F.lag(stamp).over(order)) / NS
     out = df.withColumn("rate", F.when(gap > 0, 1.0 / gap))
     frame = order.rowsBetween(-(last - 1), 0)
@@ -56,7 +61,7 @@ def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100) -> Da
 
 def elapsed_time(scans: DataFrame, stamp: str = "scan_stamp_ns") -> DataFrame:
     """elapsed and scan_dt in seconds: since the drive's first scan, since the one before."""
-    order = in_drive(stamp)
+    order = in_drive(stamp, of=scans)
     first = F.first(stamp).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return scans.withColumns({"elapsed": (F.col(stamp) - first) / NS, "scan_dt": (F.col(stamp) - F.lag(stamp).over(order)) / NS})
 
@@ -69,7 +74,7 @@ def calibration_window(imu: DataFrame, seconds: float = 3.0) -> DataFrame:
 
 def latest_samples(imu: DataFrame, n: int = 5000) -> DataFrame:
     """The newest n samples of each drive; partial limits before the shuffle keep a long drive from one task."""
-    return imu.withColumn("__k", F.row_number().over(Window.partitionBy("drive_id").orderBy(F.desc("stamp_ns")))).filter(F.col("__k") <= n).drop("__k")
+    return imu.withColumn("__k", F.row_number().over(Window.partitionBy("drive_id").orderBy(F.desc("stamp_ns"), *[F.desc(c) for c in ("scan_id", "event_id") if c in imu.columns]))).filter(F.col("__k") <= n).drop("__k")
 
 
 def transform_imu(imu: DataFrame, calibration: DataFrame, fallback_hz: float = 200.0) -> DataFrame:
@@ -83,7 +88,7 @@ def transform_imu(imu: DataFrame, calibration: DataFrame, fallback_hz: float = 2
     out = turned.withColumns(dict(zip(RATE, G.mat_vec(r, G.vec(*RATE)), strict=True)))
     out = imu_dt(out, fallback_hz)
     w = G.vec(*RATE)
-    change = tuple(F.coalesce((x - b) / F.col("dt"), F.lit(0.0)) for x, b in zip(w, _lagged(RATE), strict=True))
+    change = tuple(F.coalesce((x - b) / F.col("dt"), F.lit(0.0)) for x, b in zip(w, _lagged(RATE, imu), strict=True))
     out = out.withColumns({f"__d{c}": x for c, x in zip("xyz", change, strict=True)})
     a = G.add(G.add(G.mat_vec(r, G.vec(*ACCEL)), G.cross(G.vec("__dx", "__dy", "__dz"), arm)), G.cross(w, G.cross(w, arm)))
     return out.withColumns(dict(zip(ACCEL, a, strict=True))).drop("imu_r", "imu_t", "__dx", "__dy", "__dz")
@@ -130,32 +135,34 @@ def calibrate_imu(imu: DataFrame, params: Params | None = None, prior: DataFrame
 
 def after_calibration(imu: DataFrame, seconds: float = 3.0) -> DataFrame:
     """Samples that calibration leaves for use: those after the one that ended it."""
-    late = (F.col("stamp_ns") - F.first("stamp_ns").over(in_drive())) / NS >= seconds
+    late = (F.col("stamp_ns") - F.first("stamp_ns").over(in_drive(of=imu))) / NS >= seconds
     d = imu.withColumn("__late", late)
-    nth = F.sum(F.col("__late").cast("int")).over(in_drive().rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.sum(F.col("__late").cast("int")).over(in_drive(of=imu).rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("__nth", nth).filter(F.col("__nth") > 1).drop("__late", "__nth")
 
 
 def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alpha: float = 0.05, key: str = "drive_id") -> DataFrame:
-    """name: y = (1 - alpha) * y_before + alpha * x along `order`, seeded with the first x.
+    """df plus name: y = (1 - alpha) * y_before + alpha * x along `order`, seeded with the first x. Of equal `order` the
+    smaller scan_id goes first, where there is one, and else the row's hash decides; repeated rows each count.
 
-    The closed form of the recurrence is a weighted sum, but its weights under- and overflow on long drives; so each
-    drive's pairs (order, value), and nothing else of its rows, are folded in one task.
+    The closed form of the recurrence is a weighted sum, but its weights under- and overflow on long drives; so a
+    drive's rows are folded in order, a batch at a time. A null value leaves y as it is.
     """
-    import pandas as pd
 
-    state_schema = f"{key} {dict(df.dtypes)[key]}, {order} {dict(df.dtypes)[order]}, __tie long, {name} double"
+    def start():
+        y = None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "__tie"], kind="stable")
-        y, out = None, []
-        for x in pdf["__x"]:
-            y = x if y is None else (1 - alpha) * y + alpha * x
-            out.append(y)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "__tie": pdf["__tie"], name: out})
-
-    tied = df.withColumn("__tie", F.monotonically_increasing_id()) if "scan_id" not in df.columns else df.withColumn("__tie", F.col("scan_id").cast("long"))
-    folded = tied.select(key, order, "__tie", F.col(value).cast("double").alias("__x")).groupBy(key).applyInPandas(fold, state_schema)
-    return tied.join(folded, [key, order, "__tie"]).drop("__tie")
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal y
+            out = []
+            for x in pdf[value].astype(float):
+                if x == x:
+                    y = x if y is None else (1 - alpha) * y + alpha * x
+                out.append(y)
+            return pdf.assign(**{name: np.array(out, dtype=float)})
 
+        return step
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    tie = F.col("scan_id") if "scan_id" in df.columns else F.lit(0)
+    return folded(df, key, [order, tie, F.xxhash64(*df.columns)], start, f"{fields}, `{name}` double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Params
+from ..plans.ordered import folded
 
 NAMES = ("px", "py", "pz", "qw", "qx", "qy", "qz", "vx", "vy", "vz", "bax", "bay", "baz", "bgx", "bgy", "bgz")
 
@@ -97,7 +98,7 @@ class Fold:
         self.k, self.state, self.last_imu, self.last_pose = params, state, last_imu, last_pose
 
     def take(self, stamp: int, kind: str, values) -> list[float] | None:
-        x = tuple(map(float, values))
+        x = tuple(values)
         if kind == "pose":
             if self.state is None:
                 self.state = State(p=x[:3], q=unit(x[3:7]))
@@ -124,22 +125,26 @@ def events(imu: DataFrame, poses: DataFrame) -> DataFrame:
 def observe(imu: DataFrame, poses: DataFrame, params: Params | None = None) -> DataFrame:
     """The state after every IMU sample and scan pose of each drive: drive_id, stamp_ns, kind, px..qz, v, biases.
 
-    Of one stamp the sample comes first. Each event needs the state before it, so a drive is one ordered fold; its rows
-    are small, and drives run in parallel.
+    Of one stamp the sample comes first. Each event needs the state before it, so a drive is one ordered fold, a batch
+    of events at a time; drives run in parallel.
     """
     k = params or Params()
-    e = events(imu, poses)
+    e = events(imu, poses).select("drive_id", "stamp_ns", "kind", *[F.get("v", i).alias(f"v{i}") for i in range(7)])
     schema = f"drive_id {dict(imu.dtypes)['drive_id']}, stamp_ns long, kind string, " + ", ".join(f"{c} double" for c in NAMES)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stamp_ns", "kind"], kind="stable")
-        f, rows = Fold(k), []
-        for stamp, kind, v in zip(pdf["stamp_ns"], pdf["kind"], pdf["v"], strict=True):
-            if (row := f.take(int(stamp), kind, v)) is not None:
-                rows.append((pdf["drive_id"].iloc[0], int(stamp), kind, *row))
-        return pd.DataFrame(rows, columns=["drive_id", "stamp_ns", "kind", *NAMES])
+    def start():
+        f = Fold(k)
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            drive, rows = pdf["drive_id"].iloc[0], []
+            for stamp, kind, *v in zip(pdf["stamp_ns"].tolist(), pdf["kind"].tolist(), *[pdf[f"v{i}"].tolist() for i in range(7)], strict=True):
+                if (row := f.take(stamp, kind, v)) is not None:
+                    rows.append((drive, stamp, kind, *row))
+            return pd.DataFrame(rows, columns=["drive_id", "stamp_ns", "kind", *NAMES])
+
+        return step
 
-    return e.groupBy("drive_id").applyInPandas(fold, schema)
+    return folded(e, "drive_id", ["stamp_ns", "kind", *[f"v{i}" for i in range(7)]], start, schema)
 
 
 def propagate_state(imu: DataFrame, start: DataFrame, params: Params | None = None) -> DataFrame:

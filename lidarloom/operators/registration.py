@@ -19,8 +19,7 @@ from ..functions import geometry as G
 from ..params import Params
 from ..session import stored
 from .covariance import COVS
-from .points import cell
-from .spatial import AROUND
+from .spatial import nn_within
 
 #: Homogeneous index pairs and symmetric weight entries of the 60 second-order sums.
 HOMOGENEOUS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -32,21 +31,17 @@ def correspondences(source: DataFrame, target: DataFrame, state: DataFrame, dist
     """source, target (pair_id, point_id, x, y, z, cxx..czz), state (pair_id, r, t) -> pair_id, a*, b*, the weights m**
     of each source point whose moved place has a target point nearer than distance; its nearest one counts.
 
-    The grid's cell is that distance, so one pass over 27 cells is exact. The weight is the inverse of the target's
-    covariance plus the turned one of the source.
+    The grid's cell is that distance, so one pass over 27 cells is exact; only ids and places go there, covariances are
+    joined to the one match. The weight is the inverse of the target's covariance plus the turned one of the source.
     """
     s = source.join(state.select("pair_id", "r", "t"), "pair_id")
     r, t = G.items(F.col("r"), 9), G.items(F.col("t"), 3)
-    moved = G.se3_apply(r, t, G.vec("x", "y", "z"))
-    s = s.withColumns({f"m{c}": v for c, v in zip("xyz", moved, strict=True)})
-    shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", a, strict=True)]) for a in AROUND]))
-    s = s.withColumn("__s", shifts).withColumns({f"__c{c}": cell(F.col(f"m{c}"), distance) + F.col(f"__s.{c}") for c in "xyz"}).drop("__s")
-    b = target.select("pair_id", *[cell(F.col(c), distance).alias(f"__c{c}") for c in "xyz"], F.col("point_id").alias("right_id"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"b{c}") for c in COVS])
-    d = G.sub(G.vec("mx", "my", "mz"), G.vec("bx", "by", "bz"))
-    near = s.join(b, ["pair_id", "__cx", "__cy", "__cz"]).withColumn("d2", G.dot(d, d)).filter(F.col("d2") < distance * distance)
-    keep = ["d2", "right_id", "x", "y", "z", *COVS, "bx", "by", "bz", *[f"b{c}" for c in COVS], "r"]
-    best = near.groupBy("pair_id", "point_id").agg(F.min_by(F.struct(*keep), F.struct("d2", "right_id")).alias("m")).select("pair_id", "point_id", "m.*")
-    turned = G.sym_rotate(G.items(F.col("r"), 9), G.vec(*COVS))
+    s = s.withColumns({f"m{c}": v for c, v in zip("xyz", G.se3_apply(r, t, G.vec("x", "y", "z")), strict=True)})
+    moved = s.select("pair_id", "point_id", *[F.col(f"m{c}").alias(c) for c in "xyz"])
+    near = nn_within(moved, target, distance, ["pair_id"]).withColumnRenamed("left_id", "point_id")
+    b = target.select("pair_id", F.col("point_id").alias("right_id"), *[F.col(c).alias(f"b{c}") for c in (*"xyz", *COVS)])
+    best = near.join(s.drop("mx", "my", "mz"), ["pair_id", "point_id"]).join(b, ["pair_id", "right_id"])
+    turned = G.sym_rotate(r, G.vec(*COVS))
     weight = G.sym_inverse(G.add(turned, G.vec(*[f"b{c}" for c in COVS])))
     return best.select("pair_id", "point_id", "right_id", "d2", *[F.col(c).alias(f"a{c}") for c in "xyz"], "bx", "by", "bz", *[w.alias(f"m{i}{j}") for w, (i, j) in zip(weight, SYMMETRIC, strict=True)])
 
@@ -213,7 +208,12 @@ def register(source: DataFrame, target: DataFrame, guess: DataFrame | None = Non
 
 def registration_error(source: DataFrame, target: DataFrame, state: DataFrame, distance: float) -> DataFrame:
     """pair_id, error, n_matches at given transforms: the sum of weighted squared residuals over fresh matches."""
-    m = correspondences(source, target, state, distance).join(state.select("pair_id", "r", "t"), "pair_id")
+    return error_of(correspondences(source, target, state, distance), state)
+
+
+def error_of(matches: DataFrame, state: DataFrame) -> DataFrame:
+    """The same over matches that are there already."""
+    m = matches.join(state.select("pair_id", "r", "t"), "pair_id")
     e = G.sub(G.vec("bx", "by", "bz"), G.se3_apply(G.items(F.col("r"), 9), G.items(F.col("t"), 3), G.vec("ax", "ay", "az")))
     weight = G.sym_to_mat(G.vec(*[f"m{i}{j}" for i, j in SYMMETRIC]))
     return m.groupBy("pair_id").agg(F.sum(G.dot(e, G.mat_vec(weight, e))).alias("error"), F.count(F.lit(1)).alias("n_matches"))

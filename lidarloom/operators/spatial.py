@@ -18,60 +18,83 @@ AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 PAIR = ("left_id", "right_id", "d2")
 
 
-def _celled(df: DataFrame, on: Sequence[str], point: str, size: float, name: str) -> DataFrame:
+def _celled(df: DataFrame, on: Sequence[str], point: str, size: float, name: str, also: Sequence[str]) -> DataFrame:
     at = [cell(F.col(c), size).alias(f"__c{c}") for c in "xyz"]
-    return df.select(*on, F.col(point).alias(name), *[F.col(c).alias(f"__{name}_{c}") for c in "xyz"], *at)
+    return df.select(*on, F.col(point).alias(name), *[F.col(c).alias(f"__{name}_{c}") for c in ("x", "y", "z", *also)], *at)
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], size: float, point: str = "point_id") -> DataFrame:
+def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], size: float, point: str = "point_id", offsets: bool = False, before: str | None = None) -> DataFrame:
     """Pairs in neighbouring cells of one key, with d2: all pairs no farther apart than size, and some that are.
+    offsets: also dx, dy, dz from left to right. before: a column that must be smaller on the right.
 
     The left side looks into its 27 cells, so the right side is shuffled once; the join is an equality on key and cell,
-    which AQE splits where a cell is dense.
+    which AQE splits where a cell is dense. Only ids and places are sent to the cells.
     """
+    also = [before] if before else []
     shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s, strict=True)]) for s in AROUND]))
-    a = _celled(left, on, point, size, "left_id").withColumn("__s", shifts)
+    a = _celled(left, on, point, size, "left_id", also).withColumn("__s", shifts)
     a = a.withColumns({f"__c{c}": F.col(f"__c{c}") + F.col(f"__s.{c}") for c in "xyz"}).drop("__s")
-    b = _celled(right, on, point, size, "right_id")
+    b = _celled(right, on, point, size, "right_id", also)
     d = [F.col(f"__left_id_{c}") - F.col(f"__right_id_{c}") for c in "xyz"]
     pairs = a.join(b, [*on, "__cx", "__cy", "__cz"])
-    return pairs.select(*on, *PAIR[:2], (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"))
+    if before:
+        pairs = pairs.filter(F.col(f"__right_id_{before}") < F.col(f"__left_id_{before}"))
+    more = [(-v).alias(f"d{c}") for c, v in zip("xyz", d, strict=True)] if offsets else []
+    return pairs.select(*on, *PAIR[:2], (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), *more)
 
 
-def nearest_of(pairs: DataFrame, on: Sequence[str], k: int) -> DataFrame:
-    """The k nearest of each left row, ties to the smaller right id, with their rank."""
-    w = Window.partitionBy(*on, "left_id").orderBy("d2", "right_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def nearest_of(pairs: DataFrame, on: Sequence[str], k: int, ties: bool = False) -> DataFrame:
+    """The k nearest of each left row, ties to the smaller right id, with their rank. ties: all as near as the k-th."""
+    w = Window.partitionBy(*on, "left_id")
+    rank = F.rank().over(w.orderBy("d2")) if ties else F.row_number().over(w.orderBy("d2", "right_id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float = 1.0, point: str = "point_id", max_rounds: int = 40) -> DataFrame:
+def cell_size(reach: DataFrame, k: int) -> float:
+    """A cell as large as the k-th neighbour is far in a typical key: the median, over keys, of what an even spread of
+    the key's points over its extent would give. reach: n and the extents __x, __y, __z of each key."""
+    wide = [F.col(f"__{c}") for c in "xyz"]
+    flat = sum(((w > 1e-9).cast("int") for w in wide[1:]), (wide[0] > 1e-9).cast("int"))
+    volume = wide[0] * 0 + 1.0
+    for w in wide:
+        volume = volume * F.when(w > 1e-9, w).otherwise(1.0)
+    size = 0.8 * F.pow(F.lit(float(k)) * volume / F.col("n"), 1.0 / F.greatest(flat, F.lit(1)))
+    found = reach.filter(F.col("n") > 0).agg(F.percentile_approx(size, 0.5).alias("m")).first()["m"]
+    return float(found) if found else 1.0
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float | None = None, point: str = "point_id", max_rounds: int = 60, offsets: bool = False, ties: bool = False, before: str | None = None) -> DataFrame:
     """Exact k nearest right points of each left point of the same key: on, left_id, right_id, d2, rank. A self-join
-    finds each point itself at distance 0. Fewer than k points: all of them.
+    finds each point itself at distance 0. Fewer than k points: all of them. ties: also all that are as near as the
+    k-th. offsets: also dx, dy, dz. before: a column that must be smaller on the right, such as a stamp.
 
-    A grid of cell size finds every neighbour within size. A left point is settled once its k-th neighbour is that
-    near, or cells reach over all that its key holds; the others look again with twice the size.
+    A grid of cell size finds every neighbour within size (by default measured from the density). A left point is
+    settled once its k-th neighbour is that near, or cells reach over all that its key holds; the others look again
+    with twice the size.
     """
-    reach = left.select(*on, *"xyz").unionByName(right.select(*on, *"xyz")).groupBy(*on)
-    reach = stored(reach.agg(F.greatest(*[F.max(c) - F.min(c) for c in "xyz"]).alias("__reach")))
-    todo, out, h = left.select(*on, point, *"xyz"), None, float(size)
+    places = left.select(*on, *"xyz", F.lit(0).alias("r")).unionByName(right.select(*on, *"xyz", F.lit(1).alias("r")))
+    reach = stored(places.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n")))
+    todo, out, h = left.select(*on, point, *"xyz", *([before] if before else [])), None, float(size or cell_size(reach, k))
+    mine = Window.partitionBy(*on, "left_id")
     for _ in range(max_rounds):
-        near = nearest_of(grid_pairs(todo, right, on, h, point), on, k)
+        near = nearest_of(grid_pairs(todo, right, on, h, point, offsets, before), on, k, ties)
+        near = near.withColumn("__ok", (F.count(F.lit(1)).over(mine) >= k) & (F.max("d2").over(mine) <= h * h))
         found = stored(near)
-        last = found.filter(F.col("rank") == k).filter(F.col("d2") <= h * h).select(*on, F.col("left_id").alias(point))
-        all_seen = reach.filter(F.col("__reach") <= h).select(*on)
-        open_ = todo.join(last, [*on, point], "left_anti").join(all_seen, list(on), "left_anti")
-        open_ = stored(open_)
-        done = found.join(open_.select(*on, F.col(point).alias("left_id")), [*on, "left_id"], "left_anti")
+        last = found.filter("__ok").select(*on, F.col("left_id").alias(point)).distinct()
+        all_seen = reach.filter(F.greatest("__x", "__y", "__z") <= h).select(*on)
+        open_ = stored(todo.join(last, [*on, point], "left_anti").join(all_seen, list(on), "left_anti"))
+        some = open_.limit(1).count()
+        done = found.filter("__ok").unionByName(found.filter("not __ok").join(all_seen, list(on), "left_semi")).drop("__ok")
         out = done if out is None else out.unionByName(done)
-        if not open_.limit(1).count():
+        if not some:
             return out
         todo, h = open_, 2 * h
     raise RuntimeError(f"neighbours not settled with cells of {h}")
 
 
-def radius_join(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id") -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id", offsets: bool = False) -> DataFrame:
     """All pairs of one key with a squared distance below r2."""
-    return grid_pairs(left, right, on, float(np.sqrt(r2)), point).filter(F.col("d2") < r2)
+    return grid_pairs(left, right, on, float(np.sqrt(r2)), point, offsets).filter(F.col("d2") < r2)
 
 
 def sorted_radius(pairs: DataFrame, on: Sequence[str] = ("drive_id", "scan_id")) -> DataFrame:
@@ -119,18 +142,31 @@ def merge_knn(parts: Sequence[DataFrame], k: int, on: Sequence[str] = ("drive_id
     return nearest_of(out, on, k)
 
 
-DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
-    "l2": lambda a, b: ((a[None, :] - b) ** 2).sum(1),
-    "l1": lambda a, b: np.abs(a[None, :] - b).sum(1),
-    "so2": lambda a, b: np.abs((b[:, -1] - a[-1] + np.pi) % (2 * np.pi) - np.pi),
-}
+def _l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+
+
+def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(a[:, None, :] - b[None, :, :]).sum(-1)
+
+
+def _so2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs((b[None, :, -1] - a[:, None, -1] + np.pi) % (2 * np.pi) - np.pi)
+
+
+#: Distances of all of some vectors to all of others.
+DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"l2": _l2, "l1": _l1, "so2": _so2}
+#: Numbers that a step of knn_nd holds at once.
+HELD = 1 << 22
 
 
 def knn_nd(left: DataFrame, right: DataFrame, k: int, vector: str = "embedding", point: str = "point_id", metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "l2", chunk: int = 2048, block: int = 16384) -> DataFrame:
-    """k nearest right vectors of each left vector, of any dimension: left_id, right_id, d, rank. metric: a name, or a
-    function of one vector and a block of them.
+    """k nearest right vectors of each left vector, of any dimension: left_id, right_id, d, rank; ties to the smaller
+    right id. metric: a name, or a function of some vectors (rows) and a block of others that gives a row for each of
+    the first.
 
-    Chunks of the left side meet blocks of the right; a task holds one of each and gives k rows a left row.
+    Exact in any number of dimensions, so every left vector is compared with every right one: chunks of the left side
+    meet blocks of the right, a task holds one of each, and gives k rows a left row.
     """
     distance = DISTANCES[metric] if isinstance(metric, str) else metric
     n_left, n_right = left.count(), right.count()
@@ -146,13 +182,14 @@ def knn_nd(left: DataFrame, right: DataFrame, k: int, vector: str = "embedding",
     def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(x) and len(y):
-            ids, vectors = y["id"].to_numpy(), np.stack(y["v"].to_list())
-            for own, q in zip(x["id"], x["v"], strict=True):
-                d = distance(np.asarray(q), vectors)
-                near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                near = np.flatnonzero(d <= d[near].max())  # ties of the k-th too
-                near = near[np.lexsort((ids[near], d[near]))[:k]]
-                rows.append(pd.DataFrame({"left_id": own, "right_id": ids[near], "d": d[near]}))
+            y = y.sort_values("id", kind="stable")
+            own, ids = x["id"].to_numpy(), y["id"].to_numpy()
+            queries, vectors = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
+            for some in np.array_split(np.arange(len(x)), queries.shape[1] * len(x) * len(y) // HELD + 1):
+                if len(some):
+                    d = distance(queries[some], vectors)
+                    near = np.argsort(d, axis=1, kind="stable")[:, :k]  # right rows are in order of id
+                    rows.append(pd.DataFrame({"left_id": np.repeat(own[some], near.shape[1]), "right_id": ids[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
         return pd.concat(rows) if rows else pd.DataFrame({"left_id": x["id"][:0], "right_id": y["id"][:0], "d": np.zeros(0)})
 
     found = a.groupBy("__i", "__j").cogroup(b.groupBy("__i", "__j")).applyInPandas(search, schema)

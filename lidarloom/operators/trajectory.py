@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..plans.ordered import ordinal
+from ..plans.ordered import folded, ordinal
 
 HOUR_NS = 3_600_000_000_000
 
@@ -68,28 +66,30 @@ def corrected_poses(priors: DataFrame, corrections: DataFrame) -> DataFrame:
     return with_pose(d.withColumns({"r": F.array(*r), "t": F.array(*t)}).drop("__r", "__t"))
 
 
-def accepted_length(points, least: float) -> list[float]:
-    """Running length of steps of at least `least`, each measured from the last point that was accepted."""
-    total, out, at = 0.0, [0.0] if points else [], points[0] if points else None
-    for _, p in pairwise(points):
-        d = sum((a - b) ** 2 for a, b in zip(p, at, strict=True)) ** 0.5
-        if d >= least:
-            total, at = total + d, p
-        out.append(total)
-    return out
-
-
 def trajectory_length(poses: DataFrame, least: float = 0.1, stamp: str = "stamp_ns", tie: str = "scan_id") -> DataFrame:
-    """(drive_id, stamp, tie, px, py, pz) -> drive_id, stamp, tie, length so far. Each step depends on which poses were
-    accepted before, so a drive's poses, five numbers each, are folded in order in one place."""
+    """(drive_id, stamp, tie, px, py, pz) -> drive_id, stamp, tie, length so far: the sum of steps of at least `least`,
+    each measured from the last pose that was accepted. A step depends on which poses were accepted before, so a drive's
+    poses, six numbers each, are folded in order, a batch at a time."""
     kinds = dict(poses.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([stamp, tie])
-        return pdf[["drive_id", stamp, tie]].assign(length=accepted_length(list(zip(pdf["px"], pdf["py"], pdf["pz"], strict=True)), least))
+    def start():
+        at, total = None, 0.0
+
+        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal at, total
+            out = []
+            for p in pdf[["px", "py", "pz"]].to_numpy(float).tolist():
+                at = p if at is None else at
+                d = sum((a - b) ** 2 for a, b in zip(p, at, strict=True)) ** 0.5
+                if d >= least:
+                    total, at = total + d, p
+                out.append(total)
+            return pdf[["drive_id", stamp, tie]].assign(length=out)
+
+        return step
 
     slim = poses.select("drive_id", stamp, tie, "px", "py", "pz")
-    return slim.groupBy("drive_id").applyInPandas(fold, f"drive_id {kinds['drive_id']}, {stamp} {kinds[stamp]}, {tie} {kinds[tie]}, length double")
+    return folded(slim, "drive_id", [stamp, tie], start, f"drive_id {kinds['drive_id']}, {stamp} {kinds[stamp]}, {tie} {kinds[tie]}, length double")
 
 
 def wait_until_move(scans: DataFrame, lengths: DataFrame, least: float = 0.1) -> DataFrame:
@@ -121,7 +121,7 @@ def run_statistics(scans: DataFrame) -> DataFrame:
     return scans.groupBy("drive_id").agg(
         F.count(F.lit(1)).alias("n_scans"), F.avg("comp_time").alias("avg_comp_time"), F.max("comp_time").alias("max_comp_time"), F.avg("rate").alias("avg_rate"),
         F.count_if("is_keyframe").alias("n_keyframes"), F.sum("deskew_stamps").alias("n_deskew_stamps"),
-        F.max_by(F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2), "scan_stamp_ns").alias("distance_to_origin"),
+        F.max_by(F.sqrt(F.col("px") ** 2 + F.col("py") ** 2 + F.col("pz") ** 2), F.struct("scan_stamp_ns", *[c for c in ("scan_id",) if c in scans.columns])).alias("distance_to_origin"),
     )
 
 

@@ -1,13 +1,17 @@
-"""Ordered plans that Spark has no operator for: places in an order, and as-of joins.
+"""Ordered plans that Spark has no operator for: places in an order, rows before, as-of joins, and folds.
 
-Both work in two levels: rows are ordered within (key, bucket) and only a row a bucket is ordered within the key, so a
-key of any length is spread over tasks.
+All but the folds work in two levels: rows are ordered within (key, bucket) and only a row a bucket is ordered within
+the key, so a key of any length is spread over tasks. A fold, whose every step needs the state before it, runs through a
+key's rows one Arrow batch after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +55,35 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_stamp: str
     upto = Window.partitionBy(*keys, "__b").orderBy("__t", "__side", *ties).rowsBetween(Window.unboundedPreceding, 0)
     both = right_side.unionByName(left_side).withColumn("__found", F.last("__row", ignorenulls=True).over(upto)).filter(F.col("__left").isNotNull())
     return both.join(seeds, [*keys, "__b"], "left").select("__left.*", F.coalesce("__found", "__seed").alias(name))
+
+
+def folded(df: DataFrame, key: str, order: Sequence[str | Column], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """Each key's rows in order through one function made by start(), a frame of neighbouring rows at a time; what it
+    keeps between calls is the fold's state. Memory is a batch and the state, however long a key's rows are."""
+
+    def run(batches):
+        now, step = None, None
+        for pdf in batches:
+            keys = pdf[key].to_numpy()
+            same = (keys[1:] == keys[:-1]) | (pd.isna(keys[1:]) & pd.isna(keys[:-1]))
+            for a, b in pairwise([0, *(np.flatnonzero(~same) + 1).tolist(), len(keys)]):
+                if a == b:
+                    continue
+                if step is None or not (keys[a] == now or (pd.isna(keys[a]) and pd.isna(now))):
+                    now, step = keys[a], start()
+                yield step(pdf.iloc[a:b])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def before(df: DataFrame, keys: Sequence[str], stamp: str, width: int, columns: Sequence[str], tie: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """df plus name: the struct of `columns` of the row before, by stamp and tie, within the same keys; null for the
+    first. width: of a bucket, in stamp's unit."""
+    d = df.withColumn("__b", bucket_of(F.col(stamp), width))
+    held = F.struct(*columns)
+    last = d.groupBy(*keys, "__b").agg(F.max_by(held, F.struct(stamp, *tie)).alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__b")
+    last = last.select(*keys, "__b", F.lag("__last").over(earlier).alias("__seed"))
+    own = Window.partitionBy(*keys, "__b").orderBy(stamp, *tie)
+    d = d.withColumn(name, F.lag(held).over(own)).join(last, [*keys, "__b"])
+    return d.withColumn(name, F.coalesce(name, "__seed")).drop("__b", "__seed")

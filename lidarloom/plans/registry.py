@@ -6,36 +6,22 @@ Values that are sums of floating-point numbers are returned as whole micro-units
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import covariance, deskew, imu, keyframes, mapping, observer, points, registration, spatial, trajectory
+from ..operators import covariance, deskew, imu, keyframes, mapping, points, registration, spatial, trajectory
 from ..params import Params
+from ..session import stored
 from ..sources import tables
-from .inputs import oracle, read
+from .recorded import RECORDED, micro, query, sql_units, units
 
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
 #: A mounting turned by a quarter about z, and half a metre forward.
 TURN, ARM = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [0.5, 0.0, 0.0]
 SCALE, ACCEL_BIAS, GYRO_BIAS = [1.01, 0.0, 0.0, 0.0, 0.99, 0.0, 0.0, 0.0, 1.0], [0.1, -0.2, 0.05], [0.01, 0.02, -0.01]
-RECORDED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def micro(c: Column | str, name: str) -> Column:
-    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6).cast("bigint").alias(name)
-
-
-def query(sql: str | None = None):
-    """Registers a function of the reader of sensor tables as a query, with its oracle."""
-
-    def add(f):
-        RECORDED[f.__name__] = (lambda spark, sf_dir: f(partial(read, spark, sf_dir)), None if sql is None else oracle(sql))
-        return f
-
-    return add
 
 
 def calibrations(imu_: DataFrame) -> DataFrame:
@@ -49,9 +35,13 @@ CROPPED = "SELECT * FROM points WHERE NOT (x BETWEEN -1 AND 1 AND y BETWEEN -1 A
 MEDIANS = f"SELECT drive_id, scan_id, list_sort(list(sqrt(x * x + y * y)))[count(*) // 2 + 1] AS median_range FROM ({CROPPED}) GROUP BY ALL"
 
 
-@query(CROPPED)
+BAD = "CASE WHEN intensity = 1 THEN CAST('nan' AS DOUBLE) WHEN intensity = 2 THEN CAST('infinity' AS DOUBLE) WHEN intensity = 3 THEN NULL ELSE z END"
+
+
+@query(f"SELECT * FROM ({CROPPED}) WHERE intensity NOT IN (1, 2, 3)")
 def crop_nan(t):
-    return points.clean_scan(t("points"))
+    """Some points get a height that is no number, infinite or null."""
+    return points.clean_scan(t("points").withColumn("z", F.expr(BAD.replace("CAST('nan' AS DOUBLE)", "double('NaN')").replace("CAST('infinity' AS DOUBLE)", "double('Infinity')"))))
 
 
 @query(f"""SELECT drive_id, scan_id, vx, vy, vz, n, sx / n / 1000000 AS x, sy / n / 1000000 AS y, sz / n / 1000000 AS z, si / n / 1000000 AS intensity FROM (
@@ -121,22 +111,24 @@ def elapsed_time(t):
     return imu.elapsed_time(t("imu"), "stamp_ns").select("drive_id", "event_id", "elapsed", "scan_dt")
 
 
-MONTH = Params(imu_calib_time_s=30 * 86400.0)
-STILL = "SELECT * FROM (SELECT *, (stamp_ns - min(stamp_ns) OVER (PARTITION BY drive_id)) / 1000000000e0 AS age FROM imu) WHERE age < 2592000"
+STILL_SECONDS = 5 * 86400.0
+STILL = f"SELECT * FROM (SELECT *, (stamp_ns - min(stamp_ns) OVER (PARTITION BY drive_id)) / 1000000000e0 AS age FROM imu) WHERE age < {STILL_SECONDS}"
 MEANS = ", ".join(f"CAST(sum(CAST(round({c} * 1e6) AS BIGINT)) AS BIGINT) / count(*) / 1e6 AS mean_{c}" for c in ("wx", "wy", "wz", "ax", "ay", "az"))
 
 
-@query(f"""SELECT drive_id, n, mean_wx AS bg_x, mean_wy AS bg_y, mean_wz AS bg_z, CAST(round((mean_ax - mean_ax / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_x,
-        CAST(round((mean_ay - mean_ay / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_y, CAST(round((mean_az - mean_az / size * 9.80665e0) * 1e6) AS BIGINT) AS ba_z FROM (
-    SELECT *, sqrt(mean_ax * mean_ax + mean_ay * mean_ay + mean_az * mean_az) AS size FROM (SELECT drive_id, count(*) AS n, {MEANS} FROM ({STILL}) GROUP BY drive_id))""")
+@query(f"""SELECT drive_id, n, mean_wx AS bg_x, mean_wy AS bg_y, mean_wz AS bg_z, {sql_units('mean_ax - ux * 9.80665e0', 'ba_x')}, {sql_units('mean_ay - uy * 9.80665e0', 'ba_y')}, {sql_units('mean_az - uz * 9.80665e0', 'ba_z')},
+        {sql_units('(1 + uz) / size2', 'qw')}, {sql_units('uy / size2', 'qx')}, {sql_units('-ux / size2', 'qy')}, {sql_units('0e0', 'qz')} FROM (
+    SELECT *, sqrt((1 + uz) ** 2 + ux ** 2 + uy ** 2) AS size2 FROM (SELECT *, mean_ax / size AS ux, mean_ay / size AS uy, mean_az / size AS uz FROM (
+    SELECT *, sqrt(mean_ax * mean_ax + mean_ay * mean_ay + mean_az * mean_az) AS size FROM (SELECT drive_id, count(*) AS n, {MEANS} FROM ({STILL}) GROUP BY drive_id))))""")
 def imu_calibration(t):
-    c = imu.calibrate_imu(t("imu"), MONTH)
-    return c.select("drive_id", "n", *[F.get("gyro_bias", i).alias(f"bg_{a}") for i, a in enumerate("xyz")], *[micro(F.get("accel_bias", i), f"ba_{a}") for i, a in enumerate("xyz")])
+    """Gravity's direction u turns upright by the quaternion (1 + u.z, u x z), brought to length 1."""
+    c = imu.calibrate_imu(t("imu"), Params(imu_calib_time_s=STILL_SECONDS))
+    return c.select("drive_id", "n", *[F.get("gyro_bias", i).alias(f"bg_{a}") for i, a in enumerate("xyz")], *[units(F.get("accel_bias", i), f"ba_{a}") for i, a in enumerate("xyz")], *[units(q, q) for q in ("qw", "qx", "qy", "qz")])
 
 
 @query(f"SELECT drive_id, event_id, stamp_ns FROM ({STILL})")
 def calibration_window(t):
-    return imu.calibration_window(t("imu"), MONTH.imu_calib_time_s).select("drive_id", "event_id", "stamp_ns")
+    return imu.calibration_window(t("imu"), STILL_SECONDS).select("drive_id", "event_id", "stamp_ns")
 
 
 @query("""SELECT drive_id, event_id, 1.01e0 * ax + 0e0 * ay + 0e0 * az - 0.1e0 AS ax, 0e0 * ax + 0.99e0 * ay + 0e0 * az - -0.2e0 AS ay, 0e0 * ax + 0e0 * ay + 1e0 * az - 0.05e0 AS az,
@@ -208,9 +200,9 @@ def sensor_times(t):
     return livox.select(*keep).unionByName(velodyne.select(*keep))
 
 
-@query("SELECT s.drive_id, s.scan_id, s.scan_stamp_ns FROM (SELECT drive_id, scan_id, max(stamp_ns) AS scan_stamp_ns FROM stamps GROUP BY ALL) s WHERE scan_stamp_ns > (SELECT min(i.stamp_ns) FROM imu i WHERE i.drive_id = s.drive_id)")
+@query("SELECT s.drive_id, s.scan_id, s.scan_stamp_ns FROM (SELECT drive_id, scan_id, min(stamp_ns) AS scan_stamp_ns FROM stamps GROUP BY ALL) s WHERE scan_stamp_ns > (SELECT min(i.stamp_ns) FROM imu i WHERE i.drive_id = s.drive_id)")
 def first_valid_scan_gate(t):
-    scans = t("stamps").groupBy("drive_id", "scan_id").agg(F.max("stamp_ns").alias("scan_stamp_ns"))
+    scans = t("stamps").groupBy("drive_id", "scan_id").agg(F.min("stamp_ns").alias("scan_stamp_ns"))
     return points.first_valid_scan_gate(scans, t("imu"))
 
 
@@ -228,7 +220,7 @@ KNN8 = KNN.format(PAIRS, 8)
 
 @query(KNN8)
 def knn_3d(t):
-    return spatial.knn_join(t("cloud"), t("cloud"), 8, size=1.0)
+    return spatial.knn_join(t("cloud"), t("cloud"), 8)
 
 
 @query(f"SELECT * FROM ({PAIRS}) WHERE d2 < 2.25")
@@ -261,6 +253,9 @@ def knn_approximate(t):
 
 ACROSS = "SELECT a.scan_id AS pair_id, a.point_id AS left_id, b.point_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a JOIN cloud b ON b.scan_id = a.scan_id + 1"
 NEAREST = f"SELECT * FROM ({ACROSS}) WHERE d2 < 1 QUALIFY row_number() OVER (PARTITION BY pair_id, left_id ORDER BY d2, right_id) = 1"
+#: Covariances that differ from point to point, and a pose that turns about all three axes.
+POINT_COVS = {"cxx": "1 + point_id % 5 / 10e0", "cxy": "point_id % 4 / 20e0", "cxz": "0.05e0", "cyy": "1 + point_id % 7 / 10e0", "cyz": "-(point_id % 2) / 20e0", "czz": "1 + point_id % 3 / 10e0"}
+POSE_T = [0.05, -0.03, 0.02]
 
 
 def paired(t) -> tuple[DataFrame, DataFrame]:
@@ -291,7 +286,7 @@ def knn_of_parts(t):
 
 
 @query("""SELECT left_id, right_id, rank FROM (SELECT a.vec_id AS left_id, b.vec_id AS right_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), b.vec_id) AS rank
-    FROM (SELECT * FROM embeddings WHERE vec_id < 100000) a, embeddings b) WHERE rank <= 5""")
+    FROM embeddings a, embeddings b) WHERE rank <= 5""")
 def knn_nd(t):
     e = t.func(*t.args, "cloud").sparkSession.read.parquet(f"{t.args[1]}/embeddings.parquet")
     return spatial.knn_nd(e, e, 5, "embedding", "vec_id").select("left_id", "right_id", "rank")
@@ -312,87 +307,144 @@ def local_cov_raw(t):
     return out.select("drive_id", "scan_id", "point_id", "n", *[micro(x, x) for x in covariance.COVS])
 
 
-@query(f"SELECT k.drive_id, k.scan_id, k.left_id AS point_id, count(*) AS n, CAST(2001 AS BIGINT) AS trace FROM ({KNN8}) k GROUP BY ALL")
-def local_cov_plane(t):
-    c = t("cloud")
-    out = covariance.local_covariance(spatial.knn_join(c, c, 8), c, "PLANE")
-    return out.select("drive_id", "scan_id", "point_id", "n", F.round((F.col("cxx") + F.col("cyy") + F.col("czz")) * 1000).cast("bigint").alias("trace"))
+RAW = ", ".join(f"covar_pop(b.{a}, b.{b}) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+#: The smallest eigenvalue of a symmetric matrix by the cosine formula, and its direction as the longest product of two
+#: rows of the matrix less that eigenvalue.
+PLANES = f"""WITH c AS (SELECT k.drive_id, k.scan_id, k.left_id AS point_id, count(*) AS n, {RAW} FROM ({KNN8}) k JOIN cloud b ON k.scan_id = b.scan_id AND k.right_id = b.point_id GROUP BY ALL),
+    m AS (SELECT *, (cxx + cyy + czz) / 3 AS q FROM c),
+    p AS (SELECT *, sqrt(((cxx - q) ** 2 + (cyy - q) ** 2 + (czz - q) ** 2 + 2 * (cxy ** 2 + cxz ** 2 + cyz ** 2)) / 6) AS p FROM m),
+    d AS (SELECT *, (cxx - q) * ((cyy - q) * (czz - q) - cyz * cyz) - cxy * (cxy * (czz - q) - cyz * cxz) + cxz * (cxy * cyz - (cyy - q) * cxz) AS det FROM p),
+    e AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, det / (2 * p ** 3)))) / 3 + 2 * pi() / 3) AS low FROM d),
+    v AS (SELECT *, unnest([[cxy * cyz - cxz * (cyy - low), cxz * cxy - (cxx - low) * cyz, (cxx - low) * (cyy - low) - cxy * cxy],
+        [cxy * (czz - low) - cxz * cyz, cxz * cxz - (cxx - low) * (czz - low), (cxx - low) * cyz - cxy * cxz],
+        [(cyy - low) * (czz - low) - cyz * cyz, cyz * cxz - cxy * (czz - low), cxy * cyz - (cyy - low) * cxz]]) AS w FROM e),
+    u AS (SELECT *, sqrt(w[1] ** 2 + w[2] ** 2 + w[3] ** 2) AS size FROM v QUALIFY row_number() OVER (PARTITION BY scan_id, point_id ORDER BY size DESC) = 1)
+    SELECT drive_id, scan_id, point_id, n, {", ".join(sql_units(f"{int(i == j)} - 0.999e0 * w[{i}] * w[{j}] / size ** 2", name, 1e4) for name, i, j in (("cxx", 1, 1), ("cxy", 1, 2), ("cxz", 1, 3), ("cyy", 2, 2), ("cyz", 2, 3), ("czz", 3, 3)))} FROM u"""
 
 
-@query(f"""SELECT m.pair_id, count(*) AS n_matches, CAST(round(sum(0.5e0 * m.d2) * 1e6) AS BIGINT) AS error, CAST(round(sum(0.5e0 * a.x * a.x) * 1e6) AS BIGINT) AS g_xx,
-    CAST(round(sum(0.5e0 * a.x * b.y) * 1e6) AS BIGINT) AS h_xy FROM ({NEAREST}) m JOIN cloud a ON a.point_id = m.left_id JOIN cloud b ON b.point_id = m.right_id GROUP BY ALL""")
+@query(PLANES)
+def local_cov_plane(t):
+    c = t("cloud")
+    out = covariance.local_covariance(spatial.knn_join(c, c, 8, offsets=True), c, "PLANE")
+    return out.select("drive_id", "scan_id", "point_id", "n", *[units(x, x, 1e4) for x in covariance.COVS])
+
+
+def turn_of(wx: float, wy: float, wz: float) -> list[float]:
+    return registration.rotation(np.array([wx, wy, wz])).ravel().tolist()
+
+
+ROTATION = turn_of(0.03, -0.02, 0.05)
+
+
+def sums_sql() -> str:
+    """Matches at the pose, weights by the inverse of the turned and the other covariance, and every sum by its name."""
+    r, t = np.array(ROTATION).reshape(3, 3).tolist(), POSE_T
+    moved = [" + ".join(f"{r[i][j]!r}::DOUBLE * {c}" for j, c in enumerate("xyz")) + f" + {t[i]!r}::DOUBLE" for i in range(3)]
+    at = lambda i, j: "cxx cxy cxz cyy cyz czz".split()[{(0, 0): 0, (0, 1): 1, (0, 2): 2, (1, 1): 3, (1, 2): 4, (2, 2): 5}[min(i, j), max(i, j)]]
+    turned = {(i, j): " + ".join(f"{r[i][k] * r[j][m]!r}::DOUBLE * a.{at(k, m)}" for k in range(3) for m in range(3)) + f" + b.{at(i, j)}" for i, j in registration.SYMMETRIC}
+    s = "".join(f", {e} AS s{i}{j}" for (i, j), e in turned.items())
+    low = {(0, 0): "s11 * s22 - s12 * s12", (0, 1): "s02 * s12 - s01 * s22", (0, 2): "s01 * s12 - s02 * s11", (1, 1): "s00 * s22 - s02 * s02", (1, 2): "s01 * s02 - s00 * s12", (2, 2): "s00 * s11 - s01 * s01"}
+    inverse = ", ".join(f"({e}) / det AS m{i}{j}" for (i, j), e in low.items())
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    a, b = ("ax", "ay", "az", "1"), ("bx", "b_y", "bz")
+    mb = [" + ".join(f"{m(i, j)} * {b[j]}" for j in range(3)) for i in range(3)]
+    out = [sql_units(f"sum({a[i]} * {a[j]} * {m(*k)})", f"g_{i}{j}_{k[0]}{k[1]}", 1e3) for i, j in registration.HOMOGENEOUS for k in registration.SYMMETRIC]
+    out += [sql_units(f"sum({a[i]} * ({mb[k]}))", f"h_{i}_{k}", 1e3) for i in range(4) for k in range(3)]
+    out.append(sql_units("sum(" + " + ".join(f"{b[k]} * ({mb[k]})" for k in range(3)) + ")", "e_bb", 1e3))
+    e = [f"({b[i]} - (" + " + ".join(f"{r[i][j]!r}::DOUBLE * {a[j]}" for j in range(3)) + f" + {t[i]!r}::DOUBLE))" for i in range(3)]
+    out.append(sql_units("sum(" + " + ".join(f"{e[i]} * {m(i, j)} * {e[j]}" for i in range(3) for j in range(3)) + ")", "error", 1e3))
+    covs = ", ".join(f"{e} AS {c}" for c, e in POINT_COVS.items())
+    return f"""WITH p AS (SELECT *, {covs} FROM cloud), q AS (SELECT *, {moved[0]} AS mx, {moved[1]} AS my, {moved[2]} AS mz FROM p),
+        n AS (SELECT a.scan_id AS pair_id, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS b_y, b.z AS bz, (a.mx - b.x) * (a.mx - b.x) + (a.my - b.y) * (a.my - b.y) + (a.mz - b.z) * (a.mz - b.z) AS d2{s}
+            FROM q a JOIN p b ON b.scan_id = a.scan_id + 1 WHERE d2 < 1 QUALIFY row_number() OVER (PARTITION BY a.scan_id, a.point_id ORDER BY d2, b.point_id) = 1),
+        d AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM n), w AS (SELECT *, {inverse} FROM d)
+        SELECT pair_id, count(*) AS n_matches, {", ".join(out)} FROM w GROUP BY pair_id"""
+
+
+@query(sums_sql())
 def normal_eq_sums(t):
-    a, b = paired(t)
-    state = registration.start_state(a, None, "int")
-    m = registration.correspondences(a, b, state, 1.0)
-    sums = registration.normal_equations(m).select("pair_id", "n_matches", micro("g_00_00", "g_xx"), micro("h_0_1", "h_xy"))
-    error = registration.registration_error(a, b, state, 1.0).select("pair_id", micro("error", "error"))
-    return sums.join(error, "pair_id")
+    a, b = (x.withColumns({c: F.expr(e) for c, e in POINT_COVS.items()}) for x in paired(t))
+    guess = a.select("pair_id").distinct().withColumns({"r": F.array(*map(F.lit, ROTATION)), "t": F.array(*map(F.lit, POSE_T))})
+    state = registration.start_state(a, guess, "int")
+    m = stored(registration.correspondences(a, b, state, 1.0))
+    sums = registration.normal_equations(m)
+    sums = sums.select("pair_id", "n_matches", *[units(c, c, 1e3) for c in sums.columns if c not in ("pair_id", "n_matches")])
+    return sums.join(registration.error_of(m, state).select("pair_id", units("error", "error", 1e3)), "pair_id")
 
 
-@query()
+@query()  # no SQL: the tests run the same steps on plain arrays
 def register_pairs(t):
     a, b = paired(t)
     return registration.register(a, b, distance=1.0).select("pair_id", "converged", "iterations", "n_matches", "error", "r", "t")
 
 
-GAPS = """SELECT p.drive_id, p.pose_id, k.pose_id AS kf_id, sqrt((p.px - k.px) * (p.px - k.px) + (p.py - k.py) * (p.py - k.py) + (p.pz - k.pz) * (p.pz - k.pz)) AS distance
-    FROM (SELECT * FROM poses WHERE pose_id % 10 = 0) p JOIN (SELECT * FROM poses WHERE pose_id % 7 = 0) k USING (drive_id)"""
+#: Keyframes: the first pose of each square metre of a drive.
+KEYFRAMES = "SELECT * FROM poses WHERE (drive_id, pose_id) IN (SELECT (drive_id, min(pose_id)) FROM poses GROUP BY drive_id, floor(px), floor(py))"
+GAPS = f"""SELECT p.drive_id, p.pose_id, k.pose_id AS kf_id, k.py AS ky, (p.px - k.px) * (p.px - k.px) + (p.py - k.py) * (p.py - k.py) + (p.pz - k.pz) * (p.pz - k.pz) AS d2
+    FROM poses p JOIN ({KEYFRAMES}) k USING (drive_id)"""
 
 
-def gaps(t) -> DataFrame:
+def square_keyframes(t) -> DataFrame:
     p = t("poses")
-    k = p.filter("pose_id % 7 = 0").select("drive_id", F.col("pose_id").alias("kf_id"), "stamp_ns", "px", "py", "pz")
-    at = p.filter("pose_id % 10 = 0").withColumn("scan_id", F.col("pose_id"))
-    return keyframes.pose_distances(at, k, earlier_only=False).withColumnRenamed("scan_id", "pose_id")
+    first = p.groupBy("drive_id", F.floor("px").alias("i"), F.floor("py").alias("j")).agg(F.min("pose_id").alias("pose_id"))
+    return p.join(first.select("drive_id", "pose_id"), ["drive_id", "pose_id"], "left_semi").withColumn("kf_id", F.col("pose_id"))
+
+
+def nearest_sql(k: int, where: str = "true") -> str:
+    return f"SELECT drive_id, pose_id, kf_id FROM ({GAPS}) WHERE {where} QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY d2) <= {k}"
 
 
-KF_SQL = f"SELECT drive_id, pose_id, kf_id FROM ({GAPS}) QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 10"
+def hull_sql(table: str) -> str:
+    """Corners of a drive's points in the plane: from a corner some line goes to another point with none to its left, and
+    none behind it. table: drive_id, kf_id, px, py, places distinct."""
+    cross = "((b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px))"
+    behind = "((c.px - a.px) * (b.px - a.px) + (c.py - a.py) * (b.py - a.py))"
+    return f"""SELECT DISTINCT a.drive_id, a.kf_id FROM {table} a JOIN {table} b ON a.drive_id = b.drive_id AND a.kf_id <> b.kf_id
+        WHERE NOT EXISTS (SELECT 1 FROM {table} c WHERE c.drive_id = a.drive_id AND ({cross} > 1e-9 OR (abs({cross}) <= 1e-9 AND {behind} < -1e-9)))"""
 
 
-@query(KF_SQL)
+@query(nearest_sql(10))
 def topk_ties(t):
-    return keyframes.top_k_with_ties(gaps(t), 10, "distance", ["drive_id", "pose_id"]).select("drive_id", "pose_id", "kf_id")
+    return keyframes.nearest_keyframes(t("poses"), square_keyframes(t), 10, "pose_id").drop("distance")
 
 
-@query(f"""{KF_SQL} UNION SELECT drive_id, pose_id, kf_id FROM ({GAPS}) WHERE kf_id % 2 = 0 QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 5
-    UNION SELECT drive_id, pose_id, kf_id FROM ({GAPS}) WHERE kf_id % 3 = 0 QUALIFY rank() OVER (PARTITION BY drive_id, pose_id ORDER BY distance) <= 5""")
+#: The keyframe with the smallest id in each row of squares stands for a second set.
+ROWS_OF = f"(drive_id, kf_id) IN (SELECT (drive_id, min(pose_id)) FROM ({KEYFRAMES}) GROUP BY drive_id, floor(py))"
+
+
+@query(f"""WITH k AS (SELECT drive_id, pose_id AS kf_id, px, py FROM ({KEYFRAMES})), h AS ({hull_sql("k")})
+    {nearest_sql(10)} UNION {nearest_sql(5, "(drive_id, kf_id) IN (SELECT (drive_id, kf_id) FROM h)")} UNION {nearest_sql(5, ROWS_OF)}""")
 def submap_select(t):
-    d = gaps(t)
-    hull, concave = (d.filter(F.col("kf_id") % n == 0).select("drive_id", "kf_id").distinct() for n in (2, 3))
-    return keyframes.submap_select(d, hull, concave, 10, 5, 5, ["drive_id", "pose_id"])
+    k = stored(square_keyframes(t))
+    rows = k.groupBy("drive_id", F.floor("py").alias("j")).agg(F.min("kf_id").alias("kf_id"))
+    return keyframes.submap_select(t("poses"), k, keyframes.convex_hull_keyframes(k), rows, 10, 5, 5, "pose_id")
 
 
 @query(f"""SELECT drive_id, pose_id, members, members IS DISTINCT FROM lag(members) OVER (PARTITION BY drive_id ORDER BY pose_id) AS changed FROM (
-    SELECT drive_id, pose_id, array_to_string(list_sort(list(DISTINCT kf_id)), ',') AS members FROM ({KF_SQL}) GROUP BY ALL)""")
+    SELECT drive_id, pose_id, array_to_string(list_sort(list(DISTINCT kf_id)), ',') AS members FROM ({nearest_sql(10)}) GROUP BY ALL)""")
 def submap_changed(t):
     m = keyframes.submap_key(topk_ties(t), ["drive_id", "pose_id"])
     return keyframes.submap_changed(m, "pose_id").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
-@query(f"SELECT drive_id, pose_id, min({{'d': distance, 'k': kf_id}}).k AS kf_id, min(distance) AS distance, count(*) FILTER (distance <= 1.5) AS n_nearby FROM ({GAPS}) GROUP BY ALL")
+@query(f"SELECT drive_id, pose_id, min({{'d': d2, 'k': kf_id}}).k AS kf_id, sqrt(min(d2)) AS distance, count(*) FILTER (sqrt(d2) <= 1.5) AS n_nearby FROM ({GAPS}) GROUP BY ALL")
 def nearest_keyframe(t):
-    p = t("poses")
-    k = p.filter("pose_id % 7 = 0").withColumn("kf_id", F.col("pose_id"))
-    return keyframes.nearest_keyframe(p.filter("pose_id % 10 = 0"), k, 1.0)
+    return keyframes.nearest_keyframe(t("poses"), square_keyframes(t), 1.0)
 
 
-@query("""SELECT s.drive_id, s.pose_id, s.kf_id, p.px, p.py, p.pz FROM (""" + KF_SQL + """) s JOIN poses p ON s.drive_id = p.drive_id AND s.kf_id = p.pose_id""")
+@query(f"SELECT s.drive_id, s.pose_id, s.kf_id, p.px, p.py, p.pz FROM ({nearest_sql(10)}) s JOIN poses p ON s.drive_id = p.drive_id AND s.kf_id = p.pose_id")
 def submap_assemble(t):
     kf_points = t("poses").select("drive_id", F.col("pose_id").alias("kf_id"), "px", "py", "pz")
     return keyframes.submap_assemble(topk_ties(t), kf_points, ["drive_id", "pose_id"])
 
 
-DIRECTIONS = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(keyframes.directions(64)))
-
-
-@query(f"""SELECT DISTINCT drive_id, kf_id FROM (SELECT p.drive_id, d.i, p.pose_id AS kf_id, row_number() OVER (PARTITION BY p.drive_id, d.i ORDER BY px * d.x + py * d.y + pz * d.z DESC, p.pose_id) AS k
-    FROM (SELECT *, count(*) OVER (PARTITION BY drive_id) AS n FROM poses) p, (VALUES {DIRECTIONS}) AS d(i, x, y, z) WHERE n >= 4) WHERE k = 1""")
+@query(f"""WITH e AS (SELECT drive_id, px, py, min(pose_id) AS kf_id FROM poses GROUP BY ALL), n AS (SELECT drive_id FROM poses GROUP BY drive_id HAVING count(*) >= 4),
+    k AS (SELECT e.* FROM e JOIN n USING (drive_id) QUALIFY py = min(py) OVER (PARTITION BY drive_id, px) OR py = max(py) OVER (PARTITION BY drive_id, px)) {hull_sql("k")}""")
 def convex_hull(t):
-    return keyframes.convex_hull_keyframes(t("poses").withColumn("kf_id", F.col("pose_id")), 64)
+    return keyframes.convex_hull_keyframes(t("poses").withColumn("kf_id", F.col("pose_id")))
 
 
-@query()
+@query()  # no SQL: the tests decide every ball by brute force
 def concave_hull(t):
     p = t("poses").withColumn("kf_id", F.col("pose_id")).withColumn("pz", (F.col("pose_id") % 31) / 10.0)
     return keyframes.concave_hull_keyframes(p, 0.8)
@@ -405,11 +457,6 @@ def attitudes(t) -> DataFrame:
     return t("poses").withColumn("scan_id", F.col("pose_id").cast("long")).withColumns(turn)
 
 
-@query()
-def select_keyframes(t):
-    return keyframes.select_keyframes(attitudes(t), 1.0, 45.0)
-
-
 @query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id) AS k FROM poses),
     r AS (SELECT drive_id, pose_id, k, px AS ax, py AS ay, 0e0 AS length FROM o WHERE k = 1
         UNION ALL SELECT o.drive_id, o.pose_id, o.k, CASE WHEN sqrt((o.px - r.ax) ** 2 + (o.py - r.ay) ** 2) >= 0.1 THEN o.px ELSE r.ax END,
@@ -421,37 +468,59 @@ def trajectory_length(t):
     return trajectory.trajectory_length(t("poses"), 0.1, tie="pose_id").select("drive_id", "pose_id", micro("length", "length"))
 
 
-@query("""SELECT drive_id, pose_id AS scan_id, CAST(round(sum(px) OVER w * 1e6) AS BIGINT) AS px, CAST(round(sum(py) OVER w * 1e6) AS BIGINT) AS py FROM poses
-    WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns, pose_id ROWS UNBOUNDED PRECEDING)""")
+#: Each step turns about z by an angle of its own; a drive's place is the sum of its steps, each turned by all angles
+#: before it.
+ANGLE = "(pose_id % 41 - 20) / 100e0"
+
+
+@query(f"""WITH a AS (SELECT *, {ANGLE} AS angle FROM poses), b AS (SELECT *, sum(angle) OVER w AS upto, coalesce(sum(angle) OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM a WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns, pose_id ROWS UNBOUNDED PRECEDING))
+    SELECT drive_id, pose_id AS scan_id, {sql_units("sum(cos(before) * px - sin(before) * py) OVER w", "px", 1e5)}, {sql_units("sum(sin(before) * px + cos(before) * py) OVER w", "py", 1e5)}, {sql_units("0", "pz", 1e5)},
+        {sql_units("cos(upto)", "r00", 1e5)}, {sql_units("sin(upto)", "r10", 1e5)}, {sql_units("abs(cos(upto / 2))", "qw", 1e5)} FROM b WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns, pose_id ROWS UNBOUNDED PRECEDING)""")
 def chain_poses(t):
-    eye = F.array(*map(F.lit, registration.EYE))
-    steps = t("poses").select("drive_id", F.col("pose_id").cast("long").alias("scan_id"), "stamp_ns", eye.alias("r"), F.array("px", "py", "pz").alias("t"))
-    return trajectory.chain_poses(steps, 3650 * DAY_NS).select("drive_id", "scan_id", micro("px", "px"), micro("py", "py"))
+    a, o, one = F.expr(ANGLE), F.lit(0.0), F.lit(1.0)
+    turn = F.array(F.cos(a), -F.sin(a), o, F.sin(a), F.cos(a), o, o, o, one)
+    steps = t("poses").select("drive_id", F.col("pose_id").cast("long").alias("scan_id"), "stamp_ns", turn.alias("r"), F.array("px", "py", "pz").alias("t"))
+    out = trajectory.chain_poses(steps, 360 * DAY_NS)
+    return out.select("drive_id", "scan_id", *[units(f"p{c}", f"p{c}", 1e5) for c in "xyz"], units(F.get("r", 0), "r00", 1e5), units(F.get("r", 3), "r10", 1e5), units(F.abs("qw"), "qw", 1e5))
 
 
-@query("""SELECT drive_id, pose_id AS scan_id, e.parent AS parent, e.child AS child, e.tx AS tx FROM (SELECT drive_id, pose_id, unnest([{'parent': 'odom', 'child': 'base_link', 'tx': px},
-    {'parent': 'base_link', 'child': 'imu', 'tx': 0.5e0}, {'parent': 'base_link', 'child': 'lidar', 'tx': 0.5e0}]) AS e FROM poses)""")
+#: The mounting is a quarter turn about z.
+MOUNT = f"'tx': 0.5e0, 'ty': 0e0, 'tz': 0e0, 'w': {0.5**0.5!r}, 'z': {0.5**0.5!r}"
+HALF = "(pose_id % 360) * 0.5 * 3.141592653589793 / 180"
+
+
+@query(f"""SELECT drive_id, pose_id AS scan_id, stamp_ns, e.parent AS parent, e.child AS child, e.tx AS tx, e.ty AS ty, e.tz AS tz, {sql_units("e.w", "rw")}, {sql_units("0", "rx")}, {sql_units("0", "ry")}, {sql_units("e.z", "rz")} FROM (
+    SELECT *, unnest([{{'parent': 'odom', 'child': 'base_link', 'tx': px, 'ty': py, 'tz': pz, 'w': cos({HALF}), 'z': sin({HALF})}}, {{'parent': 'base_link', 'child': 'imu', {MOUNT}}}, {{'parent': 'base_link', 'child': 'lidar', {MOUNT}}}]) AS e FROM poses)""")
 def frames(t):
     p = attitudes(t)
-    return trajectory.frames(p, calibrations(p)).select("drive_id", "scan_id", "parent", "child", "tx")
+    out = trajectory.frames(p, calibrations(p))
+    return out.select("drive_id", "scan_id", "stamp_ns", "parent", "child", "tx", "ty", "tz", *[units(f"r{c}", f"r{c}") for c in "wxyz"])
 
 
-@query("""SELECT drive_id, count(*) AS n_scans, max(px) AS max_comp_time, count(*) FILTER (pose_id % 7 = 0) AS n_keyframes, CAST(sum(pose_id % 5) AS BIGINT) AS n_deskew_stamps FROM poses GROUP BY drive_id""")
+@query(f"""SELECT drive_id, count(*) AS n_scans, max(px) AS max_comp_time, {sql_units("avg(px)", "avg_comp_time")}, {sql_units("avg(py)", "avg_rate")}, count(*) FILTER (pose_id % 7 = 0) AS n_keyframes, CAST(sum(pose_id % 5) AS BIGINT) AS n_deskew_stamps,
+    {sql_units("sqrt(arg_max(px * px + py * py, stamp_ns * 100000000 + pose_id))", "distance_to_origin")} FROM (SELECT * REPLACE (CAST(stamp_ns AS HUGEINT) AS stamp_ns) FROM poses) GROUP BY drive_id""")
 def run_statistics(t):
-    p = t("poses").withColumns({"comp_time": F.col("px"), "rate": F.col("py"), "is_keyframe": F.col("pose_id") % 7 == 0, "deskew_stamps": (F.col("pose_id") % 5).cast("bigint"), "scan_stamp_ns": F.col("stamp_ns")})
-    return trajectory.run_statistics(p).select("drive_id", "n_scans", "max_comp_time", "n_keyframes", "n_deskew_stamps")
+    p = t("poses").withColumns({"scan_id": F.col("pose_id"), "comp_time": F.col("px"), "rate": F.col("py"), "is_keyframe": F.col("pose_id") % 7 == 0, "deskew_stamps": (F.col("pose_id") % 5).cast("bigint"), "scan_stamp_ns": F.col("stamp_ns")})
+    out = trajectory.run_statistics(p)
+    return out.select("drive_id", "n_scans", "max_comp_time", "n_keyframes", "n_deskew_stamps", *[units(c, c) for c in ("avg_comp_time", "avg_rate", "distance_to_origin")])
+
 
+SPREAD = "SELECT drive_id, scan_id, median_range * (scan_id % 9) / 30 AS spaciousness, median_range * (scan_id % 7) / 80 AS density FROM"
 
-@query(f"""SELECT drive_id, scan_id, greatest(0.5, least(5.0, median_range)) AS keyframe_thresh, CASE WHEN greatest(0.5, least(5.0, median_range)) < 5 THEN 0.25 ELSE greatest(0.25, least(1.0, median_range / 20)) END AS max_corr FROM ({MEDIANS})""")
+
+@query(f"""SELECT drive_id, scan_id, greatest(0.5, least(5.0, spaciousness)) AS keyframe_thresh, CASE WHEN greatest(0.5, least(5.0, spaciousness)) < 5 THEN 0.25 ELSE greatest(0.25, least(1.0, density)) END AS max_corr FROM ({SPREAD} ({MEDIANS}))""")
 def adaptive_params(t):
-    m = median_range(t).withColumns({"spaciousness": F.col("median_range"), "density": F.col("median_range") / 20})
+    """Medians are nearly alike in these tables, so they are spread over and beyond all limits."""
+    m = median_range(t).selectExpr("drive_id", "scan_id", "median_range * (scan_id % 9) / 30 AS spaciousness", "median_range * (scan_id % 7) / 80 AS density")
     return keyframes.adaptive_params(m).select("drive_id", "scan_id", "keyframe_thresh", "max_corr")
 
 
-@query("SELECT drive_id, scan_id, x, y, z, intensity FROM points WHERE scan_id % 2 = 0 UNION ALL SELECT drive_id, scan_id, x, y, z, intensity FROM points WHERE scan_id % 2 = 1")
+@query("SELECT drive_id, scan_id, x, y, z, intensity FROM points UNION ALL SELECT drive_id, -1 - scan_id, x, y, z, 0e0 FROM cloud")
 def map_union(t):
-    p = t("points")
-    return p.filter("scan_id % 2 = 0").unionByName(p.filter("scan_id % 2 = 1"))
+    """Two clouds of different origin as one map."""
+    c = t("cloud").select("drive_id", (-1 - F.col("scan_id")).alias("scan_id"), *"xyz", F.lit(0.0).alias("intensity"))
+    return t("points").unionByName(c)
 
 
 VOXELS = ", ".join(f"CAST(floor({c} / 4) AS BIGINT) AS v{c}" for c in "xyz")
@@ -471,47 +540,16 @@ def map_append(t):
     return out.groupBy("drive_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def paced(t) -> DataFrame:
-    """IMU rows at 100 Hz in the order of their events: the table's own gaps are hours, which no integration bears."""
-    from .ordered import ordinal
-
-    i = ordinal(t("imu"), ["drive_id"], "stamp_ns", 10 * DAY_NS, ["event_id"], "n")
-    return i.withColumn("stamp_ns", F.col("n") * 10_000_000).drop("n", "event_type")
-
-
-def scan_starts(t) -> DataFrame:
-    """A scan for each tenth sample, over the 80 ms that follow, from the origin at rest."""
-    at_rest = {"px": 0.0, "py": 0.0, "pz": 0.0, "qw": 1.0, "qx": 0.0, "qy": 0.0, "qz": 0.0, "vx": 0.0, "vy": 0.0, "vz": 0.0}
-    s = paced(t).filter(F.col("stamp_ns") % 100_000_000 == 0).select("drive_id", F.col("event_id").cast("long").alias("scan_id"), (F.col("stamp_ns") + 5_000_000).alias("start_ns"))
-    return s.withColumns({k: F.lit(v) for k, v in at_rest.items()})
-
-
-@query()
-def integrate_imu(t):
-    s = scan_starts(t)
-    asked = s.select("drive_id", "scan_id", F.explode(F.array(*[F.col("start_ns") + k * 20_000_000 for k in range(4)])).alias("stamp_ns"))
-    return deskew.integrate_imu(s, asked, paced(t))
-
-
-@query()
-def deskew_points(t):
-    s = scan_starts(t)
-    p = s.select("drive_id", "scan_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "start_ns")
-    p = p.select("drive_id", "scan_id", F.col("k").cast("long").alias("point_id"), F.col("start_ns").alias("scan_stamp_ns"), (F.col("start_ns") + F.col("k") * 10_000_000).alias("stamp_ns"), *[((F.col("scan_id") + F.col("k")) % m * 1.0).alias(c) for c, m in zip("xyz", (17, 13, 5), strict=True)], F.lit(1.0).alias("intensity"))
-    i = paced(t)
-    return deskew.deskew(p, i, s, calibrations(i))
-
-
-@query()
-def observe(t):
-    i = paced(t)
-    poses = i.filter(F.col("stamp_ns") % 100_000_000 == 0).select("drive_id", "stamp_ns", *[F.lit(0.0).alias(c) for c in ("px", "py", "pz")], F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")])
-    return observer.observe(i, poses)
+def _all() -> None:
+    """The other modules record their queries when they are first imported."""
+    from . import fold_queries, scalar_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return {name: f for name, (f, _) in RECORDED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return {name: sql for name, (_, sql) in RECORDED.items() if sql is not None}

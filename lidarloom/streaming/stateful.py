@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.keyframes import PLACE, TURN, choose_keyframes
+from ..operators.keyframes import PLACE, TURN, Kept
 from ..operators.mapping import map_voxels, merge_voxels
 from ..operators.observer import NAMES, Fold, State, events
 from ..params import Params
@@ -128,8 +128,8 @@ def streaming_keyframes(states: DataFrame, dist: float = 1.0, rot_deg: float = 4
         pdf = pdf.sort_values(["stamp_ns", "scan_id"]).reset_index(drop=True)
         p, q = pdf[list(PLACE)].to_numpy().tolist(), pdf[list(TURN)].to_numpy().tolist()
         before = kept.get("keyframes", [])
-        rows = [(-1 - i, k[:3], k[3:], k[:3], k[3:], dist) for i, k in enumerate(before)] + [(i, a, b, a, b, dist) for i, (a, b) in enumerate(zip(p, q, strict=True))]
-        new = [i for i in choose_keyframes(rows, None, rot_deg, len(before)) if i >= 0]
+        own = Kept([k[:3] for k in before], [k[3:] for k in before])
+        new = [i for i, (a, b) in enumerate(zip(p, q, strict=True)) if own.take(a, b, a, b, dist, rot_deg)]
         kept["keyframes"] = before + [p[i] + q[i] for i in new]
         out = pdf.loc[new, ["scan_id", "stamp_ns", *PLACE, *TURN]]
         return out.assign(drive_id=drive, kf_id=np.arange(len(before), len(before) + len(new)))[["drive_id", "kf_id", "scan_id", "stamp_ns", *PLACE, *TURN]]

@@ -203,8 +203,7 @@ def test_hulls(spark):
 def test_submaps(spark):
     p = pose_rows(spark, [((k, 0, 0), yaw(0)) for k in range(8)])
     k = p.withColumn("kf_id", F.col("scan_id"))
-    d = keyframes.pose_distances(p, k)
-    members = keyframes.submap_select(d, k.filter("kf_id in (0, 7)"), k.filter("kf_id = 1"), 2, 1, 1)
+    members = keyframes.submap_select(p, k, k.filter("kf_id in (0, 7)"), k.filter("kf_id = 1"), 2, 1, 1, before="stamp_ns")
     key = {r.scan_id: r.members for r in keyframes.submap_key(members).collect()}
     assert key[7] == [0, 1, 5, 6] and key[1] == [0] and 0 not in key
     changed = keyframes.submap_changed(keyframes.submap_key(members))
