@@ -164,5 +164,5 @@ def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alph
         return step
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    tie = F.col("scan_id") if "scan_id" in df.columns else F.lit(0)
-    return folded(df, key, [order, tie, F.xxhash64(*df.columns)], start, f"{fields}, `{name}` double")
+    tie = [c for c in ("scan_id",) if c in df.columns and c != order]
+    return folded(df, key, [order, *tie, F.xxhash64(*df.columns)], start, f"{fields}, `{name}` double")

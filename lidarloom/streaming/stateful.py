@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,126 +16,169 @@ from ..operators.mapping import map_voxels, merge_voxels
 from ..operators.observer import NAMES, Fold, State, events
 from ..params import Params
 
-NO_TIMEOUT = GroupStateTimeout.NoTimeout
-TEXT_STATE = "state string"
+#: A drive's state is one value of bytes: JSON, or plain arrays where it can grow.
+STATE = "state binary"
 
 
-def _kept(state: GroupState) -> dict:
-    return json.loads(state.get[0]) if state.exists else {}
-
-
-def _keep(state: GroupState, value: dict) -> None:
-    state.update((json.dumps(value),))
-
-
-def by_drive(df: DataFrame, step, schema: str) -> DataFrame:
-    """step(drive, rows of the micro-batch, kept dict) -> rows; kept is the drive's state, a small JSON value."""
+def by_drive(df: DataFrame, step: Callable[..., pd.DataFrame], schema: str, idle_ms: int | None = None) -> DataFrame:
+    """step(drive, rows of the micro-batch, kept dict) -> rows; kept is the drive's state, a small JSON value. With
+    idle_ms a drive that has sent nothing for so long is called with no rows, so that what waits can be let go; such a
+    query goes on making micro-batches until it is stopped, so an availableNow trigger doesn't end it."""
+    kinds = dict(df.dtypes)
+    empty = {c: [] for c in kinds}
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        kept = _kept(state)
-        pdf = pd.concat(list(batches))
-        out = step(key[0], pdf, kept)
-        _keep(state, kept)
+        kept = json.loads(bytes(state.get[0])) if state.exists else {}
+        idle = state.hasTimedOut
+        out = step(key[0], pd.DataFrame(empty) if idle else pd.concat(list(batches)), kept)
+        if idle and not kept:
+            state.remove()
+        else:
+            state.update((json.dumps(kept).encode(),))
+            if idle_ms is not None and not idle:
+                state.setTimeoutDuration(idle_ms)
         yield out
 
-    return df.groupBy("drive_id").applyInPandasWithState(run, schema, TEXT_STATE, "append", NO_TIMEOUT)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy("drive_id").applyInPandasWithState(run, schema, STATE, "append", timeout)
 
 
-def sync_scans(events_: DataFrame, buffer: int = 5000) -> DataFrame:
+def sync_scans(events_: DataFrame, buffer: int = 5000, patience_ns: int = 10_000_000_000, idle_ms: int | None = None) -> DataFrame:
     """Scans as soon as IMU data reach their end.
 
     events_: drive_id, kind ('imu' or 'scan'), stamp_ns (of the sample, or of the scan's start), scan_id, end_ns. Gives
-    drive_id, scan_id, status ('ok', or 'no_imu' where no kept sample precedes the scan) and n_samples. A drive keeps
-    its newest `buffer` stamps and the scans that wait; points are joined to the result later, by scan.
+    drive_id, scan_id, status and n_samples: 'ok'; 'no_imu' where no kept sample precedes the scan; 'starved' where
+    samples have not come although the drive's other data are patience_ns past the scan's end, or the drive has been
+    silent for idle_ms. A drive keeps its newest `buffer` stamps, those within patience_ns of its newest data, and the
+    scans that wait; points are joined to the result later, by scan.
     """
 
     def step(drive, pdf, kept):
-        stamps = sorted(set(kept.get("imu", []) + pdf.loc[pdf["kind"] == "imu", "stamp_ns"].astype("int64").tolist()))[-buffer:]
-        waiting = kept.get("scans", []) + [[int(a), int(b), int(c)] for a, b, c in pdf.loc[pdf["kind"] == "scan", ["scan_id", "stamp_ns", "end_ns"]].to_numpy()]
+        silent = not len(pdf)
+        scans = pdf[pdf["kind"] == "scan"]
+        stamps = sorted(set(kept.get("imu", []) + pdf.loc[pdf["kind"] == "imu", "stamp_ns"].astype("int64").tolist()))
+        waiting = kept.get("scans", []) + [[int(a), int(b), int(c)] for a, b, c in zip(scans["scan_id"], scans["stamp_ns"], scans["end_ns"], strict=True)]
         newest = stamps[-1] if stamps else None
+        now = max([kept.get("now", -(2**63)), *pdf["stamp_ns"].astype("int64").tolist()])
         rows, still = [], []
         at = np.array(stamps, dtype=np.int64)
-        for scan in sorted(waiting, key=lambda s: s[1]):
-            scan_id, start, end = scan
+        for scan_id, start, end in sorted(waiting, key=lambda s: s[1]):
             if newest is None or newest < end:
-                still.append(scan)
+                if silent or now - end > patience_ns:
+                    rows.append((drive, scan_id, "starved", 0))
+                else:
+                    still.append([scan_id, start, end])
                 continue
             first, last = int(np.searchsorted(at, start)) - 1, int(np.searchsorted(at, end))
             rows.append((drive, scan_id, "ok" if first >= 0 else "no_imu", last - first + 1 if first >= 0 else 0))
-        kept["imu"], kept["scans"] = stamps, still
+        oldest = min([x[1] for x in still], default=now) - patience_ns
+        kept.clear()
+        if not silent or still:
+            kept.update(imu=[x for x in stamps if x >= oldest][-buffer:], scans=still, now=now)
         return pd.DataFrame(rows, columns=["drive_id", "scan_id", "status", "n_samples"])
 
     kind = dict(events_.dtypes)["drive_id"]
-    return by_drive(events_, step, f"drive_id {kind}, scan_id long, status string, n_samples long")
-
-
-def streaming_calibration(imu: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """One row a drive, when its first sample `seconds` or more after the first arrives: n and the mean rates and
-    accelerations of the samples before. Late samples of the window count while it is open."""
+    return by_drive(events_, step, f"drive_id {kind}, scan_id long, status string, n_samples long", idle_ms)
+
+
+CALIBRATED = ("n", *[f"mean_{c}" for c in ("wx", "wy", "wz", "ax", "ay", "az")], "gravity_x", "gravity_y", "gravity_z", "qw", "qx", "qy", "qz", "accel_bias", "gyro_bias")
+
+
+def calibrated(samples: np.ndarray, p: Params) -> tuple:
+    """What calibrate_imu() gives for a drive, from rows of wx..az: means, gravity, the attitude that turns it upright,
+    and biases."""
+    mean = np.rint(samples * 1e6).sum(0) / len(samples) / 1e6
+    up = np.array([0.0, 0.0, p.gravity])
+    g = mean[3:] / np.linalg.norm(mean[3:]) * abs(p.gravity) if p.gravity_align else up
+    u, v = g / np.linalg.norm(g), up / np.linalg.norm(up)
+    c = float(u @ v)
+    if not p.gravity_align:
+        q = np.array([1.0, 0, 0, 0])
+    elif c < -1 + 1e-12:
+        side = np.cross(u, [1.0, 0, 0] if abs(u[0]) < 0.9 else [0, 1.0, 0])
+        q = np.array([0, *side / np.linalg.norm(side)])
+    else:
+        q = np.array([1 + c, *np.cross(u, v)])
+        q /= np.linalg.norm(q)
+    zero = np.zeros(3)
+    accel, gyro = (mean[3:] - g if p.calibrate_accel else zero), (mean[:3] if p.calibrate_gyro else zero)
+    return (len(samples), *mean, *g, *q, accel.tolist(), gyro.tolist())
+
+
+def streaming_calibration(imu: DataFrame, params: Params | None = None) -> DataFrame:
+    """One row a drive, when its first sample imu_calib_time_s or more after the first arrives: CALIBRATED, as
+    calibrate_imu() gives it for the samples before. Late samples of the window count while it is open. The state holds
+    the window's samples and, once it is closed, nothing but that."""
+    p = params or Params()
     names = ["wx", "wy", "wz", "ax", "ay", "az"]
+    columns = ["drive_id", *CALIBRATED]
 
     def step(drive, pdf, kept):
         if kept.get("done"):
-            return pd.DataFrame(columns=["drive_id", "n", *[f"mean_{c}" for c in names]])
-        rows = kept.get("rows", []) + pdf[["stamp_ns", *names]].to_numpy(dtype=object).tolist()
-        rows.sort(key=lambda r: r[0])
-        first = rows[0][0]
-        inside = [r for r in rows if (r[0] - first) / 1e9 < seconds]
+            return pd.DataFrame(columns=columns)
+        rows = kept.get("rows", []) + [[int(s), *map(float, v)] for s, v in zip(pdf["stamp_ns"], pdf[names].to_numpy(), strict=True)]
+        first = min(r[0] for r in rows)
+        inside = [r for r in rows if (r[0] - first) / 1e9 < p.imu_calib_time_s]
         if len(inside) == len(rows):
-            kept["rows"] = [[int(r[0]), *map(float, r[1:])] for r in rows]
-            return pd.DataFrame(columns=["drive_id", "n", *[f"mean_{c}" for c in names]])
+            kept["rows"] = rows
+            return pd.DataFrame(columns=columns)
         kept.clear()
         kept["done"] = True
-        mean = np.array([r[1:] for r in inside], dtype=float).mean(0)
-        return pd.DataFrame([(drive, len(inside), *mean)], columns=["drive_id", "n", *[f"mean_{c}" for c in names]])
+        return pd.DataFrame([(drive, *calibrated(np.array([r[1:] for r in sorted(inside)]), p))], columns=columns)
 
     kind = dict(imu.dtypes)["drive_id"]
-    return by_drive(imu, step, f"drive_id {kind}, n long, " + ", ".join(f"mean_{c} double" for c in names))
+    kinds = {"n": "long", "accel_bias": "array<double>", "gyro_bias": "array<double>"}
+    return by_drive(imu, step, f"drive_id {kind}, " + ", ".join(f"{c} {kinds.get(c, 'double')}" for c in CALIBRATED))
 
 
-def streaming_observer(imu: DataFrame, poses: DataFrame, params: Params | None = None, delay_ns: int = 1_000_000_000) -> DataFrame:
-    """The observer over two streams. Events wait until delay_ns of later data are there and are then folded in order;
-    what comes later still is left out."""
+def streaming_observer(imu: DataFrame, poses: DataFrame, params: Params | None = None, delay_ns: int = 1_000_000_000, idle_ms: int | None = None) -> DataFrame:
+    """The observer over two streams: rows of observe() plus status. Events wait until delay_ns of later data are there,
+    or the drive has been silent for idle_ms, and are then folded in order ('ok'). What comes later still gets a row
+    without a state, 'late', so nothing is left out unseen."""
     k = params or Params()
+    none = (None,) * len(NAMES)
 
     def step(drive, pdf, kept):
-        waiting = kept.get("waiting", []) + [[int(s), t, list(map(float, v))] for s, t, v in zip(pdf["stamp_ns"], pdf["kind"], pdf["v"], strict=True)]
         done = kept.get("done")
-        waiting = sorted((e for e in waiting if done is None or e[0] > done), key=lambda e: (e[0], e[1]))
-        horizon = (waiting[-1][0] - delay_ns) if waiting else 0
+        new = [[int(s), t, list(map(float, v))] for s, t, v in zip(pdf["stamp_ns"], pdf["kind"], pdf["v"], strict=True)]
+        rows = [(drive, s, t, *none, "late") for s, t, _ in new if done is not None and s <= done]
+        waiting = sorted([e for e in kept.get("waiting", []) + new if done is None or e[0] > done], key=lambda e: (e[0], e[1]))
+        horizon = (waiting[-1][0] - (delay_ns if len(pdf) else 0)) if waiting else 0
         state = State.of(kept["state"]) if "state" in kept else None
-        fold, rows = Fold(k, state, kept.get("imu"), kept.get("pose")), []
+        fold = Fold(k, state, kept.get("imu"), kept.get("pose"))
         for stamp, t, v in waiting:
             if stamp > horizon:
                 break
             if (row := fold.take(stamp, t, v)) is not None:
-                rows.append((drive, stamp, t, *row))
+                rows.append((drive, stamp, t, *row, "ok"))
             kept["done"] = stamp
         kept["waiting"] = [e for e in waiting if e[0] > horizon]
         kept["imu"], kept["pose"] = fold.last_imu, fold.last_pose
         if fold.state is not None:
             kept["state"] = list(map(float, fold.state.row()))
-        return pd.DataFrame(rows, columns=["drive_id", "stamp_ns", "kind", *NAMES])
+        return pd.DataFrame(rows, columns=["drive_id", "stamp_ns", "kind", *NAMES, "status"])
 
     kind = dict(imu.dtypes)["drive_id"]
-    return by_drive(events(imu, poses), step, f"drive_id {kind}, stamp_ns long, kind string, " + ", ".join(f"{c} double" for c in NAMES))
+    return by_drive(events(imu, poses), step, f"drive_id {kind}, stamp_ns long, kind string, " + ", ".join(f"{c} double" for c in NAMES) + ", status string", idle_ms)
 
 
 def streaming_keyframes(states: DataFrame, dist: float = 1.0, rot_deg: float = 45.0) -> DataFrame:
-    """New keyframes of a stream of poses, in the order of stamps within each micro-batch."""
+    """New keyframes of a stream of poses, in the order of stamps within each micro-batch. A drive's keyframes, which
+    every choice looks at, are the state: 56 bytes each, read as an array."""
+    kind = dict(states.dtypes)["drive_id"]
+    schema = f"drive_id {kind}, kf_id long, scan_id long, stamp_ns long, " + ", ".join(f"{c} double" for c in (*PLACE, *TURN))
 
-    def step(drive, pdf, kept):
-        pdf = pdf.sort_values(["stamp_ns", "scan_id"]).reset_index(drop=True)
-        p, q = pdf[list(PLACE)].to_numpy().tolist(), pdf[list(TURN)].to_numpy().tolist()
-        before = kept.get("keyframes", [])
-        own = Kept([k[:3] for k in before], [k[3:] for k in before])
-        new = [i for i, (a, b) in enumerate(zip(p, q, strict=True)) if own.take(a, b, a, b, dist, rot_deg)]
-        kept["keyframes"] = before + [p[i] + q[i] for i in new]
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        before = np.frombuffer(state.get[0], dtype=np.float64).reshape(-1, 7) if state.exists else np.zeros((0, 7))
+        pdf = pd.concat(list(batches)).sort_values(["stamp_ns", "scan_id"]).reset_index(drop=True)
+        rows = pdf[[*PLACE, *TURN]].to_numpy(float)
+        own = Kept(before[:, :3], before[:, 3:])
+        new = [i for i, x in enumerate(rows) if own.take(x[:3], x[3:], x[:3], x[3:], dist, rot_deg)]
+        state.update((np.concatenate([before, rows[new]]).tobytes(),))
         out = pdf.loc[new, ["scan_id", "stamp_ns", *PLACE, *TURN]]
-        return out.assign(drive_id=drive, kf_id=np.arange(len(before), len(before) + len(new)))[["drive_id", "kf_id", "scan_id", "stamp_ns", *PLACE, *TURN]]
+        yield out.assign(drive_id=key[0], kf_id=np.arange(len(before), len(before) + len(new)))[["drive_id", "kf_id", "scan_id", "stamp_ns", *PLACE, *TURN]]
 
-    kind = dict(states.dtypes)["drive_id"]
-    return by_drive(states, step, f"drive_id {kind}, kf_id long, scan_id long, stamp_ns long, " + ", ".join(f"{c} double" for c in (*PLACE, *TURN)))
+    return states.groupBy("drive_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def streaming_ema(metrics: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
@@ -160,14 +203,37 @@ def latest_only(batch: DataFrame, stamp: str = "scan_stamp_ns") -> DataFrame:
 
 
 def stream_map(keyframe_points: DataFrame, path: str, checkpoint: str, leaf: float = 0.25, every: str | None = None):
-    """Keeps the map of a stream of keyframe points as voxel sums below path, a version for each micro-batch: a batch
-    reads the version before it, adds its own sums and writes its own, so running one again gives the same."""
+    """Keeps the map of a stream of keyframe points as voxel sums below path. A micro-batch writes its own sums only, as
+    a version of their own, so its work follows its rows and not the map, and running it again gives the same.
+    read_map() adds versions up; compact_map() puts them together now and then."""
 
-    def merge(batch: DataFrame, n: int) -> None:
-        new = map_voxels(batch, leaf)
-        if n > 0:
-            new = merge_voxels(batch.sparkSession.read.parquet(f"{path}/version={n - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/version={n}")
+    def write(batch: DataFrame, n: int) -> None:
+        map_voxels(batch, leaf).write.mode("overwrite").parquet(f"{path}/version={n}")
 
-    w = keyframe_points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    w = keyframe_points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest base, and the versions after it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    bases = [int(x.removeprefix("base=")) for x in names if x.startswith("base=")]
+    base = max(bases, default=None)
+    return base, sorted(n for n in (int(x.removeprefix("version=")) for x in names if x.startswith("version=")) if base is None or n > base)
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """The map that stream_map() has written so far."""
+    base, versions = _versions(spark, path)
+    parts = [*([f"{path}/base={base}"] if base is not None else []), *[f"{path}/version={n}" for n in versions]]
+    return merge_voxels(*[spark.read.parquet(x) for x in parts])
+
+
+def compact_map(spark: SparkSession, path: str) -> None:
+    """Puts all versions so far together as a new base; readers use it once it is complete. What it covers stays until a
+    later clean-up, since running readers may still read it."""
+    _, versions = _versions(spark, path)
+    if versions:
+        read_map(spark, path).write.mode("overwrite").parquet(f"{path}/base={versions[-1]}")
