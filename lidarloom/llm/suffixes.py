@@ -170,10 +170,10 @@ def gathered(blobs, **kinds: type) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in kinds.items()}
 
 
-UNITS = {"doc": np.int64, "dup": np.uint32, "pos": np.uint32, "n": np.uint8, "key": np.uint64, "own": np.uint64}
-SPANS = {"doc": np.int64, "dup": np.uint32, "pos": np.uint32, "count": np.uint32}
-ASKED = {"doc": np.int64, "dup": np.uint32, "pos": np.uint32, "n": np.uint8, "key": np.uint64, "hot": np.uint8}
-STRINGS = {"doc": np.int64, "dup": np.uint32, "pos": np.uint32, "n": np.uint8}
+UNITS = {"doc": np.int64, "dup": np.int64, "pos": np.uint32, "n": np.uint8, "key": np.uint64, "own": np.uint64}
+SPANS = {"doc": np.int64, "dup": np.int64, "pos": np.uint32, "count": np.uint32}
+ASKED = {"doc": np.int64, "dup": np.int64, "pos": np.uint32, "n": np.uint8, "key": np.uint64, "hot": np.uint8}
+STRINGS = {"doc": np.int64, "dup": np.int64, "pos": np.uint32, "n": np.uint8}
 
 
 def shelf(doc: np.ndarray, dup: np.ndarray, shelves: int) -> np.ndarray:
@@ -189,7 +189,7 @@ def runs(doc: np.ndarray, dup: np.ndarray, pos: np.ndarray, count: np.ndarray) -
     new[1:] = (doc[1:] != doc[:-1]) | (dup[1:] != dup[:-1]) | (pos[1:] != pos[:-1] + count[:-1])
     at = np.flatnonzero(new)
     total = np.add.reduceat(count, at) if len(at) else count
-    return {"doc": doc[at], "dup": dup[at].astype(np.uint32), "pos": pos[at].astype(np.uint32), "count": total.astype(np.uint32)}
+    return {"doc": doc[at], "dup": dup[at], "pos": pos[at].astype(np.uint32), "count": total.astype(np.uint32)}
 
 
 def by_group(group: np.ndarray, columns: dict[str, np.ndarray]):
@@ -242,7 +242,7 @@ def unit_rows(docs: DataFrame, buckets: int, shelves: int) -> DataFrame:
         if not cols:
             return
         row, pos, n, key, own, loops = (np.concatenate(x) for x in zip(*cols, strict=True))
-        doc, dup = pdf["doc"].to_numpy(np.int64)[row], pdf["dup"].to_numpy(np.uint32)[row]
+        doc, dup = pdf["doc"].to_numpy(np.int64)[row], pdf["dup"].to_numpy(np.int64)[row]
         o = np.lexsort((own, key))  # stable: equal units stay in order of document and place
         same = np.zeros(len(o), dtype=bool)
         same[1:] = (key[o][1:] == key[o][:-1]) & (own[o][1:] == own[o][:-1])
@@ -333,7 +333,7 @@ def shelved(docs: DataFrame, shelves: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            doc, dup = pdf["doc"].to_numpy(np.int64), pdf["dup"].to_numpy(np.uint32)
+            doc, dup = pdf["doc"].to_numpy(np.int64), pdf["dup"].to_numpy(np.int64)
             texts = [(t or "").encode() for t in pdf["text"]]
             size = np.array([len(t) for t in texts], dtype=np.int64)
             rows, held = [], 0
@@ -355,7 +355,7 @@ def shelved(docs: DataFrame, shelves: int) -> DataFrame:
 
 def unshelved(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     n = int(np.frombuffer(blob[:8], np.int64)[0])
-    head = opened(blob[8 : 8 + n], doc=np.int64, dup=np.uint32, size=np.int64)
+    head = opened(blob[8 : 8 + n], doc=np.int64, dup=np.int64, size=np.int64)
     size = int(np.frombuffer(blob[8 + n : 16 + n], np.int64)[0])
     return head["doc"], head["dup"], head["size"], pa.decompress(blob[16 + n :], decompressed_size=size, codec="zstd", asbytes=True)
 
@@ -372,16 +372,68 @@ def matched(doc: np.ndarray, dup: np.ndarray, want: dict[str, np.ndarray]) -> li
     return [(k, *where[x]) for k, x in enumerate(zip(doc.tolist(), dup.tolist(), strict=True)) if x in where]
 
 
-def open_strings(shelves_of_text: DataFrame, asked: DataFrame, merges: int) -> DataFrame:
-    """Texts and their open units -> (grp: merge, blob of places, bytes): the units' strings. Those of keys that were
-    dealt out go window by window."""
+def as_blob(columns: dict[str, np.ndarray], raw: bytes) -> bytes:
+    """Places of strings and the strings themselves, end to end, as one value."""
+    head = packed(**columns)
+    return np.int64(len(head)).tobytes() + head + np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def from_blobs(blobs) -> tuple[dict[str, np.ndarray], bytes]:
+    heads, raws = [], []
+    for blob in blobs:
+        n = int(np.frombuffer(blob[:8], np.int64)[0])
+        heads.append(opened(blob[8 : 8 + n], **STRINGS))
+        raws.append(pa.decompress(blob[16 + n :], decompressed_size=int(np.frombuffer(blob[8 + n : 16 + n], np.int64)[0]), codec="zstd", asbytes=True))
+    return {k: np.concatenate([h[k] for h in heads]) for k in STRINGS}, b"".join(raws)
+
+
+def earliest(doc: np.ndarray, pos: np.ndarray, raw: bytes) -> np.ndarray:
+    """For single windows, end to end in raw: which of them no equal one stands before, byte for byte."""
+    window = np.unique(np.frombuffer(raw, f"V{LENGTH}"), return_inverse=True)[1]
+    o = np.lexsort((pos, doc, window))
+    same = np.zeros(len(o), dtype=bool)
+    same[1:] = window[o][1:] == window[o][:-1]
+    first = first_of(o, same)
+    stays = np.zeros(len(o), dtype=bool)
+    stays[o] = (doc[o] == doc[first]) & (pos[o] == pos[first])  # rows of one document id are one place
+    return stays
+
+
+OPEN = "grp long, kind int, weight long, blob binary"
+
+
+def parted(columns: dict[str, np.ndarray], raw: bytes, group: np.ndarray, shelves: int):
+    """Single windows -> rows of OPEN: kind 1 the earliest of equal ones, by merge; kind 3 the others, as spans that go."""
+    stays = earliest(columns["doc"], columns["pos"], raw)
+    gone = {k: v[~stays] for k, v in columns.items()}
+    if len(gone["doc"]):
+        spans = runs(gone["doc"], gone["dup"], gone["pos"], np.ones(len(gone["doc"]), np.int64))
+        for g, p in by_group(shelf(spans["doc"], spans["dup"], shelves), spans):
+            yield g, 3, 0, packed(**p)
+    at = np.flatnonzero(stays)
+    for g, p in by_group(group[at], {k: v[at] for k, v in columns.items()} | {"at": at}):
+        rows = p.pop("at")
+        yield g, 1, len(rows), as_blob(p, b"".join(raw[i * LENGTH : (i + 1) * LENGTH] for i in rows.tolist()))
+
+
+def merge_of(raw: bytes, merges: int) -> np.ndarray:
+    """The merge of each single window: by its hash."""
+    whole = grams(doubled(np.frombuffer(raw, np.uint8), 64), LENGTH)[::LENGTH]
+    return (mix(whole + U(13)) % U(merges)).astype(np.int64)
+
+
+def open_strings(shelves_of_text: DataFrame, asked: DataFrame, merges: int, shelves: int) -> DataFrame:
+    """Texts and their open units -> rows of OPEN by merge: kind 0 the units' strings; those of keys that were dealt out
+    go window by window (kind 1), of equal ones in a shelf the earliest only, the others being spans that go (kind 3)."""
 
     def group(texts: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         want = gathered(asks["blob"], **ASKED)
         o = np.lexsort((want["pos"], want["dup"], want["doc"]))
         want = {k: v[o] for k, v in want.items()}
-        found: dict[str, list] = {"grp": [], "doc": [], "dup": [], "pos": [], "n": [], "text": []}
+        strings: dict[str, list] = {"grp": [], "doc": [], "dup": [], "pos": [], "n": [], "text": []}
+        windows: dict[str, list] = {"doc": [], "dup": [], "pos": [], "text": []}
         if len(o):
+            merge = (mix(want["key"] + U(11)) % U(merges)).astype(np.int64)
             for blob in texts["texts"]:
                 doc, dup, size, raw = unshelved(blob)
                 starts = np.cumsum(size) - size
@@ -390,30 +442,46 @@ def open_strings(shelves_of_text: DataFrame, asked: DataFrame, merges: int) -> D
                     for i in range(a, b):
                         pos, n = int(want["pos"][i]), int(want["n"][i])
                         at = base + pos
-                        pieces = [(pos + j, 1, raw[at + j : at + j + LENGTH]) for j in range(n)] if want["hot"][i] else [(pos, n, raw[at : at + n + LENGTH - 1])]
-                        for p, m, s in pieces:
-                            found["grp"].append(-1 if want["hot"][i] else int(mix(want["key"][i : i + 1] + U(11))[0] % U(merges)))
-                            found["doc"].append(doc[k])
-                            found["dup"].append(dup[k])
-                            found["pos"].append(p)
-                            found["n"].append(m)
-                            found["text"].append(s)
+                        if want["hot"][i]:
+                            windows["doc"] += [doc[k]] * n
+                            windows["dup"] += [dup[k]] * n
+                            windows["pos"] += range(pos, pos + n)
+                            windows["text"] += [raw[at + j : at + j + LENGTH] for j in range(n)]
+                        else:
+                            for name, value in (("grp", merge[i]), ("doc", doc[k]), ("dup", dup[k]), ("pos", pos), ("n", n), ("text", raw[at : at + n + LENGTH - 1])):
+                                strings[name].append(value)
+        kinds = STRINGS | {"grp": np.int64}
         rows = []
-        if found["grp"]:
-            grp = np.array(found["grp"], dtype=np.int64)
-            windowed = np.flatnonzero(grp < 0)
-            if len(windowed):
-                data = np.frombuffer(b"".join(found["text"][i] for i in windowed.tolist()), np.uint8)
-                whole = grams(doubled(data, 64), LENGTH)[:: LENGTH][: len(windowed)]
-                grp[windowed] = (mix(whole + U(13)) % U(merges)).astype(np.int64)
-            columns = {"doc": np.array(found["doc"], np.int64), "dup": np.array(found["dup"], np.uint32), "pos": np.array(found["pos"], np.uint32), "n": np.array(found["n"], np.uint8), "i": np.arange(len(grp))}
-            for g, p in by_group(grp, columns):
-                raw = b"".join(found["text"][i] for i in p.pop("i").tolist())
-                head = packed(**p)
-                rows.append((g, np.int64(len(head)).tobytes() + head + np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)))
-        return pd.DataFrame(rows, columns=["grp", "strings"])
-
-    return shelves_of_text.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(group, "grp long, strings binary")
+        if strings["grp"]:
+            columns = {k: np.array(strings[k], kinds[k]) for k in ("doc", "dup", "pos", "n")} | {"i": np.arange(len(strings["grp"]))}
+            for g, p in by_group(np.array(strings["grp"], np.int64), columns):
+                raw = b"".join(strings["text"][i] for i in p.pop("i").tolist())
+                rows.append((g, 0, int(p["n"].sum()), as_blob(p, raw)))
+        if windows["doc"]:
+            raw = b"".join(windows["text"])
+            columns = {k: np.array(windows[k], kinds[k]) for k in ("doc", "dup", "pos")} | {"n": np.ones(len(windows["doc"]), np.uint8)}
+            rows += parted(columns, raw, merge_of(raw, merges), shelves)
+        return pd.DataFrame(rows, columns=["grp", "kind", "weight", "blob"])
+
+    return shelves_of_text.groupBy("grp").cogroup(asked.groupBy("grp")).applyInPandas(group, OPEN)
+
+
+def thinned(rows: DataFrame, merges: int, shelves: int) -> DataFrame:
+    """Rows of OPEN with single windows -> the same rows, but of a window that many shelves hold the earliest of each of
+    several parts only. Merges with more than MERGE_WINDOWS single windows are parted so that each part holds so many."""
+    load = rows.filter("kind = 1").groupBy("grp").agg(F.sum("weight").alias("__w")).filter(F.col("__w") > MERGE_WINDOWS)
+    load = stored(load)
+    if not load.limit(1).count():
+        return rows
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns, raw = from_blobs(pdf["blob"])
+        return pd.DataFrame(list(parted(columns, raw, merge_of(raw, merges), shelves)), columns=["grp", "kind", "weight", "blob"])
+
+    single = F.col("kind") == 1
+    many = rows.filter(single).join(load, "grp").withColumn("__part", F.pmod(F.xxhash64("blob"), F.ceil(F.col("__w") / MERGE_WINDOWS)))
+    some = rows.join(load.select("grp", F.lit(1).alias("kind")), ["grp", "kind"], "left_anti").select("grp", "kind", "weight", "blob")
+    return some.unionByName(many.groupBy("grp", "__part").applyInPandas(group, OPEN))
 
 
 class Shard:
@@ -507,16 +575,11 @@ def repeated_windows(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, texts: byt
 
 
 def merge_transforms(strings: DataFrame, shelves: int) -> DataFrame:
-    """Strings by merge -> by document, kind 3: spans of windows that stand earlier."""
+    """Strings by merge (kinds 0 and 1 of OPEN) -> by document, kind 3: spans of windows that stand earlier."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, raws = [], []
-        for blob in pdf["strings"]:
-            n = int(np.frombuffer(blob[:8], np.int64)[0])
-            heads.append(opened(blob[8 : 8 + n], **STRINGS))
-            raws.append(pa.decompress(blob[16 + n :], decompressed_size=int(np.frombuffer(blob[8 + n : 16 + n], np.int64)[0]), codec="zstd", asbytes=True))
-        s = {k: np.concatenate([h[k] for h in heads]) for k in STRINGS}
-        string, window = repeated_windows(s["doc"], s["pos"].astype(np.int64), s["n"].astype(np.int64), b"".join(raws))
+        s, raw = from_blobs(pdf["blob"])
+        string, window = repeated_windows(s["doc"], s["pos"].astype(np.int64), s["n"].astype(np.int64), raw)
         spans = runs(s["doc"][string], s["dup"][string], s["pos"][string].astype(np.int64) + window, np.ones(len(string), np.int64))
         rows = [(g, 3, 0, packed(**p)) for g, p in by_group(shelf(spans["doc"], spans["dup"], shelves), spans)]
         return pd.DataFrame(rows, columns=["grp", "kind", "weight", "blob"])
@@ -560,11 +623,12 @@ def cut_texts(shelves_of_text: DataFrame, spans: DataFrame, with_text: bool) ->
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs plus doc (the id; null: the largest) and dup, which tells rows of one doc_id apart."""
+    """docs plus doc (the id; null: the largest) and dup, which tells rows of one doc_id apart. Where ids repeat, rows are
+    stored, so that their numbers are settled, and no id's rows are gathered anywhere."""
     d = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
     if d.groupBy("doc").count().filter("count > 1").limit(1).count():
-        return d.withColumn("dup", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1)
-    return d.withColumn("dup", F.lit(0))
+        return stored(d.withColumn("dup", F.monotonically_increasing_id()))
+    return d.withColumn("dup", F.lit(0).cast("long"))
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -591,8 +655,8 @@ def removed(docs: DataFrame, with_text: bool) -> DataFrame:
     spans = v.filter("kind = 3")
     if open_windows:
         merges = max(16, int(open_windows) // MERGE_WINDOWS)
-        strings = open_strings(texts, v.filter("kind = 4").select("grp", "blob"), merges)
-        spans = spans.union(stored(merge_transforms(strings, shelves)))
+        strings = thinned(stored(open_strings(texts, v.filter("kind = 4").select("grp", "blob"), merges, shelves)), merges, shelves)
+        spans = spans.union(strings.filter("kind = 3")).union(stored(merge_transforms(strings.filter("kind < 3"), shelves)))
     out = cut_texts(texts, spans.select("grp", "blob"), with_text)
     return out.withColumn("doc_id", F.when(F.col("doc") != int(NO_ID), F.col("doc")))
 
@@ -603,7 +667,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     others = F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     d = numbered(docs.select(others.alias("__row"), "doc_id", F.col("text").cast("string").alias("text")))
     kept = removed(d, True).select("doc", "dup", "kept")
-    # numbers are fixed by id and text, so both sides of the join agree; only what is left of the texts is shuffled
+    # numbers are settled, so both sides of the join agree; only what is left of the texts is shuffled
     out = d.select("__row", "doc", "dup", F.col("text").isNull().alias("__null")).join(kept, ["doc", "dup"])
     text = F.when(~F.col("__null"), F.col("kept"))
     own = {"text": text.alias("text")}

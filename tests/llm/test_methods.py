@@ -224,7 +224,7 @@ def test_repeats(spark, docs):
 
 
 def test_repeats_of_dealt_out_keys(spark, monkeypatch):
-    for name, value in {"SALT": 3, "HOT": 5, "SLAB": 2000, "SHARDS": 3, "MERGE_WINDOWS": 50}.items():
+    for name, value in {"SALT": 3, "HOT": 5, "SLAB": 2000, "SHARDS": 3, "MERGE_WINDOWS": 50, "GROUP_BYTES": 4000}.items():
         monkeypatch.setattr(suffixes, name, value)
     rows = made()
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
