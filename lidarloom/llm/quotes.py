@@ -75,6 +75,9 @@ def quote_links(messages: DataFrame) -> DataFrame:
     windows over it were first said in, so a stray equal line goes with its passage; a line or short passage that no
     window links comes from the first message that said it. Both sides are reduced to one row for each conversation and
     hash before they meet, so a line said a thousand times is one row. Conversations without quotes take no part.
+
+    Null text quotes and says nothing; rows without conv_id or turn link to nothing. Rows that repeat a conversation's
+    turn count together. Texts may be of any length. An empty table gives no rows; other columns don't take part.
     """
     quoting = messages.filter(F.coalesce("text", F.lit("")).rlike("(?m)" + MARKS)).select("conv_id").distinct()
     p = passages(messages.join(quoting, "conv_id", "left_semi"))

@@ -156,3 +156,19 @@ def test_ann(spark):
     got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in r}
     assert got == {(0, 1): (1, 0.5), (0, 2): (2, 0.5), (0, 3): (2, 0.5), (100, 1): (1, 0.5), (100, 2): (2, 0.5), (100, 3): (2, 0.5)}
     assert ann.nearest(e.limit(0)).count() == 0
+
+
+def test_very_long_rows(spark):
+    """A message, a URL and a page of some hundred thousand words or bytes."""
+    said = " ".join(f"w{i}" for i in range(4000))
+    quoted = "\n".join("> " + " ".join(f"w{i}" for i in range(k, k + 8)) for k in range(0, 4000, 8))
+    m = spark.createDataFrame([(1, 0, "u", said), (1, 1, "u", quoted + "\nso be it")], "conv_id long, turn long, role string, text string")
+    r = {x.turn: x for x in quotes.linked_conversations(m).collect()}
+    assert r[1].parent_turn == 0 and r[1].n_linked == r[1].n_quoted == 500 and r[1].text == "so be it"
+    url = "http://a.example.com/en/" + "/".join(f"seg{chr(97 + i % 26)}{'x' * (i % 50)}" for i in range(20000))
+    pages = spark.createDataFrame([(k, url, None) for k in range(3)] + [(9, "http://b.org/de", "y" * 3_000_000), (10, "u", "y" * 3_000_000)], "page_id long, url string, html string")
+    labels = spark.createDataFrame([(0, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = {x.page_id: x for x in urls.judge(pages, labels).collect()}
+    assert judged[0].path == url[len("http://a.example.com") :] and judged[0].rule == "com/en/" and len(judged) == 5
+    back = {x.page_id: x for x in archives.convert_pages(pages).collect()}
+    assert (back[10].payload_bytes, back[10].record_type, back[10].refers_to) == (3_000_000, "revisit", 9)
