@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..params import Params
-from ..plans.ordered import folded
+from ..plans.ordered import before, folded
 
 NS = 1e9
 RATE = ("wx", "wy", "wz")
@@ -22,30 +22,44 @@ def in_drive(*order: str, of: DataFrame | None = None) -> Window:
     return Window.partitionBy("drive_id").orderBy(*(order or ("stamp_ns",)), *tie)
 
 
-def imu_dt(imu: DataFrame, fallback_hz: float = 200.0) -> DataFrame:
-    """dt: seconds since the sample before; 1 / fallback_hz where that is 0, null for the first sample of a drive."""
-    gap = (F.col("stamp_ns") - F.lag("stamp_ns").over(in_drive(of=imu))) / NS
-    return imu.withColumn("dt", F.when(gap == 0, 1.0 / fallback_hz).otherwise(gap))
+def with_before(df: DataFrame, columns: tuple[str, ...], width: int | None) -> DataFrame:
+    """df plus __before: the struct of `columns` of the drive's row before. width: of a time bucket in nanoseconds, so
+    that a long drive is spread over tasks; None: one ordered pass a drive."""
+    tie = [c for c in ("scan_id", "event_id") if c in df.columns]
+    if width is None:
+        return df.withColumn("__before", F.lag(F.struct(*columns)).over(in_drive(of=df)))
+    return before(df, ["drive_id"], "stamp_ns", width, columns, tie, "__before")
 
 
-def _lagged(names: tuple[str, ...], of: DataFrame) -> G.Vec:
-    return tuple(F.lag(c).over(in_drive(of=of)) for c in names)
+def _fields(names: tuple[str, ...]) -> G.Vec:
+    return tuple(F.col("__before").getField(c) for c in names)
 
 
-def angular_acceleration(imu: DataFrame) -> DataFrame:
+def _gap(fallback_hz: float):
+    gap = (F.col("stamp_ns") - F.col("__before.stamp_ns")) / NS
+    return F.when(gap == 0, 1.0 / fallback_hz).otherwise(gap)
+
+
+def imu_dt(imu: DataFrame, fallback_hz: float = 200.0, width: int | None = None) -> DataFrame:
+    """dt: seconds since the sample before; 1 / fallback_hz where that is 0, null for the first sample of a drive. Of
+    equal stamps the smaller scan_id or event_id goes first, where there is one. width: see with_before()."""
+    return with_before(imu, ("stamp_ns",), width).withColumn("dt", _gap(fallback_hz)).drop("__before")
+
+
+def angular_acceleration(imu: DataFrame, width: int | None = None) -> DataFrame:
     """alpha_*: change of the rate over dt; mean_w*: rate halfway to the sample before. Needs dt."""
-    w, before = G.vec(*RATE), _lagged(RATE, imu)
-    d = G.sub(w, before)
-    return imu.withColumns({**{f"alpha_{c}": x / F.col("dt") for c, x in zip("xyz", d, strict=True)}, **{f"mean_w{c}": b + 0.5 * x for c, b, x in zip("xyz", before, d, strict=True)}})
+    d = with_before(imu, RATE, width)
+    w, last = G.vec(*RATE), _fields(RATE)
+    step = G.sub(w, last)
+    return d.withColumns({**{f"alpha_{c}": x / F.col("dt") for c, x in zip("xyz", step, strict=True)}, **{f"mean_w{c}": b + 0.5 * x for c, b, x in zip("xyz", last, step, strict=True)}}).drop("__before")
 
 
-def jerk(imu: DataFrame, gravity: float = 9.80665) -> DataFrame:
+def jerk(imu: DataFrame, gravity: float = 9.80665, width: int | None = None) -> DataFrame:
     """world_a*: acceleration in the world frame without gravity; jerk_*: its change over dt. Needs dt and qw..qz."""
     a = G.rotate(G.vec("qw", "qx", "qy", "qz"), G.vec(*ACCEL))
-    a = (a[0], a[1], a[2] - gravity)
-    out = imu.withColumns({f"world_a{c}": x for c, x in zip("xyz", a, strict=True)})
-    before = _lagged(("world_ax", "world_ay", "world_az"), imu)
-    return out.withColumns({f"jerk_{c}": (F.col(f"world_a{c}") - b) / F.col("dt") for c, b in zip("xyz", before, strict=True)})
+    names = ("world_ax", "world_ay", "world_az")
+    out = with_before(imu.withColumns(dict(zip(names, (a[0], a[1], a[2] - gravity), strict=True))), names, width)
+    return out.withColumns({f"jerk_{c}": (F.col(f"world_a{c}") - b) / F.col("dt") for c, b in zip("xyz", _fields(names), strict=True)}).drop("__before")
 
 
 def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100) -> DataFrame:
@@ -77,21 +91,22 @@ def latest_samples(imu: DataFrame, n: int = 5000) -> DataFrame:
     return imu.withColumn("__k", F.row_number().over(Window.partitionBy("drive_id").orderBy(F.desc("stamp_ns"), *[F.desc(c) for c in ("scan_id", "event_id") if c in imu.columns]))).filter(F.col("__k") <= n).drop("__k")
 
 
-def transform_imu(imu: DataFrame, calibration: DataFrame, fallback_hz: float = 200.0) -> DataFrame:
-    """Rates and accelerations at the body's origin: turned by the mounting, and rid of what the lever arm adds.
+def transform_imu(imu: DataFrame, calibration: DataFrame, fallback_hz: float = 200.0, width: int | None = None) -> DataFrame:
+    """Rates and accelerations at the body's origin: turned by the mounting, and rid of what the lever arm adds; and dt.
 
     w' = R w; a' = R a + (w' - w'_before) / dt x (-t) + w' x (w' x (-t)). A drive's first sample has no change of rate.
+    width: see with_before().
     """
     turned = imu.join(calibration.select("drive_id", "imu_r", "imu_t"), "drive_id")
     r, t = G.items(F.col("imu_r"), 9), G.items(F.col("imu_t"), 3)
     arm = G.scale(t, -1.0)
     out = turned.withColumns(dict(zip(RATE, G.mat_vec(r, G.vec(*RATE)), strict=True)))
-    out = imu_dt(out, fallback_hz)
+    out = with_before(out, ("stamp_ns", *RATE), width).withColumn("dt", _gap(fallback_hz))
     w = G.vec(*RATE)
-    change = tuple(F.coalesce((x - b) / F.col("dt"), F.lit(0.0)) for x, b in zip(w, _lagged(RATE, imu), strict=True))
+    change = tuple(F.coalesce((x - b) / F.col("dt"), F.lit(0.0)) for x, b in zip(w, _fields(RATE), strict=True))
     out = out.withColumns({f"__d{c}": x for c, x in zip("xyz", change, strict=True)})
     a = G.add(G.add(G.mat_vec(r, G.vec(*ACCEL)), G.cross(G.vec("__dx", "__dy", "__dz"), arm)), G.cross(w, G.cross(w, arm)))
-    return out.withColumns(dict(zip(ACCEL, a, strict=True))).drop("imu_r", "imu_t", "__dx", "__dy", "__dz")
+    return out.withColumns(dict(zip(ACCEL, a, strict=True))).drop("imu_r", "imu_t", "__dx", "__dy", "__dz", "__before")
 
 
 def correct_imu(imu: DataFrame, biases: DataFrame, scale: bool = True) -> DataFrame:

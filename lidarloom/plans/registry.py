@@ -85,7 +85,7 @@ def transform_points(t):
 
 @query("SELECT *, CASE WHEN gap = 0 THEN 1e0 / 200 ELSE gap END AS dt FROM (SELECT drive_id, event_id, stamp_ns, (stamp_ns - lag(stamp_ns) OVER (PARTITION BY drive_id ORDER BY stamp_ns)) / 1000000000e0 AS gap FROM imu)".replace("SELECT *,", "SELECT drive_id, event_id, stamp_ns,"))
 def imu_dt(t):
-    return imu.imu_dt(t("imu").select("drive_id", "event_id", "stamp_ns"))
+    return imu.imu_dt(t("imu").select("drive_id", "event_id", "stamp_ns"), width=10 * DAY_NS)
 
 
 RATES = "SELECT drive_id, event_id, stamp_ns, CASE WHEN gap > 0 THEN 1e0 / gap END AS rate FROM (SELECT *, (stamp_ns - lag(stamp_ns) OVER (PARTITION BY drive_id ORDER BY stamp_ns)) / 1000000000e0 AS gap FROM imu)"
@@ -146,7 +146,7 @@ def imu_correct(t):
         coalesce((wz - lag(wz) OVER o) / ((stamp_ns - lag(stamp_ns) OVER o) / 1e9), 0) AS dw FROM imu WINDOW o AS (PARTITION BY drive_id ORDER BY stamp_ns))""")
 def imu_lever_arm(t):
     i = t("imu")
-    out = imu.transform_imu(i, calibrations(i))
+    out = imu.transform_imu(i, calibrations(i), width=10 * DAY_NS)
     return out.select("drive_id", "event_id", *[micro(c, c) for c in ("wx", "wy", "wz", "ax", "ay", "az")])
 
 
