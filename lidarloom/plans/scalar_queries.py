@@ -18,7 +18,11 @@ RAW = """SELECT drive_id, pose_id, (pose_id % 5 + 1) / 4e0 AS a0, (pose_id % 7 -
     px - 4.81e0 AS v0, py - 2.63e0 AS v1, (pose_id % 31) / 10e0 - 1.5e0 AS v2, (pose_id % 17 - 8) / 7e0 AS w0, (pose_id % 19 - 9) / 7e0 AS w1, (pose_id % 23 - 11) / 7e0 AS w2 FROM {poses}"""
 UNIT = f"""SELECT drive_id, pose_id, v0, v1, v2, w0, w1, w2, {", ".join(f"{q}{i} / sqrt({q}0 * {q}0 + {q}1 * {q}1 + {q}2 * {q}2 + {q}3 * {q}3) AS {q}{i}" for q in "ab" for i in range(4))} FROM ({RAW})"""
 FRAMED = UNIT.format(poses="poses")
-A, B, V, W = G.vec("a0", "a1", "a2", "a3"), G.vec("b0", "b1", "b2", "b3"), G.vec("v0", "v1", "v2"), G.vec("w0", "w1", "w2")
+
+
+def given():
+    """The columns a, b, v and w; columns need a session, so they are made when a query is."""
+    return G.vec("a0", "a1", "a2", "a3"), G.vec("b0", "b1", "b2", "b3"), G.vec("v0", "v1", "v2"), G.vec("w0", "w1", "w2")
 
 
 def framed(t):
@@ -44,9 +48,10 @@ STEP_SIZE = "sqrt(" + " + ".join(f"{x} * {x}" for x in STEP) + ")"
 @query(f"""SELECT drive_id, pose_id, {", ".join(sql_units(x, f"mul{i}") for i, x in enumerate(product(names("a", 4), names("b", 4))))}, {", ".join(sql_units(x, f"turned{i}") for i, x in enumerate(TURNED))},
     {sql_units("2 * acos(least(1, abs(a0 * b0 + a1 * b1 + a2 * b2 + a3 * b3)))", "angle", 1e4)}, {", ".join(sql_units(f"{x} / {STEP_SIZE}", f"step{i}") for i, x in enumerate(STEP))}, {sql_units("-a2", "inv2")} FROM ({FRAMED})""")
 def quaternions(t):
+    a, b, v, w = given()
     q = framed(t)
-    parts = [("mul", G.quat_mul(A, B)), ("turned", G.rotate(A, V)), ("step", G.quat_step(A, W, F.lit(0.01)))]
-    return q.select("drive_id", "pose_id", *[units(x, f"{n}{i}") for n, xs in parts for i, x in enumerate(xs)], units(G.quat_angle(A, B), "angle", 1e4), units(G.quat_inv(A)[2], "inv2"))
+    parts = [("mul", G.quat_mul(a, b)), ("turned", G.rotate(a, v)), ("step", G.quat_step(a, w, F.lit(0.01)))]
+    return q.select("drive_id", "pose_id", *[units(x, f"{n}{i}") for n, xs in parts for i, x in enumerate(xs)], units(G.quat_angle(a, b), "angle", 1e4), units(G.quat_inv(a)[2], "inv2"))
 
 
 MATRIX = ["1 - 2 * (a2 * a2 + a3 * a3)", "2 * (a1 * a2 - a0 * a3)", "2 * (a1 * a3 + a0 * a2)", "2 * (a1 * a2 + a0 * a3)", "1 - 2 * (a1 * a1 + a3 * a3)", "2 * (a2 * a3 - a0 * a1)", "2 * (a1 * a3 - a0 * a2)", "2 * (a2 * a3 + a0 * a1)", "1 - 2 * (a1 * a1 + a2 * a2)"]
@@ -55,10 +60,11 @@ MATRIX = ["1 - 2 * (a2 * a2 + a3 * a3)", "2 * (a1 * a2 - a0 * a3)", "2 * (a1 * a
 @query(f"""SELECT drive_id, pose_id, {", ".join(sql_units(m, f"m{i}") for i, m in enumerate(MATRIX))}, {", ".join(sql_units(f"a{i}", f"back{i}") for i in range(4))},
     {sql_units("a1 * a1 / 4", "sym0")} FROM ({FRAMED})""")
 def rotations(t):
-    m = G.quat_to_matrix(A)
+    a, _, _, _ = given()
+    m = G.quat_to_matrix(a)
     back = G.matrix_to_quat(m)
     sign = F.when(back[0] < 0, -1.0).otherwise(1.0)  # a0 is above 0 by construction
-    return framed(t).select("drive_id", "pose_id", *[units(x, f"m{i}") for i, x in enumerate(m)], *[units(x * sign, f"back{i}") for i, x in enumerate(back)], units(A[1] * A[1] / 4, "sym0"))
+    return framed(t).select("drive_id", "pose_id", *[units(x, f"m{i}") for i, x in enumerate(m)], *[units(x * sign, f"back{i}") for i, x in enumerate(back)], units(a[1] * a[1] / 4, "sym0"))
 
 
 @query(f"""SELECT drive_id, pose_id, {sql_units("CASE WHEN flip THEN remainder2(yaw + 180) ELSE yaw END".replace("remainder2(yaw + 180)", "(yaw + 180) - 360 * round_even((yaw + 180) / 360, 0)"), "yaw", 1e4)},
@@ -66,7 +72,8 @@ def rotations(t):
     SELECT *, abs((yaw + 180) - 360 * round_even((yaw + 180) / 360, 0)) < abs(yaw) AS flip FROM (SELECT *, degrees(atan2({MATRIX[3]}, {MATRIX[0]})) AS yaw,
         degrees(atan2(-({MATRIX[6]}), sqrt(({MATRIX[7]}) ** 2 + ({MATRIX[8]}) ** 2))) AS pitch, degrees(atan2({MATRIX[7]}, {MATRIX[8]})) AS roll FROM ({FRAMED})))""")
 def euler_angles(t):
-    return framed(t).select("drive_id", "pose_id", *[units(x, n, 1e4) for n, x in zip(("yaw", "pitch", "roll"), G.euler_zyx_deg(G.quat_to_matrix(A)), strict=True)])
+    a, _, _, _ = given()
+    return framed(t).select("drive_id", "pose_id", *[units(x, n, 1e4) for n, x in zip(("yaw", "pitch", "roll"), G.euler_zyx_deg(G.quat_to_matrix(a)), strict=True)])
 
 
 SMALL = "CASE WHEN pose_id % 4 = 0 THEN 1e-7 ELSE 1e0 END"
@@ -76,8 +83,9 @@ ANGLE = f"(sqrt(w0 * w0 + w1 * w1 + w2 * w2) * {SMALL})"
 @query(f"""SELECT drive_id, pose_id, {sql_units(f"cos({ANGLE} / 2)", "q0")}, {", ".join(sql_units(f"CASE WHEN {ANGLE} = 0 THEN 0 ELSE sin({ANGLE} / 2) * w{i} * {SMALL} / {ANGLE} END", f"q{i + 1}", 1e9) for i in range(3))} FROM ({FRAMED})""")
 def exponential(t):
     """Also of rates so small that the series decides."""
+    _, _, _, w = given()
     k = F.expr(SMALL)
-    q = G.so3_exp(tuple(w * k for w in W))
+    q = G.so3_exp(tuple(x * k for x in w))
     return framed(t).select("drive_id", "pose_id", units(q[0], "q0"), *[units(x, f"q{i + 1}", 1e9) for i, x in enumerate(q[1:])])
 
 
@@ -87,10 +95,11 @@ CROSS = ["v1 * w2 - v2 * w1", "v2 * w0 - v0 * w2", "v0 * w1 - v1 * w0"]
 @query(f"""SELECT drive_id, pose_id, {", ".join(sql_units(x, f"cross{i}") for i, x in enumerate(CROSS))}, {sql_units("v0 * w0 + v1 * w1 + v2 * w2", "dot")}, {sql_units("sqrt(v0 * v0 + v1 * v1 + v2 * v2)", "norm")},
     {sql_units("v2 / sqrt(v0 * v0 + v1 * v1 + v2 * v2)", "unit2")}, {sql_units("sqrt(v0 * v0 + v1 * v1)", "planar")}, {sql_units("greatest(-1, least(2, v0))", "held")}, printf('%.3f', v1) AS text FROM ({FRAMED})""")
 def vectors(t):
-    s = G.skew(V)
+    _, _, v, w = given()
+    s = G.skew(v)
     return framed(t).select(
-        "drive_id", "pose_id", *[units(x, f"cross{i}") for i, x in enumerate(G.mat_vec(s, W))], units(G.dot(V, W), "dot"), units(G.norm(V), "norm"), units(G.normalize(V)[2], "unit2"),
-        units(G.planar_range(V[0], V[1]), "planar"), units(G.clamp(V[0], -1.0, 2.0), "held"), G.fixed(V[1], 3).alias("text"),
+        "drive_id", "pose_id", *[units(x, f"cross{i}") for i, x in enumerate(G.mat_vec(s, w))], units(G.dot(v, w), "dot"), units(G.norm(v), "norm"), units(G.normalize(v)[2], "unit2"),
+        units(G.planar_range(v[0], v[1]), "planar"), units(G.clamp(v[0], -1.0, 2.0), "held"), G.fixed(v[1], 3).alias("text"),
     )
 
 
@@ -98,7 +107,8 @@ def vectors(t):
     SELECT *, sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS nv, sqrt(w0 * w0 + w1 * w1 + w2 * w2) AS nw FROM ({FRAMED})) WHERE nw > 0""")
 def shortest_turns(t):
     """The shortest rotation from v to w, applied to v, gives w's direction at v's length."""
-    return framed(t).filter("w0 <> 0 or w1 <> 0 or w2 <> 0").select("drive_id", "pose_id", *[units(x, f"t{i}", 1e5) for i, x in enumerate(G.rotate(G.quat_between(V, W), V))])
+    _, _, v, w = given()
+    return framed(t).filter("w0 <> 0 or w1 <> 0 or w2 <> 0").select("drive_id", "pose_id", *[units(x, f"t{i}", 1e5) for i, x in enumerate(G.rotate(G.quat_between(v, w), v))])
 
 
 #: a then b as rigid transforms: rotation matrices times a vector, with shifts v and w.
@@ -109,7 +119,8 @@ THEN = [" + ".join(f"({BM[3 * i + j]}) * ({MOVED[j]})" for j in range(3)) + f" +
 
 @query(f"SELECT drive_id, pose_id, {', '.join(sql_units(x, f'p{i}', 1e5) for i, x in enumerate(THEN))} FROM ({FRAMED})")
 def rigid_transforms(t):
-    both = G.se3_compose((G.quat_to_matrix(B), W), (G.quat_to_matrix(A), V))
+    a, b, v, w = given()
+    both = G.se3_compose((G.quat_to_matrix(b), w), (G.quat_to_matrix(a), v))
     p = tuple((F.col("pose_id") % k).cast("double") for k in (5, 6, 7))
     return framed(t).select("drive_id", "pose_id", *[units(x, f"p{i}", 1e5) for i, x in enumerate(G.se3_apply(*both, p))])
 
