@@ -106,5 +106,16 @@ SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n
 """
 
 
+NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256e0 * CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mixing": mixing_sql(), "op4_bwt_merge": SUFFIXES, "op9_arc_to_warc": ARCHIVES, "op10_weak_supervision": rules_sql()}
+    return {"op2_pareto_mixing": mixing_sql(), "op4_bwt_merge": SUFFIXES, "op9_arc_to_warc": ARCHIVES, "op10_weak_supervision": rules_sql(), "op12_shared_list_negatives": NEGATIVES}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, archives, mixing, oracles, packing, quality, quotes, rules, simhash, suffixes, urls
+from . import ann, archives, mixing, negatives, oracles, packing, pii, quality, quotes, rules, simhash, suffixes, urls, whitening
 from .common import table
 
 
@@ -54,10 +55,25 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("posterior")
 
 
+def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_shared_list_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(e.withColumn("label", turned))
+
+
+def op13_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_permutation_index, op2_pareto_mixing, op3_simhash_trie, op4_bwt_merge, op5_concatenate_and_cut, op6_quadratic_discriminant,
         op7_quotation_linking, op8_association_rules, op9_arc_to_warc, op10_weak_supervision,
+        op11_refined_whitening, op12_shared_list_negatives, op13_weak_pii,
     )
     return {f.__name__: f for f in found}
 
