@@ -15,6 +15,7 @@ from ..operators import covariance, deskew, imu, keyframes, mapping, points, reg
 from ..params import Params
 from ..session import stored
 from ..sources import tables
+from ..streaming import event_time
 from .recorded import RECORDED, micro, query, sql_units, units
 
 HOUR_NS = 3_600_000_000_000
@@ -173,6 +174,16 @@ def imu_range(t):
     return deskew.imu_time_range_join(spans, i, 10 * DAY_NS).select("drive_id", "scan_id", "event_id")
 
 
+@query(f"""WITH s AS (SELECT DISTINCT drive_id, stamp_ns FROM imu WHERE event_type <> 'click'), c AS (SELECT drive_id, event_id AS scan_id, stamp_ns AS a, stamp_ns + {6 * HOUR_NS} AS b FROM imu WHERE event_type = 'click'),
+    f AS (SELECT c.drive_id, c.scan_id, max(s.stamp_ns) FILTER (s.stamp_ns < a AND s.stamp_ns >= a - {12 * HOUR_NS}) AS first, min(s.stamp_ns) FILTER (s.stamp_ns >= b AND s.stamp_ns <= b + {8 * HOUR_NS}) AS last FROM c LEFT JOIN s USING (drive_id) GROUP BY ALL)
+    SELECT f.drive_id, f.scan_id, CASE WHEN last IS NULL THEN 'starved' WHEN first IS NULL THEN 'no_imu' ELSE 'ok' END AS status, count(s.stamp_ns) AS n_samples
+    FROM f LEFT JOIN s ON s.drive_id = f.drive_id AND s.stamp_ns BETWEEN first AND last GROUP BY f.drive_id, f.scan_id, status""")
+def scan_sync(t):
+    """Scans and the samples that they wait for, as the event-time stream gives them."""
+    e = t("imu").select("drive_id", "stamp_ns", F.when(F.col("event_type") == "click", "scan").otherwise("imu").alias("kind"), F.col("event_id").alias("scan_id"), (F.col("stamp_ns") + 6 * HOUR_NS).alias("end_ns"))
+    return event_time.sync_scans_batch(e, 12 * HOUR_NS, 8 * HOUR_NS)
+
+
 @query("""SELECT drive_id, scan_id, stamp_ns AS median_stamp_ns FROM (SELECT *, row_number() OVER (PARTITION BY drive_id, scan_id ORDER BY stamp_ns) AS k, count(*) OVER (PARTITION BY drive_id, scan_id) AS n
     FROM (SELECT DISTINCT drive_id, scan_id, stamp_ns FROM stamps)) WHERE k = n // 2 + 1""")
 def scan_median_stamp(t):
