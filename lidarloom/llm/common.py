@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,44 +61,94 @@ def with_class(rows: DataFrame, classes: DataFrame, on: list[str], n: str, total
     return rows.join(few, on).unionByName(rest)
 
 
-#: Tables that the stage now running has stored, and those of the stage before it.
-_OPEN: list[str] | None = None
-_LAST: list[str] = []
+class Tables:
+    """The tables that one run of a pipeline has written, by what they are needed for: `inner` are a stage's own, needed
+    until its result is written, `before` those of the stage before it."""
+
+    def __init__(self) -> None:
+        self.inner: list[str] = []
+        self.before: list[str] = []
+        self.output: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A stage's result, written; that of the stage before, which it was made from, goes."""
+        out, path = written(df)
+        drop(df.sparkSession, self.output)
+        self.output = [path]
+        return out
+
+
+#: The run whose stage is at work, in this thread or task alone; None outside a stage. And the run that stages called one
+#: by one belong to.
+_NOW: ContextVar[Tables | None] = ContextVar("now", default=None)
+_RUN: ContextVar[Tables | None] = ContextVar("run", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back; cuts lineage and survives lost executors."""
+    """Write df once as Parquet in the shared folder and read it back; cuts lineage and survives lost executors.
+
+    Within a stage the table goes when the next stage starts; any other goes with the application at the latest.
+    """
+    out, path = written(df)
+    if (tables := _NOW.get()) is not None:
+        tables.inner.append(path)
+    return out
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table of the shared folder, and where it is."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _OPEN is not None:
-        _OPEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop_at_end(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def one_run() -> Iterator[Tables]:
+    """Stages called within belong to one run and to no other, whatever runs beside them."""
+    tables = Tables()
+    token = _RUN.set(tables)
+    try:
+        yield tables
+    finally:
+        _RUN.reset(token)
 
 
 def staged(stage):
-    """A stage of a pipeline whose result is written before the next stage starts: when that one starts, the tables
-    that this one stored are deleted, so only one stage's are there at a time."""
+    """A stage of a pipeline whose result is written before the run's next stage starts: when that one starts, the tables
+    that this one stored are deleted, so only one stage's are there at a time. Stages called outside one_run() belong to
+    a run of their thread's (or context's) own, one after the other."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _OPEN, _LAST
-        drop(spark, _LAST)
-        _OPEN, _LAST = [], []
+        tables = _RUN.get()
+        if tables is None:
+            _RUN.set(tables := Tables())
+        drop(spark, tables.before)
+        tables.inner, tables.before = [], []
+        token = _NOW.set(tables)
         try:
             return stage(spark, docs, sf_dir)
         finally:
-            _OPEN, _LAST = None, _OPEN
+            _NOW.reset(token)
+            tables.before = tables.inner
 
     return run
 
 
-def keep_tables() -> None:
-    """The last stage's tables stay for good: its result is still to be read."""
-    global _LAST
-    _LAST = []
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """The file system deletes path when the application ends."""
+    p, fs = _file(spark, path)
+    fs.deleteOnExit(p)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = _file(spark, path)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)

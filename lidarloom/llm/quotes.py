@@ -61,16 +61,24 @@ def passages(messages: DataFrame) -> DataFrame:
     return units.select("conv_id", "turn", "message", "u.level", F.explode("u.lines").alias("line"), "u.wide", "u.h1", "u.h2")
 
 
-def unquoted(text: Column) -> Column:
-    """The writer's own lines, joined again; a blank run where quotes stood becomes one empty line at most."""
-    own = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n", -1), lambda x: level(x) == 0)
-    return F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+def without_lines(text: Column, gone: Column) -> Column:
+    """text without the lines numbered in `gone` (null: as it is, byte for byte), each with one blank line after it; what
+    is left of a text that ends with such a line doesn't end with blank lines."""
+    lines = F.split(text, "\n", -1)
 
+    def kept(ls: Column) -> Column:
+        blank = lambda x: F.length(F.trim(F.translate(x, "\r\t", "  "))) == 0
+        own = F.filter(F.transform(ls, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(gone, s["k"]) & ~(blank(s["x"]) & F.array_contains(gone, s["k"] - 1)))
+        said = F.array_join(own["x"], "\n")
+        return F.when(F.array_contains(gone, F.size(ls) - 1), F.regexp_replace(said, r"\s+$", "")).otherwise(said)
 
-def quote_links(messages: DataFrame) -> DataFrame:
+    return F.when(gone.isNull(), text).otherwise(F.transform(F.array(lines), kept)[0])
+
+
+def linked_lines(messages: DataFrame) -> DataFrame:
     """Quoted lines and the message of the same conversation that first said them.
 
-    conv_id, turn, level, source_turn, n_lines. What a message quotes at level n is looked up among the own words (level
+    conv_id, turn, message (hash of the text), level, line, source_turn. What a message quotes at level n is looked up among the own words (level
     0) of the conversation's earlier messages, however either is wrapped. A line comes from the message that most
     windows over it were first said in, so a stray equal line goes with its passage; a line or short passage that no
     window links comes from the first message that said it. Both sides are reduced to one row for each conversation and
@@ -87,12 +95,18 @@ def quote_links(messages: DataFrame) -> DataFrame:
     line = ["conv_id", "turn", "message", "level", "line"]
     found = met.groupBy(*line, "source_turn").agg(F.count_if("wide").alias("n"))
     first = found.groupBy(*line).agg(F.max(F.struct("n", (-F.col("source_turn")).alias("t"))).alias("b"))
-    return first.groupBy("conv_id", "turn", "level", (-F.col("b.t")).alias("source_turn")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return first.select(*line, (-F.col("b.t")).alias("source_turn"))
+
+
+def quote_links(lines: DataFrame) -> DataFrame:
+    """linked_lines() -> conv_id, turn, level, source_turn, n_lines."""
+    return lines.groupBy("conv_id", "turn", "level", "source_turn").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def linked_conversations(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(conv_id, turn, role, text) -> one row a message: conv_id, turn, role, text without quotes, n_quoted, n_linked,
-    parent_turn, root_turn, depth.
+    """(conv_id, turn, role, text) -> one row a message: conv_id, turn, role, text without the quotes that link, n_quoted,
+    n_linked, parent_turn, root_turn, depth. Quoted lines that link to nothing stay, since nothing else holds them, and
+    texts of which no line links stay byte for byte.
 
     The parent is the message that the outermost quotes (the lowest level that links) come from, by most lines, then
     the later one. Messages that quote nothing known start threads. (conv_id, root_turn, depth, turn) is the reply
@@ -102,7 +116,8 @@ def linked_conversations(messages: DataFrame, max_rounds: int = 40) -> DataFrame
     turn) rows all stay and share links. Other columns don't come along.
     """
     m = messages.select("conv_id", "turn", "role", F.col("text"))
-    links = quote_links(m)
+    lines = stored(linked_lines(m))
+    links = quote_links(lines)
     best = links.groupBy("conv_id", "turn").agg(
         F.min(F.struct("level", (-F.col("n_lines")).alias("n"), (-F.col("source_turn")).alias("t"))).alias("b"), F.sum("n_lines").alias("n_linked")
     )
@@ -118,7 +133,9 @@ def linked_conversations(messages: DataFrame, max_rounds: int = 40) -> DataFrame
             break
     found = parents.join(state, ["conv_id", "turn"])
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\r?\n", -1)
-    own = m.select("conv_id", "turn", "role", unquoted(F.col("text")).alias("text"), F.size(F.filter(split, lambda x: level(x) > 0)).cast("long").alias("n_quoted"))
+    own = m.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("message"), F.size(F.filter(split, lambda x: level(x) > 0)).cast("long").alias("n_quoted"))
+    gone = lines.groupBy("conv_id", "turn", "message").agg(F.collect_set("line").alias("gone"))  # lines of one text
+    own = own.join(gone, ["conv_id", "turn", "message"], "left").withColumn("text", without_lines(F.col("text"), F.col("gone")))
     out = own.join(found, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn",

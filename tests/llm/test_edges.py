@@ -100,7 +100,7 @@ def test_quotes(spark):
     assert len(r) == len(rows)
     assert by[(1, 1)].parent_turn == 0 and by[(1, 1)].text == "Use sorted."
     assert by[(1, 2)].parent_turn == 1 and by[(1, 2)].root_turn == 0 and by[(1, 2)].depth == 2 and by[(1, 2)].text == "Thanks!"
-    assert by[(2, 1)].parent_turn is None and by[(2, 1)].n_quoted == 1 and by[(2, 1)].text == ""
+    assert by[(2, 1)].parent_turn is None and by[(2, 1)].n_quoted == 1 and by[(2, 1)].text == "> never said"
     assert quotes.linked_conversations(m.limit(0)).count() == 0
 
 
