@@ -38,7 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lidarloom-{uuid.uuid4().hex}"
+    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors. The file system
+    deletes the table when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lidarloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
