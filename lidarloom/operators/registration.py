@@ -7,6 +7,7 @@ only the 6 x 6 solves run in Python, a row a pair.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..params import Params
-from ..session import stored
+from ..session import shared_dir, stored
 from .covariance import COVS
-from .spatial import nn_within
+from .points import cell
+from .spatial import AROUND, nn_within
 
 #: Homogeneous index pairs and symmetric weight entries of the 60 second-order sums.
 HOMOGENEOUS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -41,6 +43,60 @@ def correspondences(source: DataFrame, target: DataFrame, state: DataFrame, dist
     near = nn_within(moved, target, distance, ["pair_id"]).withColumnRenamed("left_id", "point_id")
     b = target.select("pair_id", F.col("point_id").alias("right_id"), *[F.col(c).alias(f"b{c}") for c in (*"xyz", *COVS)])
     best = near.join(s.drop("mx", "my", "mz"), ["pair_id", "point_id"]).join(b, ["pair_id", "right_id"])
+    return weighed(best)
+
+
+CELL = ("__cx", "__cy", "__cz")
+
+
+def resident(points: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """points as a table in the shared folder that is bucketed by keys, one sorted file a bucket: joins on all of keys
+    leave it where it is. As many buckets as shuffles have partitions, so the other side comes to it. discard() it."""
+    spark = points.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lidarloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    points.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table).withMetadata(keys[0], {"table": table, "path": path})
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drops tables of resident() and deletes their files."""
+    for df in tables:
+        spark, at = df.sparkSession, next(f.metadata for f in df.schema if "table" in f.metadata)
+        spark.sql(f"DROP TABLE IF EXISTS {at['table']}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(at["path"])
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def resident_target(target: DataFrame, distance: float) -> DataFrame:
+    """target with its covariances, by pair and cell of the search distance."""
+    at = [cell(F.col(c), distance).alias(k) for c, k in zip("xyz", CELL, strict=True)]
+    return resident(target.select("pair_id", *at, F.col("point_id").alias("right_id"), *[F.col(c).alias(f"b{c}") for c in (*"xyz", *COVS)]), ["pair_id", *CELL], "target")
+
+
+def resident_source(source: DataFrame) -> DataFrame:
+    return resident(source.select("pair_id", "point_id", *"xyz", *COVS), ["pair_id", "point_id"], "source")
+
+
+def matches_in_place(source: DataFrame, target: DataFrame, state: DataFrame, distance: float) -> DataFrame:
+    """The rows of correspondences(), with tables of resident_source() and resident_target(): only the source's moved
+    places travel to the target's cells, and each point's nearest match, covariance and all, back to its point."""
+    s = source.join(state.select("pair_id", "r", "t"), "pair_id")
+    moved = dict(zip("xyz", G.se3_apply(G.items(F.col("r"), 9), G.items(F.col("t"), 3), G.vec("x", "y", "z")), strict=True))
+    shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", x, strict=True)]) for x in AROUND])).alias("__s")
+    sent = s.select("pair_id", "point_id", *[v.alias(f"m{c}") for c, v in moved.items()]).select("*", shifts)
+    sent = sent.withColumns({k: cell(F.col(f"m{c}"), distance) + F.col(f"__s.{c}") for c, k in zip("xyz", CELL, strict=True)}).drop("__s")
+    met = sent.join(target.hint("merge"), ["pair_id", *CELL])
+    d2 = sum(((F.col(f"m{c}") - F.col(f"b{c}")) * (F.col(f"m{c}") - F.col(f"b{c}")) for c in "yz"), (F.col("mx") - F.col("bx")) * (F.col("mx") - F.col("bx")))
+    met = met.select("pair_id", "point_id", d2.alias("d2"), "right_id", *[f"b{c}" for c in (*"xyz", *COVS)]).filter(F.col("d2") < distance * distance)
+    best = met.groupBy("pair_id", "point_id").agg(F.min(F.struct("d2", "right_id", *[f"b{c}" for c in (*"xyz", *COVS)])).alias("m")).select("pair_id", "point_id", "m.*")
+    return weighed(best.join(s.hint("merge"), ["pair_id", "point_id"]))
+
+
+def weighed(best: DataFrame) -> DataFrame:
+    """Matches of both sides' columns (and r) -> a*, b* and the weights m**."""
+    r = G.items(F.col("r"), 9)
     turned = G.sym_rotate(r, G.vec(*COVS))
     weight = G.sym_inverse(G.add(turned, G.vec(*[f"b{c}" for c in COVS])))
     return best.select("pair_id", "point_id", "right_id", "d2", *[F.col(c).alias(f"a{c}") for c in "xyz"], "bx", "by", "bz", *[w.alias(f"m{i}{j}") for w, (i, j) in zip(weight, SYMMETRIC, strict=True)])
@@ -163,16 +219,18 @@ def register(source: DataFrame, target: DataFrame, guess: DataFrame | None = Non
     converged and n_matches.
 
     source and target: pair_id, point_id, x, y, z, cxx..czz. Coordinates are centred on each pair's target while it
-    runs. Every outer iteration handles all pairs that have not converged; the state table is written to the shared
-    folder each time, so lineage stays short and a lost executor costs one iteration. optimizer: LM or GN.
+    runs. Both sides are laid out once, the target by cell with its covariances, and stay where they are: an iteration
+    moves the source's places and their matches only. Every outer iteration handles all pairs that have not converged;
+    the state table is written to the shared folder each time, so lineage stays short and a lost executor costs one
+    iteration. optimizer: LM or GN.
     """
     p = params or Params()
     distance = p.max_corr_dist if distance is None else distance
     kind = dict(source.dtypes)["pair_id"]
     centre = stored(target.groupBy("pair_id").agg(*[F.avg(c).alias(f"__{c}") for c in "xyz"]))
     shift = lambda df: df.join(centre, "pair_id").withColumns({c: F.col(c) - F.col(f"__{c}") for c in "xyz"}).drop("__x", "__y", "__z")
-    src = stored(shift(source.select("pair_id", "point_id", *"xyz", *COVS)))
-    tgt = stored(shift(target.select("pair_id", "point_id", *"xyz", *COVS)))
+    src = resident_source(shift(source.select("pair_id", "point_id", *"xyz", *COVS)))
+    tgt = resident_target(shift(target.select("pair_id", "point_id", *"xyz", *COVS)), distance)
     state = start_state(source, guess, kind)
     c = G.vec("__x", "__y", "__z")
     # x -> R x + t becomes, in coordinates less c, x -> R x + (t + R c - c)
@@ -193,14 +251,14 @@ def register(source: DataFrame, target: DataFrame, guess: DataFrame | None = Non
 
     settled = None
     for _ in range(p.max_iterations):
-        sums = normal_equations(correspondences(src, tgt, state, distance)).withColumnRenamed("n_matches", "n")
+        sums = normal_equations(matches_in_place(src, tgt, state, distance)).withColumnRenamed("n_matches", "n")
         moved = stored(state.join(sums, "pair_id", "left").mapInPandas(solve, STATE.format(kind=kind)))
         ended = moved.filter("converged or stalled")
         settled = ended if settled is None else settled.unionByName(ended)
         state = moved.filter("not converged and not stalled")
-        going = state.select("pair_id").join(src.select("pair_id").distinct(), "pair_id", "left_semi")
-        if not going.limit(1).count():
+        if not state.limit(1).count():
             break
+    discard(src, tgt)
     done = settled.unionByName(state).join(centre, "pair_id")
     back = G.add(G.sub(G.items(F.col("t"), 3), G.mat_vec(G.items(F.col("r"), 9), c)), c)
     return done.withColumn("t", F.array(*back)).drop("__x", "__y", "__z", "damping", "stalled")
