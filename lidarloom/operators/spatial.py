@@ -1,17 +1,17 @@
-"""Neighbours: grids for three dimensions, blocks for any number."""
+"""Neighbours in three dimensions by grids, and points on disk by Morton key. For any number of dimensions: vectors."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..session import stored
 from .points import cell
+from .vectors import DISTANCES, knn_nd  # noqa: F401
 
 #: The 27 cells around and with a cell.
 AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
@@ -63,14 +63,16 @@ def cell_size(reach: DataFrame, k: int) -> float:
     return float(found) if found else 1.0
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float | None = None, point: str = "point_id", max_rounds: int = 60, offsets: bool = False, ties: bool = False, before: str | None = None) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float | None = None, point: str = "point_id", max_rounds: int = 60, offsets: bool = False, ties: bool = False, before: str | None = None, eps: float = 0.0) -> DataFrame:
     """Exact k nearest right points of each left point of the same key: on, left_id, right_id, d2, rank. A self-join
     finds each point itself at distance 0. Fewer than k points: all of them. ties: also all that are as near as the
     k-th. offsets: also dx, dy, dz. before: a column that must be smaller on the right, such as a stamp.
 
     A grid of cell size finds every neighbour within size (by default measured from the density). A left point is
     settled once its k-th neighbour is that near, or cells reach over all that its key holds; the others look again
-    with twice the size.
+    with twice the size. eps: a point is settled already if its k-th neighbour is within (1 + eps) times the size, since
+    whatever it has not met is farther than the size; so each of its neighbours is at most (1 + eps) times as far as the
+    true one of that rank.
     """
     places = left.select(*on, *"xyz", F.lit(0).alias("r")).unionByName(right.select(*on, *"xyz", F.lit(1).alias("r")))
     reach = stored(places.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n")))
@@ -78,7 +80,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("dr
     mine = Window.partitionBy(*on, "left_id")
     for _ in range(max_rounds):
         near = nearest_of(grid_pairs(todo, right, on, h, point, offsets, before), on, k, ties)
-        near = near.withColumn("__ok", (F.count(F.lit(1)).over(mine) >= k) & (F.max("d2").over(mine) <= h * h))
+        near = near.withColumn("__ok", (F.count(F.lit(1)).over(mine) >= k) & (F.max("d2").over(mine) <= (h * (1 + eps)) ** 2))
         found = stored(near)
         last = found.filter("__ok").select(*on, F.col("left_id").alias(point)).distinct()
         all_seen = reach.filter(F.greatest("__x", "__y", "__z") <= h).select(*on)
@@ -106,9 +108,14 @@ def farthest_match(pairs: DataFrame, on: Sequence[str] = ("drive_id", "scan_id")
     return pairs.groupBy(*on, "left_id").agg(F.max(F.struct("d2", "right_id")).alias("m")).select(*on, "left_id", F.col("m.right_id").alias("right_id"), F.col("m.d2").alias("d2"))
 
 
-def approx_knn_join(left: DataFrame, right: DataFrame, k: int, size: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id") -> DataFrame:
-    """The k nearest among the 27 cells around each point, in one pass: exact for neighbours within size, and without
-    those farther off."""
+def approx_knn_join(left: DataFrame, right: DataFrame, k: int, size: float | None = None, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id", eps: float | None = None) -> DataFrame:
+    """k near right points of each left point. With eps: the neighbour of each rank is at most (1 + eps) times as far as
+    the true one, by shells of cells that grow until that is certain. Without: the nearest of the 27 cells of `size`
+    around each point, in one pass, exact for neighbours within size and without those farther off."""
+    if eps is not None:
+        return knn_join(left, right, k, on, size, point, eps=eps)
+    if size is None:
+        raise ValueError("one pass needs the size of a cell")
     return nearest_of(grid_pairs(left, right, on, size, point), on, k)
 
 
@@ -142,67 +149,83 @@ def merge_knn(parts: Sequence[DataFrame], k: int, on: Sequence[str] = ("drive_id
     return nearest_of(out, on, k)
 
 
-def _l2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)
+def distance_column(metric: str | Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """Distance of two arrays by a name of functions.geometry.METRICS, or by the caller's own function of Columns."""
+    return (G.METRICS[metric] if isinstance(metric, str) else metric)(a, b)
 
 
-def _l1(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs(a[:, None, :] - b[None, :, :]).sum(-1)
+#: Bits of a cell's number that a Morton key interleaves, so that three fit 63; numbers beyond are held to the edge.
+KEY_BITS = 21
+EDGE = 1 << (KEY_BITS - 1)
 
 
-def _so2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs((b[None, :, -1] - a[:, None, -1] + np.pi) % (2 * np.pi) - np.pi)
+def _spread(c: Column) -> Column:
+    """The KEY_BITS low bits of a number, two free places after each."""
+    out = c
+    for shift in (32, 16, 8, 4, 2):
+        mask = sum(1 << (3 * b) for b in range(KEY_BITS)) if shift == 2 else sum(((1 << (shift // 2)) - 1) << (3 * (shift // 2) * g) for g in range(-(-KEY_BITS // (shift // 2))))
+        out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(F.lit(mask & ((1 << 63) - 1)))
+    return out
 
 
-#: Distances of all of some vectors to all of others.
-DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"l2": _l2, "l1": _l1, "so2": _so2}
-#: Numbers that a step of knn_nd holds at once.
-HELD = 1 << 22
+def morton(x: Column, y: Column, z: Column, size: float) -> Column:
+    """The cell of a place as one BIGINT that keeps neighbours near: bits of the three cell numbers in turn, x first."""
+    held = lambda c: F.least(F.greatest(cell(c, size), F.lit(-EDGE)), F.lit(EDGE - 1)) + EDGE
+    return F.shiftleft(_spread(held(x)), 2).bitwiseOR(F.shiftleft(_spread(held(y)), 1)).bitwiseOR(_spread(held(z)))
 
 
-def knn_nd(left: DataFrame, right: DataFrame, k: int, vector: str = "embedding", point: str = "point_id", metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "l2", chunk: int = 2048, block: int = 16384) -> DataFrame:
-    """k nearest right vectors of each left vector, of any dimension: left_id, right_id, d, rank; ties to the smaller
-    right id. metric: a name, or a function of some vectors (rows) and a block of others that gives a row for each of
-    the first.
+def morton_ranges(low: Sequence[int], high: Sequence[int], most: int = 64) -> list[tuple[int, int]]:
+    """At most `most` ranges of Morton keys that hold every cell from low to high (each of three, both included).
 
-    Exact in any number of dimensions, so every left vector is compared with every right one: chunks of the left side
-    meet blocks of the right, a task holds one of each, and gives k rows a left row.
+    The cube of all cells is halved in turn along x, y and z; halves outside the box go, those inside it are whole
+    ranges. When there are as many as may be, those left that the box cuts are taken whole.
     """
-    distance = DISTANCES[metric] if isinstance(metric, str) else metric
-    n_left, n_right = left.count(), right.count()
-    chunks, blocks = max(1, -(-n_left // chunk)), max(1, -(-n_right // block))
-    times = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    v = F.col(vector).cast("array<double>").alias("v")
-    a = left.select(F.col(point).alias("id"), v, part(point, chunks).alias("__i"), times(blocks).alias("__j"))
-    b = right.select(F.col(point).alias("id"), v, part(point, blocks).alias("__j"), times(chunks).alias("__i"))
-    kind = dict(left.dtypes)[point]
-    schema = f"left_id {kind}, right_id {kind}, d double"
-
-    def search(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(x) and len(y):
-            y = y.sort_values("id", kind="stable")
-            own, ids = x["id"].to_numpy(), y["id"].to_numpy()
-            queries, vectors = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
-            for some in np.array_split(np.arange(len(x)), queries.shape[1] * len(x) * len(y) // HELD + 1):
-                if len(some):
-                    d = distance(queries[some], vectors)
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]  # right rows are in order of id
-                    rows.append(pd.DataFrame({"left_id": np.repeat(own[some], near.shape[1]), "right_id": ids[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel()}))
-        return pd.concat(rows) if rows else pd.DataFrame({"left_id": x["id"][:0], "right_id": y["id"][:0], "d": np.zeros(0)})
-
-    found = a.groupBy("__i", "__j").cogroup(b.groupBy("__i", "__j")).applyInPandas(search, schema)
-    w = Window.partitionBy("left_id").orderBy("d", "right_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def distance_column(metric: str | Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
-    """Distance of two arrays by a name of functions.geometry.METRICS, or by the caller's own function of Columns."""
-    return (G.METRICS[metric] if isinstance(metric, str) else metric)(a, b)
+    low, high = ([min(max(v, -EDGE), EDGE - 1) + EDGE for v in side] for side in (low, high))
+    done, cut = [], [(0, 3 * KEY_BITS, (0, 0, 0), (2 * EDGE - 1,) * 3)]
+    while cut and len(done) + 2 * len(cut) <= most:
+        after = []
+        for key, bits, a, b in cut:
+            axis = (3 * KEY_BITS - bits) % 3
+            middle = (a[axis] + b[axis] + 1) // 2
+            for half in (0, 1):
+                c = tuple(middle if half and i == axis else v for i, v in enumerate(a))
+                d = tuple(middle - 1 if not half and i == axis else v for i, v in enumerate(b))
+                if any(c[i] > high[i] or d[i] < low[i] for i in range(3)):
+                    continue
+                part = (key | half << (bits - 1), bits - 1, c, d)
+                (done if all(low[i] <= c[i] and d[i] <= high[i] for i in range(3)) else after).append(part)
+        cut = after
+    out: list[tuple[int, int]] = []
+    for key, bits, _, _ in sorted(done + cut):
+        last = key + (1 << bits) - 1
+        if out and out[-1][1] + 1 == key:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((key, last))
+    return out
 
 
 def write_layout(points: DataFrame, path: str, size: float, files: int = 200) -> None:
-    """Points on disk by drive and cell, so that a later box or cell filter reads few row groups."""
-    at = F.concat_ws("_", *[cell(F.col(c), size).cast("string") for c in "xyz"])
-    points.withColumn("cell", at).repartitionByRange(files, "drive_id", "cell").sortWithinPartitions("drive_id", "cell").write.mode("overwrite").parquet(path)
+    """Points on disk by drive and Morton key (zkey) of their cell (cell: its name), so that a box meets few row groups: see read_box().
+    Points without a place have no key and come first."""
+    name = F.concat_ws("_", *[cell(F.col(c), size).cast("string") for c in "xyz"])
+    keyed = points.withColumns({"cell": name, "zkey": morton(F.col("x"), F.col("y"), F.col("z"), size)})
+    keyed.repartitionByRange(files, "drive_id", "zkey").sortWithinPartitions("drive_id", "zkey").write.mode("overwrite").parquet(path)
+
+
+def in_box(points: DataFrame, low: Sequence[float], high: Sequence[float], size: float, most: int = 64) -> DataFrame:
+    """Rows of a table of write_layout() (with the same size) whose place is from low to high, both included. The box
+    becomes ranges of keys, by which the scan passes over files and row groups; the places decide."""
+    ranges = morton_ranges([int(np.floor(v / size)) for v in low], [int(np.floor(v / size)) for v in high], most)
+    keys = F.lit(False)
+    for a, b in ranges:
+        keys = keys | F.col("zkey").between(a, b)
+    for c, a, b in zip("xyz", low, high, strict=True):
+        keys = keys & F.col(c).between(float(a), float(b))
+    return points.filter(keys)
+
+
+def read_box(spark: SparkSession, path: str, low: Sequence[float], high: Sequence[float], size: float, drives: Sequence | None = None) -> DataFrame:
+    """in_box() over the table at path, of some drives or all."""
+    points = spark.read.parquet(path)
+    return in_box(points if drives is None else points.filter(F.col("drive_id").isin(*drives)), low, high, size).drop("cell", "zkey")

@@ -5,15 +5,16 @@ Values that are sums of floating-point numbers are returned as whole micro-units
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import covariance, deskew, imu, keyframes, mapping, points, registration, spatial, trajectory
+from ..operators import covariance, deskew, imu, keyframes, mapping, points, registration, spatial, trajectory, vectors
 from ..params import Params
-from ..session import stored
+from ..session import delete_at_end, shared_dir, stored
 from ..sources import tables
 from ..streaming import event_time
 from .recorded import RECORDED, micro, query, sql_units, units
@@ -256,6 +257,29 @@ def radius_visitor(t):
     return spatial.visit_radius(pairs, lambda: [F.count(F.lit(1)).alias("n"), micro(F.sum("d2"), "total")])
 
 
+@query(f"SELECT drive_id, scan_id, left_id, rank, CAST(round(d2 * 1e6) AS BIGINT) AS true_d2, true AS is_near FROM ({KNN8})")
+def knn_within_eps(t):
+    """Neighbours by shells of cells that stop early, each at most 1.5 times as far as the true one of its rank."""
+    c = t("cloud")
+    near, exact = (spatial.approx_knn_join(c, c, 8, 0.4, eps=0.5), spatial.knn_join(c, c, 8))
+    of = ["drive_id", "scan_id", "left_id", "rank"]
+    both = exact.select(*of, F.col("d2").alias("true")).join(near.select(*of, "d2"), of, "left")
+    return both.select(*of, micro("true", "true_d2"), F.coalesce(F.sqrt("d2") <= 1.5 * F.sqrt("true") * (1 + 1e-12), F.lit(False)).alias("is_near"))
+
+
+BOX = ((-10.0, -12.5, -2.0), (6.0, 9.25, 3.5))
+
+
+@query("SELECT drive_id, scan_id, x, y, z, intensity FROM points WHERE x BETWEEN -10 AND 6 AND y BETWEEN -12.5 AND 9.25 AND z BETWEEN -2 AND 3.5")
+def box_of_layout(t):
+    """A box read from points laid out by Morton key."""
+    p = t("points")
+    path = f"{shared_dir(p.sparkSession).rstrip('/')}/lidarloom-layout-{uuid.uuid4().hex}"
+    spatial.write_layout(p, path, 1.0, 8)
+    delete_at_end(p.sparkSession, path)
+    return spatial.read_box(p.sparkSession, path, *BOX, 1.0).select("drive_id", "scan_id", "x", "y", "z", "intensity")
+
+
 @query(KNN.format(f"""SELECT a.drive_id, a.scan_id, a.point_id AS left_id, b.point_id AS right_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM cloud a JOIN cloud b
     ON a.scan_id = b.scan_id AND abs(floor(a.x / 1.5e0) - floor(b.x / 1.5e0)) <= 1 AND abs(floor(a.y / 1.5e0) - floor(b.y / 1.5e0)) <= 1 AND abs(floor(a.z / 1.5e0) - floor(b.z / 1.5e0)) <= 1""", 8))
 def knn_approximate(t):
@@ -300,7 +324,7 @@ def knn_of_parts(t):
     FROM embeddings a, embeddings b) WHERE rank <= 5""")
 def knn_nd(t):
     e = t.func(*t.args, "cloud").sparkSession.read.parquet(f"{t.args[1]}/embeddings.parquet")
-    return spatial.knn_nd(e, e, 5, "embedding", "vec_id").select("left_id", "right_id", "rank")
+    return vectors.knn_nd(e, e, 5, "embedding", "vec_id").select("left_id", "right_id", "rank")
 
 
 @query(f"SELECT drive_id, scan_id, CAST(sum(s) AS BIGINT) / count(*) / 35 / 1e6 AS density FROM (SELECT drive_id, scan_id, left_id, CAST(sum(CASE WHEN rank > 1 THEN CAST(round(d2 * 1e6) AS BIGINT) ELSE 0 END) AS BIGINT) AS s FROM ({KNN8}) GROUP BY ALL) GROUP BY drive_id, scan_id")

@@ -46,3 +46,9 @@ def stored(df: DataFrame) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The file system deletes path when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
