@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..params import Params
-from ..plans.ordered import before, folded
+from ..plans.ordered import affine_scan, before, folded, running
 
 NS = 1e9
 RATE = ("wx", "wy", "wz")
@@ -62,22 +62,44 @@ def jerk(imu: DataFrame, gravity: float = 9.80665, width: int | None = None) ->
     return out.withColumns({f"jerk_{c}": (F.col(f"world_a{c}") - b) / F.col("dt") for c, b in zip("xyz", _fields(names), strict=True)}).drop("__before")
 
 
-def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100) -> DataFrame:
-    """rate: 1 / gap, and trailing_rate: the mean of the last `last` rates; the first row of a drive has none. Rates are
-    added up in whole micro-hertz, so that the mean doesn't depend on the order of addition."""
-    order = in_drive(stamp, of=df)
-    gap = (F.col(stamp) - F.lag(stamp).over(order)) / NS
-    out = df.withColumn("rate", F.when(gap > 0, 1.0 / gap))
-    frame = order.rowsBetween(-(last - 1), 0)
-    total = F.sum(F.round(F.col("rate") * 1e6).cast("bigint")).over(frame)
-    return out.withColumn("trailing_rate", total / F.count("rate").over(frame) / 1e6)
+def ties(df: DataFrame, *but: str) -> list[str]:
+    return [c for c in ("scan_id", "event_id") if c in df.columns and c not in but]
 
 
-def elapsed_time(scans: DataFrame, stamp: str = "scan_stamp_ns") -> DataFrame:
-    """elapsed and scan_dt in seconds: since the drive's first scan, since the one before."""
-    order = in_drive(stamp, of=scans)
-    first = F.first(stamp).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return scans.withColumns({"elapsed": (F.col(stamp) - first) / NS, "scan_dt": (F.col(stamp) - F.lag(stamp).over(order)) / NS})
+def trailing_rate(df: DataFrame, stamp: str = "stamp_ns", last: int = 100, width: int | None = None) -> DataFrame:
+    """rate: 1 / gap, and trailing_rate: the mean of the last `last` rates; the first row of a drive has none. Rates are
+    added up in whole micro-hertz, so that the mean doesn't depend on the order of addition.
+
+    width: of a time bucket in stamp's unit. Rows are then numbered and totalled in buckets, and a row's frame is its
+    total less that of the row `last` places before, so a drive is spread over tasks; None: one ordered pass a drive.
+    """
+    if width is None:
+        order = in_drive(stamp, of=df)
+        gap = (F.col(stamp) - F.lag(stamp).over(order)) / NS
+        out = df.withColumn("rate", F.when(gap > 0, 1.0 / gap))
+        frame = order.rowsBetween(-(last - 1), 0)
+        total = F.sum(F.round(F.col("rate") * 1e6).cast("bigint")).over(frame)
+        return out.withColumn("trailing_rate", total / F.count("rate").over(frame) / 1e6)
+    tie = ties(df, stamp)
+    d = before(df, ["drive_id"], stamp, width, (stamp,), tie, "__before")
+    gap = (F.col(stamp) - F.col("__before").getField(stamp)) / NS
+    d = d.withColumn("rate", F.when(gap > 0, 1.0 / gap)).drop("__before")
+    d = running(d, ["drive_id"], stamp, width, {"__s": F.round(F.col("rate") * 1e6).cast("bigint"), "__m": F.col("rate").isNotNull().cast("bigint")}, tie, "__n")
+    past = d.select("drive_id", (F.col("__n") + last).alias("__n"), F.col("__s").alias("__s0"), F.col("__m").alias("__m0"))
+    d = d.join(past, ["drive_id", "__n"], "left")
+    total, n = (F.col(f"__{c}") - F.coalesce(f"__{c}0", F.lit(0)) for c in "sm")
+    return d.select(*df.columns, "rate", F.when(n > 0, total / n / 1e6).alias("trailing_rate"))
+
+
+def elapsed_time(scans: DataFrame, stamp: str = "scan_stamp_ns", width: int | None = None) -> DataFrame:
+    """elapsed and scan_dt in seconds: since the drive's first scan, since the one before. width: see trailing_rate()."""
+    if width is None:
+        order = in_drive(stamp, of=scans)
+        first = F.first(stamp).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return scans.withColumns({"elapsed": (F.col(stamp) - first) / NS, "scan_dt": (F.col(stamp) - F.lag(stamp).over(order)) / NS})
+    first = scans.groupBy("drive_id").agg(F.min(stamp).alias("__first"))
+    d = before(scans, ["drive_id"], stamp, width, (stamp,), ties(scans, stamp), "__before").join(first, "drive_id")
+    return d.select(*scans.columns, ((F.col(stamp) - F.col("__first")) / NS).alias("elapsed"), ((F.col(stamp) - F.col("__before").getField(stamp)) / NS).alias("scan_dt"))
 
 
 def calibration_window(imu: DataFrame, seconds: float = 3.0) -> DataFrame:
@@ -149,20 +171,28 @@ def calibrate_imu(imu: DataFrame, params: Params | None = None, prior: DataFrame
 
 
 def after_calibration(imu: DataFrame, seconds: float = 3.0) -> DataFrame:
-    """Samples that calibration leaves for use: those after the one that ended it."""
-    late = (F.col("stamp_ns") - F.first("stamp_ns").over(in_drive(of=imu))) / NS >= seconds
-    d = imu.withColumn("__late", late)
-    nth = F.sum(F.col("__late").cast("int")).over(in_drive(of=imu).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("__nth", nth).filter(F.col("__nth") > 1).drop("__late", "__nth")
+    """Samples that calibration leaves for use: those after the one that ended it. Of equal stamps the smaller scan_id or
+    event_id goes first, then the row's hash. Two aggregations of a row a drive; no drive is ordered as a whole."""
+    first = imu.groupBy("drive_id").agg(F.min("stamp_ns").alias("__first"))
+    place = F.struct("stamp_ns", *ties(imu), F.xxhash64(*imu.columns).alias("h"))
+    late = imu.join(first, "drive_id").filter((F.col("stamp_ns") - F.col("__first")) / NS >= seconds).withColumn("__at", place)
+    end = late.groupBy("drive_id").agg(F.min("__at").alias("__end"))
+    d = late.join(end, "drive_id")
+    again = d.filter(F.col("__at") == F.col("__end")).withColumn("__k", F.row_number().over(Window.partitionBy("drive_id").orderBy("__at"))).filter("__k > 1")
+    return d.filter(F.col("__at") > F.col("__end")).select(*imu.columns).unionByName(again.select(*imu.columns))
 
 
-def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alpha: float = 0.05, key: str = "drive_id") -> DataFrame:
+def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alpha: float = 0.05, key: str = "drive_id", width: int | None = None) -> DataFrame:
     """df plus name: y = (1 - alpha) * y_before + alpha * x along `order`, seeded with the first x. Of equal `order` the
     smaller scan_id goes first, where there is one, and else the row's hash decides; repeated rows each count.
 
-    The closed form of the recurrence is a weighted sum, but its weights under- and overflow on long drives; so a
-    drive's rows are folded in order, a batch at a time. A null value leaves y as it is.
+    width: of a bucket in the unit of `order`: buckets are then reduced side by side, as affine maps that compose, so a
+    drive is spread over tasks. None: a drive's rows are folded in order, a batch at a time. A null value leaves y as it
+    is.
     """
+    tie = [c for c in ("scan_id",) if c in df.columns and c != order]
+    if width is not None:
+        return affine_scan(df, [key], order, width, value, alpha, [*tie, F.xxhash64(*df.columns)], name)
 
     def start():
         y = None
@@ -179,5 +209,4 @@ def ema(df: DataFrame, value: str, name: str, order: str = "scan_stamp_ns", alph
         return step
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    tie = [c for c in ("scan_id",) if c in df.columns and c != order]
     return folded(df, key, [order, *tie, F.xxhash64(*df.columns)], start, f"{fields}, `{name}` double")

@@ -63,9 +63,10 @@ def median_range(t):
 @query(f"""WITH RECURSIVE m AS ({MEDIANS}), o AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY scan_id) AS k FROM m),
     r AS (SELECT drive_id, scan_id, median_range, k, median_range AS ema FROM o WHERE k = 1
         UNION ALL SELECT o.drive_id, o.scan_id, o.median_range, o.k, (1e0 - 0.05e0) * r.ema + 0.05e0 * o.median_range FROM r JOIN o ON o.drive_id = r.drive_id AND o.k = r.k + 1)
-    SELECT drive_id, scan_id, median_range, ema FROM r""")
+    SELECT drive_id, scan_id, median_range, {sql_units('ema', 'ema')} FROM r""")
 def ema_range(t):
-    return imu.ema(points.median_planar_range(points.clean_scan(t("points"))), "median_range", "ema", "scan_id").select("drive_id", "scan_id", "median_range", "ema")
+    m = points.median_planar_range(points.clean_scan(t("points")))
+    return imu.ema(m, "median_range", "ema", "scan_id", width=64).select("drive_id", "scan_id", "median_range", units("ema", "ema"))
 
 
 @query("SELECT drive_id, scan_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY ALL")
@@ -96,7 +97,7 @@ RATES = "SELECT drive_id, event_id, stamp_ns, CASE WHEN gap > 0 THEN 1e0 / gap E
 @query(f"""SELECT drive_id, event_id, stamp_ns, CAST(sum(CAST(round(rate * 1000000) AS BIGINT)) OVER w AS BIGINT) / count(rate) OVER w / 1000000e0 AS trailing_rate FROM ({RATES})
     WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def trailing_rate(t):
-    return imu.trailing_rate(t("imu").select("drive_id", "event_id", "stamp_ns")).drop("rate")
+    return imu.trailing_rate(t("imu").select("drive_id", "event_id", "stamp_ns"), width=10 * DAY_NS).drop("rate")
 
 
 @query("""SELECT drive_id, event_id, (wx - bx) / dt AS alpha_x, (wy - by_) / dt AS alpha_y, (wz - bz) / dt AS alpha_z,
@@ -110,7 +111,7 @@ def angular_acceleration(t):
 @query("""SELECT drive_id, event_id, (stamp_ns - first_value(stamp_ns) OVER w) / 1000000000e0 AS elapsed, (stamp_ns - lag(stamp_ns) OVER w) / 1000000000e0 AS scan_dt FROM imu
     WINDOW w AS (PARTITION BY drive_id ORDER BY stamp_ns)""")
 def elapsed_time(t):
-    return imu.elapsed_time(t("imu"), "stamp_ns").select("drive_id", "event_id", "elapsed", "scan_dt")
+    return imu.elapsed_time(t("imu"), "stamp_ns", 10 * DAY_NS).select("drive_id", "event_id", "elapsed", "scan_dt")
 
 
 STILL_SECONDS = 5 * 86400.0

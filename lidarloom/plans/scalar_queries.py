@@ -211,7 +211,7 @@ def layout(t):
     c = t("cloud")
     path = f"{shared_dir(c.sparkSession).rstrip('/')}/layout-{uuid.uuid4().hex}"
     spatial.write_layout(c, path, 2.0, files=16)
-    return c.sparkSession.read.parquet(path)
+    return c.sparkSession.read.parquet(path).drop("zkey")
 
 
 TIMES = "SELECT drive_id, scan_id, point_id, scan_stamp_ns, {0} AS sensor, {1} AS stamp_ns FROM stamps WHERE point_id % 2 = {2}"
