@@ -56,27 +56,41 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(all_of))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, bad boolean) -> rules: antecedent, confidence, support. Token sets that go with a bad label in at least
-    `confidence` of their URLs and make up, with it, at least `support` of all; of nested sets the larger goes unless it
-    is surer.
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS) -> DataFrame:
+    """mine_classes(), with each rule spelled out for every token of its classes: antecedent, confidence, support. For
+    reading; classes of m tokens in rules of k give m^k rows, so judge() doesn't use it."""
+    rules, classes = mine_classes(labelled, support, confidence, least_urls)
+    rules = rules.withColumn("id", F.monotonically_increasing_id())
+    parts = rules.select("id", "confidence", "support", F.explode("antecedent").alias("t"))
+    spelled = parts.join(classes.groupBy("t").agg(F.collect_list("token").alias("same")), "t").groupBy("id", "confidence", "support").agg(F.collect_list("same").alias("each"))
+    one_of_each = F.aggregate("each", F.array(F.array().cast("array<string>")), lambda sets, same: F.flatten(F.transform(sets, lambda x: F.transform(same, lambda t: F.concat(x, F.array(t))))))
+    return spelled.select(F.explode(one_of_each).alias("antecedent"), "confidence", "support").withColumn("antecedent", F.array_sort("antecedent"))
+
+
+def mine_classes(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_urls: int = LEAST_URLS) -> tuple[DataFrame, DataFrame]:
+    """(tokens, bad boolean) -> rules (antecedent, confidence, support) over classes of tokens, and the classes (token, t:
+    the class's first token, by which rules name it). Sets that go with a bad label in at least `confidence` of their
+    URLs and make up, with it, at least `support` of all URLs and `least_urls` in number; of nested sets the larger goes
+    unless it is surer.
 
     No basket is cut. What FP-growth needn't see is left out: tokens that go with too few bad labels for any rule, all
-    but one of tokens of the very same URLs (its rules are given for each of them), and tokens of every URL, which are
-    rules alone or add nothing.
+    but one of tokens of the very same URLs (they are a class), tokens of every URL, which are rules alone or add
+    nothing, and tokens that are always bad: each is a rule alone, and nothing that holds it is surer.
 
     Null bad counts as not bad; null tokens are an empty basket. Repeated rows count each. No rows, or too few bad ones:
     no rules.
     """
     rows = stored(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", F.coalesce("bad", F.lit(False)).alias("bad")))
     n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
-    least = math.ceil(min(1.0, max(support, LEAST_URLS / max(n, 1))) * n - 1e-6)
+    least = math.ceil(min(1.0, max(support, least_urls / max(n, 1))) * n - 1e-6)
     if not n or n_bad < least:
-        return rows.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
+        spark = rows.sparkSession
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double"), spark.createDataFrame([], "token string, t string")
     each = rows.select("row", "bad", F.explode("tokens").alias("t"))
     counts = each.groupBy("t").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("where"))
     classes = stored(counts.filter(F.col("n_bad") >= least).groupBy("n_all", "n_bad", "where").agg(F.min("t").alias("t"), F.collect_list("t").alias("same")))
-    shown = each.join(classes.filter(F.col("n_all") < n).select("t"), "t").select("row", "t").union(rows.filter("bad").select("row", F.lit(BAD).alias("t")))
+    always, sure = F.col("n_all") == n, F.col("n_all") == F.col("n_bad")
+    shown = each.join(classes.filter(~always & ~sure).select("t"), "t").select("row", "t").union(rows.filter("bad").select("row", F.lit(BAD).alias("t")))
     kept = stored(shown.groupBy("row").agg(F.collect_list("t").alias("items")).select("items"))
     n_kept = kept.count()
     # half a URL less than the least, so that rounding leaves the least itself in
@@ -91,13 +105,10 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         .select("antecedent")
         .distinct()
     )
-    rules = rules.join(nested, "antecedent", "left_anti").withColumn("id", F.monotonically_increasing_id())
-    spelled = rules.select("id", "confidence", "support", F.explode("antecedent").alias("t")).join(classes.select("t", "same"), "t").groupBy("id", "confidence", "support").agg(F.collect_list("same").alias("each"))
-    one_of_each = F.aggregate("each", F.array(F.array().cast("array<string>")), lambda sets, same: F.flatten(F.transform(sets, lambda x: F.transform(same, lambda t: F.concat(x, F.array(t))))))
-    spelled = spelled.select(F.explode(one_of_each).alias("antecedent"), "confidence", "support").withColumn("antecedent", F.array_sort("antecedent"))
-    share = n_bad / n
-    alone = classes.filter((F.col("n_all") == n) & F.lit(share >= confidence)).select(F.explode("same").alias("t"))
-    return spelled.union(alone.select(F.array("t"), F.lit(share), F.lit(share)))
+    rules = rules.join(nested, "antecedent", "left_anti")
+    alone = classes.filter(sure | (always & F.lit(n_bad / n >= confidence)))
+    rules = rules.union(alone.select(F.array("t"), F.col("n_bad") / F.col("n_all"), F.col("n_bad") / n))
+    return stored(rules), classes.select(F.explode("same").alias("token"), "t")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -115,6 +126,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("key").agg(F.max("confidence").alias("rule_confidence"))
 
 
+def in_classes(urls: DataFrame, classes: DataFrame) -> DataFrame:
+    """urls (key distinct, tokens) with the class of each token in its place; tokens of no class are in no rule and go."""
+    each = urls.select("key", F.explode("tokens").alias("token")).join(classes, "token")
+    return each.groupBy("key").agg(F.collect_set("t").alias("tokens"))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(page_id, url), labels (doc_id = page_id, quality, toxic) -> page_id, host, path, rule, verdict, rule_confidence.
 
@@ -131,7 +148,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, support: float = SU
     p = p.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
     if labelled.limit(1).count():
         open_urls = stored(p.filter(F.col("listed").isNull()).select(F.coalesce("url", F.lit("")).alias("key")).distinct().withColumn("tokens", tokens(F.col("key"))))
-        hits = match(open_urls, mine(labelled, support, confidence))
+        rules_, classes = mine_classes(labelled, support, confidence)
+        hits = match(in_classes(open_urls, classes), rules_)
         p = p.join(hits, F.coalesce(p["url"], F.lit("")) == hits["key"], "left").drop("key")
     else:
         p = p.withColumn("rule_confidence", F.lit(None).cast("double"))

@@ -124,6 +124,18 @@ def test_sure_pair_of_common_tokens(spark):
     assert got[("path:a", "path:b")] == 1.0 and set(got) == {("path:a", "path:b"), ("path:a",), ("path:b",)}
 
 
+def test_classes_are_not_multiplied_out(spark):
+    """Two classes of 40 tokens that are only together sure: 1,600 spelled rules of two, were they spelled out."""
+    a, b = ("&".join(f"{c}{chr(97 + i // 26)}{chr(97 + i % 26)}=1" for i in range(40)) for c in "pq")
+    urls_ = [f"http://s.org/x?{a}&{b}"] * 30 + [f"http://s.org/x?{a}"] * 15 + [f"http://s.org/x?{b}"] * 15 + ["http://s.org/x"] * 30
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)] + [(900, "http://t.org/?paa=1&qbn=2"), (901, "http://t.org/?paa=1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i < 30 or i % 5 == 0 else 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    rules_, classes = urls.mine_classes(spark.createDataFrame([(u, i < 30 or i % 5 == 0) for i, u in enumerate(urls_)], "url string, bad boolean").select(urls.tokens(F.col("url")).alias("tokens"), "bad"))
+    assert rules_.count() <= 4 and classes.count() >= 80
+    judged = {r.page_id: r for r in urls.judge(pages, labels).collect()}
+    assert judged[900].rule_confidence == 1.0 and judged[900].verdict == "block" and judged[901].rule_confidence < 0.8
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.example.com/en/7x", "x"), (2, "https://COM/en/", "x"), (3, None, "x"), (4, "no scheme", "x"), (5, "http://b.example.net/de/8", "x"), (5, "http://b.example.net/de/8", "x"), (6, "http://x.net/de/8?q", "x"), (7, "http://xcom/en/", "x"), (None, "ftp://org/es/?a://b", "x")],
