@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keyframes import PLACE, TURN, Kept
@@ -162,23 +163,43 @@ def streaming_observer(imu: DataFrame, poses: DataFrame, params: Params | None =
     return by_drive(events(imu, poses), step, f"drive_id {kind}, stamp_ns long, kind string, " + ", ".join(f"{c} double" for c in NAMES) + ", status string", idle_ms)
 
 
+class Choosing(StatefulProcessor):
+    """Keyframes by cell: a micro-batch reads the cells around its poses and writes those that get one."""
+
+    def __init__(self, dist: float, rot_deg: float) -> None:
+        self.dist, self.rot_deg = dist, rot_deg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cells = handle.getMapState("cells", "i long, j long, k long", "poses array<double>")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        def load(cell):
+            flat = list(self.cells.getValue(cell)[0]) if self.cells.containsKey(cell) else []
+            return [flat[i : i + 7] for i in range(0, len(flat), 7)]
+
+        first = self.count.get()[0] if self.count.exists() else 0
+        own, out = Kept(first, load), []
+        pdf = pd.concat(list(rows)).sort_values(["stamp_ns", "scan_id"])
+        for scan, stamp, *x in zip(pdf["scan_id"].tolist(), pdf["stamp_ns"].tolist(), *[pdf[c].tolist() for c in (*PLACE, *TURN)], strict=True):
+            if own.take(x[:3], x[3:], x[:3], x[3:], self.dist, self.rot_deg):
+                out.append((key[0], len(own) - 1, scan, stamp, *x))
+        for cell in own.changed:
+            self.cells.updateValue(cell, ([v for x in own.cells[cell] for v in x],))
+        self.count.update((len(own),))
+        yield pd.DataFrame(out, columns=["drive_id", "kf_id", "scan_id", "stamp_ns", *PLACE, *TURN], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
 def streaming_keyframes(states: DataFrame, dist: float = 1.0, rot_deg: float = 45.0) -> DataFrame:
-    """New keyframes of a stream of poses, in the order of stamps within each micro-batch. A drive's keyframes, which
-    every choice looks at, are the state: 56 bytes each, read as an array."""
+    """New keyframes of a stream of poses, in the order of stamps within each micro-batch. The state is a drive's
+    keyframes by cell, of which a pose meets those around it; it is never read or written as a whole."""
     kind = dict(states.dtypes)["drive_id"]
     schema = f"drive_id {kind}, kf_id long, scan_id long, stamp_ns long, " + ", ".join(f"{c} double" for c in (*PLACE, *TURN))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        before = np.frombuffer(state.get[0], dtype=np.float64).reshape(-1, 7) if state.exists else np.zeros((0, 7))
-        pdf = pd.concat(list(batches)).sort_values(["stamp_ns", "scan_id"]).reset_index(drop=True)
-        rows = pdf[[*PLACE, *TURN]].to_numpy(float)
-        own = Kept(before[:, :3], before[:, 3:])
-        new = [i for i, x in enumerate(rows) if own.take(x[:3], x[3:], x[:3], x[3:], dist, rot_deg)]
-        state.update((np.concatenate([before, rows[new]]).tobytes(),))
-        out = pdf.loc[new, ["scan_id", "stamp_ns", *PLACE, *TURN]]
-        yield out.assign(drive_id=key[0], kf_id=np.arange(len(before), len(before) + len(new)))[["drive_id", "kf_id", "scan_id", "stamp_ns", *PLACE, *TURN]]
-
-    return states.groupBy("drive_id").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    slim = states.select("drive_id", "scan_id", "stamp_ns", *PLACE, *TURN)
+    return slim.groupBy("drive_id").transformWithStateInPandas(Choosing(dist, rot_deg), schema, "append", "None")
 
 
 def streaming_ema(metrics: DataFrame, value: str, alpha: float = 0.05) -> DataFrame:
@@ -202,38 +223,56 @@ def latest_only(batch: DataFrame, stamp: str = "scan_stamp_ns") -> DataFrame:
     return batch.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
-def stream_map(keyframe_points: DataFrame, path: str, checkpoint: str, leaf: float = 0.25, every: str | None = None):
+def stream_map(keyframe_points: DataFrame, path: str, checkpoint: str, leaf: float = 0.25, every: str | None = None, compact_after: int = 100):
     """Keeps the map of a stream of keyframe points as voxel sums below path. A micro-batch writes its own sums only, as
     a version of their own, so its work follows its rows and not the map, and running it again gives the same.
-    read_map() adds versions up; compact_map() puts them together now and then."""
+    read_map() adds versions up; after every compact_after versions (0: never) they are put together, and what the base
+    before that one covered is deleted."""
 
     def write(batch: DataFrame, n: int) -> None:
         map_voxels(batch, leaf).write.mode("overwrite").parquet(f"{path}/version={n}")
+        if compact_after and (n + 1) % compact_after == 0:
+            vacuum_map(batch.sparkSession, path)
+            compact_map(batch.sparkSession, path)
 
     w = keyframe_points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def _versions(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
-    """The newest base, and the versions after it."""
+def _complete(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below path that were written to their end: the map's manifest."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-    bases = [int(x.removeprefix("base=")) for x in names if x.startswith("base=")]
-    base = max(bases, default=None)
+    return [x.getPath().getParent().getName() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/_SUCCESS"))]
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest base, and the versions after it."""
+    names = _complete(spark, path)
+    base = max([int(x.removeprefix("base=")) for x in names if x.startswith("base=")], default=None)
     return base, sorted(n for n in (int(x.removeprefix("version=")) for x in names if x.startswith("version=")) if base is None or n > base)
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """The map that stream_map() has written so far."""
+    """The map that stream_map() has written so far: one scan over the newest base and all later versions, added up."""
     base, versions = _versions(spark, path)
     parts = [*([f"{path}/base={base}"] if base is not None else []), *[f"{path}/version={n}" for n in versions]]
-    return merge_voxels(*[spark.read.parquet(x) for x in parts])
+    return merge_voxels(spark.read.parquet(*parts))
 
 
 def compact_map(spark: SparkSession, path: str) -> None:
-    """Puts all versions so far together as a new base; readers use it once it is complete. What it covers stays until a
-    later clean-up, since running readers may still read it."""
+    """Puts all versions so far together as a new base; readers use it once it is complete. What it covers stays until
+    vacuum_map(), since running readers may still read it."""
     _, versions = _versions(spark, path)
     if versions:
         read_map(spark, path).write.mode("overwrite").parquet(f"{path}/base={versions[-1]}")
+
+
+def vacuum_map(spark: SparkSession, path: str) -> int:
+    """Deletes what the newest base covers, the base itself and what came later aside; gives how many folders that was."""
+    base, _ = _versions(spark, path)
+    old = [x for x in _complete(spark, path) if base is not None and (x.startswith("base=") and int(x[5:]) < base or x.startswith("version=") and int(x[8:]) <= base)]
+    for name in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(old)

@@ -99,6 +99,56 @@ def test_map(spark, tmp_path):
     assert stateful._versions(spark, path) == (3, []) and sorted(map(tuple, stateful.read_map(spark, path).collect())) == want
 
 
+def test_many_versions_are_one_scan(spark, tmp_path):
+    path = str(tmp_path / "map")
+    p = spark.createDataFrame([("d", 0, k, k * 0.3, 0.0, 0.0, 1.0) for k in range(10)], schema("keyframe_points"))
+    one = mapping.map_voxels(p).coalesce(1)
+    one.write.parquet(f"{path}/version=0")
+    import shutil
+
+    for n in range(1, 60):
+        shutil.copytree(f"{path}/version=0", f"{path}/version={n}")
+    m = stateful.read_map(spark, path)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and {r.n for r in m.collect()} == {60}
+    assert stateful.vacuum_map(spark, path) == 0  # nothing is covered yet
+    stateful.compact_map(spark, path)
+    shutil.copytree(f"{path}/version=0", f"{path}/version=60")
+    assert {r.n for r in stateful.read_map(spark, path).collect()} == {61}
+    assert stateful.vacuum_map(spark, path) == 60 and {r.n for r in stateful.read_map(spark, path).collect()} == {61}
+    shutil.copytree(f"{path}/version=60", f"{path}/version=61")
+    (tmp_path / "map" / "version=61" / "_SUCCESS").unlink()  # a version that is not complete doesn't count
+    assert {r.n for r in stateful.read_map(spark, path).collect()} == {61}
+
+
+def test_map_compacts_itself(spark, tmp_path):
+    p = spark.createDataFrame([("d", k % 4, k, k % 7 * 0.2, 0.0, 0.0, 1.0) for k in range(40)], schema("keyframe_points"))
+    q = stateful.stream_map(feed(spark, p, tmp_path / "p", "point_id", 6), str(tmp_path / "map"), str(tmp_path / "c"), compact_after=2)
+    q.awaitTermination(240)
+    assert q.exception() is None
+    base, later = stateful._versions(spark, str(tmp_path / "map"))
+    assert base == 5 and later == [] and not (tmp_path / "map" / "version=0").exists()
+    assert sorted(map(tuple, stateful.read_map(spark, str(tmp_path / "map")).collect())) == sorted(map(tuple, mapping.map_voxels(p).collect()))
+
+
+def test_a_pose_meets_keyframes_around_it_only():
+    rng = np.random.default_rng(0)
+    walk = np.cumsum(rng.normal(size=(4000, 3)) * [0.6, 0.6, 0.01], axis=0)
+    turns = rng.normal(size=(4000, 4))
+    turns /= np.linalg.norm(turns, axis=1, keepdims=True)
+    kept, all_kept = keyframes.Kept(), []
+    for p, q in zip(walk.tolist(), turns.tolist()):
+        d = np.array([np.linalg.norm(np.subtract(p, x)) for x, _ in all_kept])
+        new = not len(d) or d.min() > 1.0
+        if not new:
+            turn = all_kept[int(d.argmin())][1]
+            new = np.degrees(2 * np.arccos(min(1, abs(float(np.dot(turn, q)))))) > 45 and (d <= 1.5).sum() <= 1
+        assert kept.take(p, q, p, q, 1.0, 45.0) == new
+        if new:
+            all_kept.append((p, q))
+    assert len(kept) == len(all_kept) > 300 and kept.compared < 4000 * len(all_kept) / 10
+
+
 def test_latest_only(spark):
     d = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("b", 3, 1)], "drive_id string, scan_id long, scan_stamp_ns long")
     assert sorted(r.scan_id for r in stateful.latest_only(d).collect()) == [2, 3]
