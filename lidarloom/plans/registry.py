@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import covariance, deskew, imu, keyframes, mapping, points, registration, spatial, trajectory, vectors
 from ..params import Params
 from ..session import delete_at_end, shared_dir, stored
-from ..sources import tables
+from ..sources import tables, versions
 from ..streaming import event_time
 from .recorded import RECORDED, micro, query, sql_units, units
 
@@ -314,6 +314,29 @@ def tombstone(t):
     return spatial.knn_join(t("cloud"), kept, 8).drop("d2")
 
 
+LOG = """SELECT *, 0 AS version, true AS present FROM cloud WHERE point_id % 2 = 0 UNION ALL SELECT *, 1, true FROM cloud WHERE point_id % 2 = 1
+    UNION ALL SELECT *, 1, false FROM cloud WHERE point_id % 3 = 0 AND point_id % 2 = 0 UNION ALL SELECT * REPLACE (z + 1 AS z), 2, true FROM cloud WHERE point_id % 12 = 0 UNION ALL SELECT *, 2, false FROM cloud WHERE point_id % 5 = 0 AND point_id % 12 <> 0"""
+
+
+@query(f"""WITH g AS ({LOG}) SELECT v AS version, drive_id, scan_id, point_id, x, y, z FROM (
+    SELECT g.*, v, max(version) OVER (PARTITION BY v, drive_id, scan_id, point_id) AS last FROM g, range(0, 3) r(v) WHERE version <= v) WHERE version = last AND present""")
+def point_versions(t):
+    """Points added, removed and added again over three versions, each read back; the last through a compacted base."""
+    c = t("cloud")
+    spark, id_ = c.sparkSession, F.col("point_id")
+    path = f"{shared_dir(spark).rstrip('/')}/lidarloom-points-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    versions.add(c.filter(id_ % 2 == 0), path, 0)
+    versions.add(c.filter(id_ % 2 == 1), path, 1)
+    versions.remove(c.filter((id_ % 3 == 0) & (id_ % 2 == 0)), path, 1)
+    versions.add(c.filter(id_ % 12 == 0).withColumn("z", F.col("z") + 1), path, 2)
+    versions.remove(c.filter((id_ % 5 == 0) & (id_ % 12 != 0)), path, 2)
+    earlier = [versions.read(spark, path, v).withColumn("version", F.lit(v)) for v in (0, 1)]
+    versions.compact(spark, path)
+    out = earlier[0].unionByName(earlier[1]).unionByName(versions.read(spark, path).withColumn("version", F.lit(2)))
+    return out.select("version", "drive_id", "scan_id", "point_id", "x", "y", "z")
+
+
 @query(KNN8.replace("SELECT *, row", "SELECT drive_id, scan_id, left_id, right_id, row"))
 def knn_of_parts(t):
     c = t("cloud")
