@@ -23,18 +23,19 @@ def _celled(df: DataFrame, on: Sequence[str], point: str, size: float, name: str
     return df.select(*on, F.col(point).alias(name), *[F.col(c).alias(f"__{name}_{c}") for c in ("x", "y", "z", *also)], *at)
 
 
-def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], size: float, point: str = "point_id", offsets: bool = False, before: str | None = None) -> DataFrame:
+def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], size: float, point: str = "point_id", offsets: bool = False, before: str | None = None, spread: str = "left") -> DataFrame:
     """Pairs in neighbouring cells of one key, with d2: all pairs no farther apart than size, and some that are.
     offsets: also dx, dy, dz from left to right. before: a column that must be smaller on the right.
 
-    The left side looks into its 27 cells, so the right side is shuffled once; the join is an equality on key and cell,
-    which AQE splits where a cell is dense. Only ids and places are sent to the cells.
+    The side named by `spread`, which should be the smaller one, goes to its 27 cells, so the other is shuffled once; the
+    join is an equality on key and cell, which AQE splits where a cell is dense. Only ids and places are sent to the
+    cells.
     """
     also = [before] if before else []
     shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s, strict=True)]) for s in AROUND]))
-    a = _celled(left, on, point, size, "left_id", also).withColumn("__s", shifts)
-    a = a.withColumns({f"__c{c}": F.col(f"__c{c}") + F.col(f"__s.{c}") for c in "xyz"}).drop("__s")
-    b = _celled(right, on, point, size, "right_id", also)
+    around = lambda df: df.withColumn("__s", shifts).withColumns({f"__c{c}": F.col(f"__c{c}") + F.col(f"__s.{c}") for c in "xyz"}).drop("__s")
+    a, b = _celled(left, on, point, size, "left_id", also), _celled(right, on, point, size, "right_id", also)
+    a, b = (around(a), b) if spread == "left" else (a, around(b))
     d = [F.col(f"__left_id_{c}") - F.col(f"__right_id_{c}") for c in "xyz"]
     pairs = a.join(b, [*on, "__cx", "__cy", "__cz"])
     if before:
@@ -75,20 +76,27 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("dr
     true one of that rank.
     """
     places = left.select(*on, *"xyz", F.lit(0).alias("r")).unionByName(right.select(*on, *"xyz", F.lit(1).alias("r")))
-    reach = stored(places.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n")))
+    reach = stored(places.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n"), F.count(F.lit(1)).alias("__all")))
     todo, out, h = left.select(*on, point, *"xyz", *([before] if before else [])), None, float(size or cell_size(reach, k))
     mine = Window.partitionBy(*on, "left_id")
+    n = reach.agg(F.sum("n").alias("right"), F.sum(F.col("__all") - F.col("n")).alias("left")).first()
+    n_right, n_todo = n["right"] or 0, n["left"] or 0
     for _ in range(max_rounds):
-        near = nearest_of(grid_pairs(todo, right, on, h, point, offsets, before), on, k, ties)
+        near = nearest_of(grid_pairs(todo, right, on, h, point, offsets, before, "right" if n_right < n_todo else "left"), on, k, ties)
         near = near.withColumn("__ok", (F.count(F.lit(1)).over(mine) >= k) & (F.max("d2").over(mine) <= (h * (1 + eps)) ** 2))
+        if ties:
+            near = near.withColumn("__one", F.row_number().over(mine.orderBy("d2", "right_id")) == 1)
         found = stored(near)
+        if found.filter(F.col("__ok") & (F.col("__one") if ties else F.col("rank") == 1)).count() == n_todo:
+            done = found.drop("__ok", "__one")
+            return done if out is None else out.unionByName(done)
         last = found.filter("__ok").select(*on, F.col("left_id").alias(point)).distinct()
         all_seen = reach.filter(F.greatest("__x", "__y", "__z") <= h).select(*on)
         open_ = stored(todo.join(last, [*on, point], "left_anti").join(all_seen, list(on), "left_anti"))
-        some = open_.limit(1).count()
-        done = found.filter("__ok").unionByName(found.filter("not __ok").join(all_seen, list(on), "left_semi")).drop("__ok")
+        n_todo = open_.count()
+        done = found.filter("__ok").unionByName(found.filter("not __ok").join(all_seen, list(on), "left_semi")).drop("__ok", "__one")
         out = done if out is None else out.unionByName(done)
-        if not some:
+        if not n_todo:
             return out
         todo, h = open_, 2 * h
     raise RuntimeError(f"neighbours not settled with cells of {h}")
