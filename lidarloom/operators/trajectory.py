@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..params import Params
 from ..plans.ordered import folded, ordinal
 
 HOUR_NS = 3_600_000_000_000
@@ -97,8 +98,10 @@ def wait_until_move(scans: DataFrame, lengths: DataFrame, least: float = 0.1) ->
     return scans.join(lengths.select("drive_id", "scan_id", "length"), ["drive_id", "scan_id"]).filter(F.col("length") >= least).drop("length")
 
 
-def frames(poses: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Three edges a scan: odom to base_link (the pose), base_link to imu and to lidar (the mounting)."""
+def frames(poses: DataFrame, calibration: DataFrame, params: Params | None = None) -> DataFrame:
+    """Three edges a scan: odom to base_link (the pose), base_link to imu and to lidar (the mounting), by the names that
+    params give them."""
+    name = (params or Params()).frame
     d = poses.join(calibration.select("drive_id", "imu_r", "imu_t", "lidar_r", "lidar_t"), "drive_id")
 
     def edge(parent, child, r, t):
@@ -107,9 +110,9 @@ def frames(poses: DataFrame, calibration: DataFrame) -> DataFrame:
         return F.struct(*fields)
 
     edges = F.array(
-        edge("odom", "base_link", None, G.vec("px", "py", "pz")),
-        edge("base_link", "imu", G.items(F.col("imu_r"), 9), G.items(F.col("imu_t"), 3)),
-        edge("base_link", "lidar", G.items(F.col("lidar_r"), 9), G.items(F.col("lidar_t"), 3)),
+        edge(name("odom"), name("base"), None, G.vec("px", "py", "pz")),
+        edge(name("base"), name("imu"), G.items(F.col("imu_r"), 9), G.items(F.col("imu_t"), 3)),
+        edge(name("base"), name("lidar"), G.items(F.col("lidar_r"), 9), G.items(F.col("lidar_t"), 3)),
     )
     return d.select("drive_id", "scan_id", "stamp_ns", F.explode(edges).alias("e")).select("drive_id", "scan_id", "stamp_ns", "e.*")
 

@@ -46,6 +46,20 @@ class Params:
     move_threshold: float = 0.1
     ema_alpha: float = 0.05
     fallback_rate_hz: float = 200.0
+    calibrate_imu: bool = True
+    voxelize: bool = True
+    dense_filtered: bool = False
+    wait_until_move: bool = True
+    vehicle: str = ""
+    odom_frame: str = "odom"
+    base_frame: str = "base_link"
+    imu_frame: str = "imu"
+    lidar_frame: str = "lidar"
+
+    def frame(self, name: str) -> str:
+        """A frame's name, behind the vehicle's where it has one."""
+        own = getattr(self, f"{name}_frame")
+        return f"{self.vehicle}/{own}" if self.vehicle else own
 
     @classmethod
     def of(cls, values: dict) -> Params:

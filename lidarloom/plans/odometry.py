@@ -27,7 +27,9 @@ CORNER = dict.fromkeys(POSE, 0.0) | {"qw": 1.0}
 @dataclass(frozen=True)
 class Odometry:
     """poses: drive_id, scan_id, stamp_ns, px..qz of each scan; states: rows of observe(); keyframes; keyframe_points and
-    map (voxel sums) in the world; metrics: of each scan; lengths: metres come so far, by the threshold of a move."""
+    map (voxel sums) in the world, of scans from the first move on if wanted; metrics: of each scan; lengths: metres come
+    so far, by the threshold of a move; frames: edges of the poses and the mounting; dense: every scan's cloud in the
+    world, all its points or, if wanted, its voxels."""
 
     poses: DataFrame
     states: DataFrame
@@ -36,6 +38,8 @@ class Odometry:
     map: DataFrame
     metrics: DataFrame
     lengths: DataFrame
+    frames: DataFrame
+    dense: DataFrame
 
 
 def cleaned(raw: DataFrame, p: Params) -> DataFrame:
@@ -48,19 +52,21 @@ def corrected_imu(samples: DataFrame, calibration: DataFrame, p: Params) -> tupl
     """(samples at the body's origin without biases, attitude of each drive at its start). Where a drive calibrates itself,
     its first seconds are used up by that, and scale and misalignment are left as they are."""
     body = stored(imu.transform_imu(samples, calibration, p.fallback_rate_hz))
-    own = p.calibrate_accel or p.calibrate_gyro or p.gravity_align
+    if not p.calibrate_imu:
+        biases = calibration.select("drive_id", "accel_bias", "gyro_bias", "accel_sm")
+        return imu.correct_imu(body, biases), calibration.select("drive_id", *[F.lit(float(c == "qw")).alias(c) for c in POSE[3:]])
     cal = stored(imu.calibrate_imu(body, p, calibration))
     biases = cal.select("drive_id", "accel_bias", "gyro_bias")
-    if not (p.calibrate_accel or p.calibrate_gyro):
-        biases = biases.join(calibration.select("drive_id", "accel_sm"), "drive_id")
-    used = imu.after_calibration(body, p.imu_calib_time_s) if own else body
-    return imu.correct_imu(used, biases, "accel_sm" in biases.columns), cal.select("drive_id", "qw", "qx", "qy", "qz")
+    used = imu.after_calibration(body, p.imu_calib_time_s)
+    return imu.correct_imu(used, biases, scale=False), cal.select("drive_id", "qw", "qx", "qy", "qz")
 
 
 def voxels(cloud: DataFrame, p: Params) -> DataFrame:
-    """A scan's cloud by voxels, each with an id of its own and the covariance of its surroundings."""
-    v = points.voxel_grid(cloud, p.voxel_leaf)
-    v = stored(v.select(*SCAN, spatial.morton(F.col("x"), F.col("y"), F.col("z"), p.voxel_leaf).alias("point_id"), *"xyz", "intensity"))
+    """A scan's cloud, by voxels if wanted, each with an id of its own and the covariance of its surroundings."""
+    if p.voxelize:
+        v = points.voxel_grid(cloud, p.voxel_leaf)
+        cloud = v.select(*SCAN, spatial.morton(F.col("x"), F.col("y"), F.col("z"), p.voxel_leaf).alias("point_id"), *"xyz", "intensity")
+    v = stored(cloud.select(*SCAN, F.col("point_id").cast("long").alias("point_id"), *"xyz", "intensity"))
     near = stored(spatial.knn_join(v, v, p.k_neighbours, offsets=True))
     covs = covariance.local_covariance(near, v, "PLANE").drop("n")
     return stored(v.join(covs, [*SCAN, "point_id"]))
@@ -125,8 +131,8 @@ def with_velocity(poses: DataFrame) -> DataFrame:
     return d.withColumns({f"v{c}": F.when(dt > 0, (F.col(f"__b.p{c}") - F.col(f"__a.p{c}")) / dt).otherwise(0.0) for c in "xyz"}).drop("__a", "__b")
 
 
-def refined(cloud: DataFrame, samples: DataFrame, calibration: DataFrame, poses: DataFrame, metrics: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """One pass: (poses, voxels in the world by them) from poses. Every scan is set into the world by the pose it starts
+def refined(cloud: DataFrame, samples: DataFrame, calibration: DataFrame, poses: DataFrame, metrics: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass: (poses, and by them points and voxels in the world) from poses. Every scan is set into the world by the pose it starts
     from and the velocity there, corrected for its motion, and registered to its submap."""
     starts = stored(with_velocity(poses).select(*SCAN, F.col("stamp_ns").alias("start_ns"), *POSE, "vx", "vy", "vz"))
     world = stored(moved(cloud, samples, starts, calibration, p))
@@ -147,7 +153,8 @@ def refined(cloud: DataFrame, samples: DataFrame, calibration: DataFrame, poses:
     # the correction is the same for the whole scan, so it moves the pose that the scan starts from
     at = starts.select(*SCAN, F.col("start_ns").alias("stamp_ns"), matrix.alias("r"), F.array("px", "py", "pz").alias("t")).join(prior.select(*SCAN), list(SCAN), "left_semi")
     out = stored(trajectory.corrected_poses(at, fix).select(*SCAN, "stamp_ns", *POSE))
-    return out, stored(points.transform_points(v.select(*SCAN, "point_id", *"xyz", "intensity"), fix, list(SCAN)))
+    slim = (*SCAN, "point_id", *"xyz", "intensity")
+    return out, points.transform_points(world.select(*slim), fix, list(SCAN)), stored(points.transform_points(v.select(*slim), fix, list(SCAN)))
 
 
 def odometry(raw: DataFrame, samples: DataFrame, calibration: DataFrame | None = None, params: Params | None = None, initial: DataFrame | None = None, passes: int = 1) -> Odometry:
@@ -174,12 +181,16 @@ def odometry(raw: DataFrame, samples: DataFrame, calibration: DataFrame | None =
     poses = trajectory.corrected_poses(chain.select(*SCAN, "stamp_ns", "r", "t"), chain.select(*SCAN).join(first, "drive_id"))
     poses = stored(poses.select(*SCAN, "stamp_ns", *POSE))
     if passes < 1:
-        at = poses.select(*SCAN, F.array(*G.quat_to_matrix(G.vec("qw", "qx", "qy", "qz"))).alias("r"), F.array("px", "py", "pz").alias("t"))
-        world = points.transform_points(body.select(*SCAN, "point_id", *"xyz", "intensity"), at, list(SCAN))
+        at = stored(poses.select(*SCAN, F.array(*G.quat_to_matrix(G.vec("qw", "qx", "qy", "qz"))).alias("r"), F.array("px", "py", "pz").alias("t")))
+        slim = (*SCAN, "point_id", *"xyz", "intensity")
+        full, world = (points.transform_points(c.select(*slim), at, list(SCAN)) for c in (points.transform_points(cloud, lidar, ["drive_id"]), body))
     for _ in range(passes):
-        poses, world = refined(cloud, samples, calibration, poses, metrics, p)
+        poses, full, world = refined(cloud, samples, calibration, poses, metrics, p)
     kf = stored(chosen(poses, metrics, p))
-    kf_points = world.join(kf.select("drive_id", "scan_id", "kf_id"), list(SCAN)).select("drive_id", "kf_id", "point_id", *"xyz", "intensity")
+    lengths = stored(trajectory.trajectory_length(poses, p.move_threshold))
+    mapped = trajectory.wait_until_move(kf, lengths, p.move_threshold) if p.wait_until_move else kf
+    kf_points = world.join(mapped.select("drive_id", "scan_id", "kf_id"), list(SCAN)).select("drive_id", "kf_id", "point_id", *"xyz", "intensity")
     return Odometry(
-        poses, observer.observe(samples, poses, p), kf, kf_points, mapping.map_voxels(kf_points, p.map_leaf), metrics, trajectory.trajectory_length(poses, p.move_threshold)
-    )
+        poses, observer.observe(samples, poses, p), kf, kf_points, mapping.map_voxels(kf_points, p.map_leaf), metrics, lengths, trajectory.frames(poses, calibration, p),
+        world if p.dense_filtered else full,
+    )

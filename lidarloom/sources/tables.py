@@ -61,7 +61,7 @@ def load_params(source: DataFrame) -> Params:
     """Parameters from a table of name and value; names it lacks keep their defaults."""
     known = {f.name: f.type for f in fields(Params)}
     rows = {r["name"]: r["value"] for r in source.filter(F.col("name").isin(*known)).select("name", F.col("value").cast("string").alias("value")).limit(len(known)).collect()}
-    as_type = {"float": float, "int": lambda v: int(float(v)), "bool": lambda v: v.strip().lower() in ("true", "1")}
+    as_type = {"float": float, "int": lambda v: int(float(v)), "bool": lambda v: v.strip().lower() in ("true", "1"), "str": str}
     return Params.of({k: as_type[known[k]](v) for k, v in rows.items()})
 
 
@@ -78,8 +78,8 @@ def write_path(poses: DataFrame, path: str) -> None:
     append(poses, path)
 
 
-def write_frames(poses: DataFrame, calibration: DataFrame, path: str) -> None:
-    append(frames(poses, calibration), path)
+def write_frames(poses: DataFrame, calibration: DataFrame, path: str, params: Params | None = None) -> None:
+    append(frames(poses, calibration, params), path)
 
 
 def write_keyframes(keyframes: DataFrame, path: str) -> None:
