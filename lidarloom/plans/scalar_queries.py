@@ -156,6 +156,17 @@ def dense_cloud(t):
     return mapping.dense_cloud(p, p.limit(0), c).select("drive_id", "scan_id", "x", "y", "z", "intensity")
 
 
+@query(f"""SELECT drive_id, scan_id, {sql_units("-1e0 * sy / n / 1e6 + scan_id", "x")}, {sql_units("sx / n / 1e6", "y")}, {sql_units("sz / n / 1e6 - 1", "z")}, count(*) AS n_cells FROM (
+    SELECT drive_id, scan_id, count(*) AS n, CAST(sum(CAST(round(x * 1e6) AS BIGINT)) AS BIGINT) AS sx, CAST(sum(CAST(round(y * 1e6) AS BIGINT)) AS BIGINT) AS sy, CAST(sum(CAST(round(z * 1e6) AS BIGINT)) AS BIGINT) AS sz
+    FROM points GROUP BY drive_id, scan_id, floor(x / 4), floor(y / 4), floor(z / 4)) GROUP BY ALL""")
+def dense_cloud_filtered(t):
+    """The voxelised side of the dense cloud."""
+    p = t("points")
+    c = p.select("drive_id", "scan_id").distinct().withColumns({"r": F.array(*map(F.lit, TURN)), "t": F.array(F.col("scan_id").cast("double"), F.lit(0.0), F.lit(-1.0))})
+    v = mapping.dense_cloud(p.limit(0), points.voxel_grid(p, 4.0), c, filtered=True)
+    return v.groupBy("drive_id", "scan_id", *[units(x, x) for x in "xyz"]).agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 @query("SELECT drive_id, pose_id AS scan_id, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id) - 1 AS n FROM poses")
 def pose_places(t):
     return trajectory.pose_places(t("poses").withColumn("scan_id", F.col("pose_id")), 30 * 24 * HOUR_NS).select("drive_id", "scan_id", "n")
