@@ -18,6 +18,17 @@ AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 PAIR = ("left_id", "right_id", "d2")
 
 
+#: Columns that hold a place, unless the caller names others.
+PLACES = ("x", "y", "z")
+
+
+def placed(places: Sequence[str], *sides: DataFrame) -> list[DataFrame]:
+    """Tables whose places are in the columns named, with x, y, z instead; columns of those names that are none go."""
+    if tuple(places) == PLACES:
+        return list(sides)
+    return [df.select(*[F.col(c) for c in df.columns if c not in (*places, *PLACES)], *[F.col(c).alias(n) for c, n in zip(places, PLACES, strict=True)]) for df in sides]
+
+
 def _celled(df: DataFrame, on: Sequence[str], point: str, size: float, name: str, also: Sequence[str]) -> DataFrame:
     at = [cell(F.col(c), size).alias(f"__c{c}") for c in "xyz"]
     return df.select(*on, F.col(point).alias(name), *[F.col(c).alias(f"__{name}_{c}") for c in ("x", "y", "z", *also)], *at)
@@ -64,7 +75,7 @@ def cell_size(reach: DataFrame, k: int) -> float:
     return float(found) if found else 1.0
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float | None = None, point: str = "point_id", max_rounds: int = 60, offsets: bool = False, ties: bool = False, before: str | None = None, eps: float = 0.0) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("drive_id", "scan_id"), size: float | None = None, point: str = "point_id", max_rounds: int = 60, offsets: bool = False, ties: bool = False, before: str | None = None, eps: float = 0.0, places: Sequence[str] = PLACES) -> DataFrame:
     """Exact k nearest right points of each left point of the same key: on, left_id, right_id, d2, rank. A self-join
     finds each point itself at distance 0. Fewer than k points: all of them. ties: also all that are as near as the
     k-th. offsets: also dx, dy, dz. before: a column that must be smaller on the right, such as a stamp.
@@ -73,10 +84,11 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("dr
     settled once its k-th neighbour is that near, or cells reach over all that its key holds; the others look again
     with twice the size. eps: a point is settled already if its k-th neighbour is within (1 + eps) times the size, since
     whatever it has not met is farther than the size; so each of its neighbours is at most (1 + eps) times as far as the
-    true one of that rank.
+    true one of that rank. places: the columns that hold a place.
     """
-    places = left.select(*on, *"xyz", F.lit(0).alias("r")).unionByName(right.select(*on, *"xyz", F.lit(1).alias("r")))
-    reach = stored(places.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n"), F.count(F.lit(1)).alias("__all")))
+    left, right = placed(places, left, right)
+    both = left.select(*on, *"xyz", F.lit(0).alias("r")).unionByName(right.select(*on, *"xyz", F.lit(1).alias("r")))
+    reach = stored(both.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(f"__{c}") for c in "xyz"], F.sum("r").alias("n"), F.count(F.lit(1)).alias("__all")))
     todo, out, h = left.select(*on, point, *"xyz", *([before] if before else [])), None, float(size or cell_size(reach, k))
     mine = Window.partitionBy(*on, "left_id")
     n = reach.agg(F.sum("n").alias("right"), F.sum(F.col("__all") - F.col("n")).alias("left")).first()
@@ -102,8 +114,9 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, on: Sequence[str] = ("dr
     raise RuntimeError(f"neighbours not settled with cells of {h}")
 
 
-def radius_join(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id", offsets: bool = False) -> DataFrame:
-    """All pairs of one key with a squared distance below r2."""
+def radius_join(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id", offsets: bool = False, places: Sequence[str] = PLACES) -> DataFrame:
+    """All pairs of one key with a squared distance below r2. places: the columns that hold a place."""
+    left, right = placed(places, left, right)
     return grid_pairs(left, right, on, float(np.sqrt(r2)), point, offsets).filter(F.col("d2") < r2)
 
 
@@ -127,8 +140,10 @@ def approx_knn_join(left: DataFrame, right: DataFrame, k: int, size: float | Non
     return nearest_of(grid_pairs(left, right, on, size, point), on, k)
 
 
-def nn_within(left: DataFrame, right: DataFrame, distance: float, on: Sequence[str], point: str = "point_id") -> DataFrame:
-    """The nearest right point closer than distance; left points without one have no row. One pass, exact."""
+def nn_within(left: DataFrame, right: DataFrame, distance: float, on: Sequence[str], point: str = "point_id", places: Sequence[str] = PLACES) -> DataFrame:
+    """The nearest right point closer than distance; left points without one have no row. One pass, exact. places: the
+    columns that hold a place."""
+    left, right = placed(places, left, right)
     pairs = grid_pairs(left, right, on, distance, point).filter(F.col("d2") < distance * distance)
     return pairs.groupBy(*on, "left_id").agg(F.min(F.struct("d2", "right_id")).alias("m")).select(*on, "left_id", F.col("m.right_id").alias("right_id"), F.col("m.d2").alias("d2"))
 

@@ -9,10 +9,10 @@ from lidarloom.plans import odometry
 
 from .test_motion import IMU, circle, imu_rows, turn_z
 
-STILL = Params(calibrate_imu=False, wait_until_move=False, adaptive=False, keyframe_dist=0.15, voxel_leaf=0.4, k_neighbours=8, min_points=20, max_iterations=12, crop_size=0.2, max_corr_dist=0.6)
+STILL = Params(calibrate_imu=False, wait_until_move=False, adaptive=False, keyframe_dist=0.15, voxel_leaf=0.4, k_neighbours=8, min_points=20, max_iterations=6, crop_size=0.2, max_corr_dist=0.6)
 
 
-def scene(n_scans=6, n_points=700, seed=0):
+def scene(n_scans=6, n_points=500, seed=0):
     """A room with some furniture, seen by a sensor that goes round in a circle; points are taken one by one along a scan."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -63,7 +63,7 @@ def test_a_pass_brings_poses_nearer(spark, inputs):
     assert np.median(off) < 0.05  # walls are flat in the map
     assert done.map.count() > 300 and done.states.filter("kind = 'pose'").count() == 6
     assert {r.parent for r in done.frames.select("parent").distinct().collect()} == {"odom", "base_link"}
-    assert done.dense.count() == 6 * 700 and done.dense.groupBy("scan_id").count().count() == 6
+    assert done.dense.count() == 6 * 500 and done.dense.groupBy("scan_id").count().count() == 6
     length = max(r.length for r in done.lengths.collect())
     assert abs(length - np.linalg.norm(circle(1.0)[0] - circle(0.5)[0])) < 0.15
 
@@ -88,8 +88,8 @@ def test_parameters_take_effect(spark, inputs):
     own = odometry.load_calibration(raw.select("drive_id").distinct())
     for on in (True, False):
         p = Params(deskew=on, min_points=20)
-        assert odometry.moved(raw.filter("scan_id = 0"), samples, starts, own, p).filter("deskewed").count() == (700 if on else 0)
-    assert odometry.voxels(raw.filter("scan_id = 0"), Params(voxelize=False, k_neighbours=8)).count() == 700 > odometry.voxels(raw.filter("scan_id = 0"), STILL).count()
+        assert odometry.moved(raw.filter("scan_id = 0"), samples, starts, own, p).filter("deskewed").count() == (500 if on else 0)
+    assert odometry.voxels(raw.filter("scan_id = 0"), Params(voxelize=False, k_neighbours=8)).count() == 500 > odometry.voxels(raw.filter("scan_id = 0"), STILL).count()
     q = ("qw", "qx", "qy", "qz")
     for on in (True, False):
         used, turn = odometry.corrected_imu(samples, own, Params(calibrate_imu=on, imu_calib_time_s=0.4))

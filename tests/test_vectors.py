@@ -110,3 +110,15 @@ def test_box_skips_row_groups(spark, tmp_path):
             groups += 1
             read += any(stats.min <= b and a <= stats.max for a, b in ranges)
     assert groups >= 40 and read <= groups / 3
+
+
+def test_places_by_other_names(spark):
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([("d", 1, i, *v) for i, v in enumerate(rng.uniform(0, 5, size=(80, 3)).tolist())], "drive_id string, scan_id int, point_id long, x double, y double, z double")
+    q = p.select("drive_id", "scan_id", "point_id", F.col("x").alias("east"), F.col("y").alias("north"), F.col("z").alias("up"), F.lit(0.0).alias("x"))
+    names = ("east", "north", "up")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spatial.knn_join(p, p, 3)) == rows(spatial.knn_join(q, q, 3, places=names))
+    assert rows(spatial.radius_join(p, p, 0.5)) == rows(spatial.radius_join(q, q, 0.5, places=names))
+    on = ["drive_id", "scan_id"]
+    assert rows(spatial.nn_within(p, p, 0.5, on)) == rows(spatial.nn_within(q, q, 0.5, on, places=names))
