@@ -97,7 +97,7 @@ def test_error_swap_and_given_covariances(spark, pair):
     m = registration.correspondences(source, target, state, 0.8)
     want = {r.pair_id: (r.error, r.n_matches) for r in registration.error_of(m, state).collect()}
     got = {r.pair_id: (r.error, r.n_matches) for r in registration.registration_error(source, target, state, 0.8).collect()}
-    assert got == want
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 * want[k][0] for k in want)  # sums in any order
     rows = m.collect()
     w = np.array([[[r.m00, r.m01, r.m02], [r.m01, r.m11, r.m12], [r.m02, r.m12, r.m22]] for r in rows])
     e = np.array([[r.bx - r.ax, r.by - r.ay, r.bz - r.az] for r in rows])
