@@ -503,7 +503,22 @@ def convex_hull(t):
     return keyframes.convex_hull_keyframes(t("poses").withColumn("kf_id", F.col("pose_id")))
 
 
-@query()  # no SQL: the tests decide every ball by brute force
+#: Of each pose: the others near it (d), the circles through it and two of those (c), the balls of radius 0.8 through
+#: these (o); one of them must be empty.
+@query("""WITH k AS (SELECT drive_id, pose_id, px AS x, py AS y, (pose_id % 31) / 10e0 AS z FROM poses WHERE drive_id IN (SELECT drive_id FROM poses GROUP BY drive_id HAVING count(*) >= 5)),
+    d AS (SELECT * FROM (SELECT DISTINCT p.drive_id, p.pose_id, q.x - p.x AS x, q.y - p.y AS y, q.z - p.z AS z FROM k p JOIN k q ON p.drive_id = q.drive_id AND abs(q.x - p.x) <= 1.7 AND abs(q.y - p.y) <= 1.7)
+        WHERE x * x + y * y + z * z > 0 AND x * x + y * y + z * z < 2.56 * (1 + 1e-9)),
+    n AS (SELECT *, x * x + y * y + z * z AS d2, row_number() OVER (PARTITION BY drive_id, pose_id ORDER BY x, y, z) AS r FROM d),
+    t AS (SELECT a.drive_id, a.pose_id, a.y * b.z - a.z * b.y AS nx, a.z * b.x - a.x * b.z AS ny, a.x * b.y - a.y * b.x AS nz,
+        a.d2 * b.x - b.d2 * a.x AS ex, a.d2 * b.y - b.d2 * a.y AS ey, a.d2 * b.z - b.d2 * a.z AS ez
+        FROM n a JOIN n b ON a.drive_id = b.drive_id AND a.pose_id = b.pose_id AND a.r < b.r),
+    c AS (SELECT *, (ey * nz - ez * ny) / (2 * n2) AS cx, (ez * nx - ex * nz) / (2 * n2) AS cy, (ex * ny - ey * nx) / (2 * n2) AS cz
+        FROM (SELECT *, nx * nx + ny * ny + nz * nz AS n2 FROM t) WHERE n2 > 1e-12),
+    o AS (SELECT drive_id, pose_id, cx + s * nx * h AS ox, cy + s * ny * h AS oy, cz + s * nz * h AS oz
+        FROM (SELECT *, sqrt(greatest(0.64 - (cx * cx + cy * cy + cz * cz), 0) / n2) AS h FROM c WHERE 0.64 - (cx * cx + cy * cy + cz * cz) >= -0.64e-9), (VALUES (1), (-1)) v(s)),
+    l AS (SELECT drive_id, pose_id, list({'x': x, 'y': y, 'z': z}) AS others FROM d GROUP BY ALL)
+    SELECT DISTINCT o.drive_id, o.pose_id AS kf_id FROM o JOIN l ON o.drive_id = l.drive_id AND o.pose_id = l.pose_id
+    WHERE len(list_filter(others, lambda v: (v.x - ox) ** 2 + (v.y - oy) ** 2 + (v.z - oz) ** 2 < 0.64 * (1 - 1e-9))) = 0""")
 def concave_hull(t):
     p = t("poses").withColumn("kf_id", F.col("pose_id")).withColumn("pz", (F.col("pose_id") % 31) / 10.0)
     return keyframes.concave_hull_keyframes(p, 0.8)

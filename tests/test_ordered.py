@@ -128,6 +128,38 @@ def test_concave_hull_by_brute_force(spark):
     assert {r.kf_id for r in keyframes.concave_hull_keyframes(k, alpha).collect()} == want
 
 
+def test_concave_hull_where_keyframes_are_dense(spark):
+    """Copies of a place, a grid with many on one sphere, and cells that the nearest close: every ball tried as before."""
+    rng = np.random.default_rng(8)
+    p, alpha = np.concatenate([rng.uniform(-2, 2, (260, 3)), np.array([(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]) + 3.0]), 1.5
+    p = np.concatenate([p, p[:5]])
+    want = set()
+    for i in range(len(p)):
+        offsets = np.unique(p - p[i], axis=0)
+        d2 = (offsets**2).sum(1)
+        if keyframes.touches_empty_ball(offsets[(d2 > 0) & (d2 <= 4 * alpha**2)], alpha):
+            want.add(i)
+    assert 50 < len(want) < len(p) - 50
+    k = spark.createDataFrame([("d", i, *x) for i, x in enumerate(p.tolist())], "drive_id string, kf_id long, px double, py double, pz double")
+    for near in (0.5, 1.0):
+        assert {r.kf_id for r in keyframes.concave_hull_keyframes(k, alpha, near=near).collect()} == want
+
+
+def test_sides_of_a_voronoi_cell():
+    axes = np.concatenate([np.eye(3), -np.eye(3)])
+    sides, reach = keyframes.voronoi_neighbours(np.concatenate([axes, 3 * axes]))
+    assert set(sides.tolist()) == set(range(6)) and abs(reach - 0.75**0.5) < 1e-9
+    sides, reach = keyframes.voronoi_neighbours(axes[[0, 1, 3, 4]])
+    assert set(sides.tolist()) == {0, 1, 2, 3} and reach == np.inf
+    assert keyframes.voronoi_neighbours(axes[:0])[1] == np.inf
+    rng = np.random.default_rng(3)
+    many = rng.normal(size=(3000, 3))
+    sides, reach = keyframes.voronoi_neighbours(many)
+    assert len(sides) < 60 and reach < 1
+    for x in rng.normal(size=(500, 3)) * reach:  # inside of the cell by all is inside by its sides
+        assert (((x - many) ** 2).sum(1) >= x @ x).all() == (((x - many[sides]) ** 2).sum(1) >= x @ x).all()
+
+
 def test_registration_by_plain_steps(spark):
     """The same steps on plain arrays: nearest neighbours by brute force, sums of every pair's own Jacobians."""
     rng = np.random.default_rng(8)
