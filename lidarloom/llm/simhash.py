@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,13 @@ ERRORS = 4
 BITS = 64
 SEED = 42
 LOWER = {k: k + 32 for k in range(65, 91)}
-#: Fingerprints that one subtrie is to hold; their number sets how many leading bits part the work.
+HALF = BITS // 2
+#: Fingerprints that one subtrie is to hold; their number sets how many leading bits part the work. Subtries of CROWDED
+#: times as many are walked in parts.
 SUBTRIE = 32768
+CROWDED = 8
+#: Subtries to walk in parts that are few enough to broadcast.
+FEW = 100_000
 #: Node pairs that are held at once, and edges that are held before they are reduced to a forest.
 PAIRS = 1 << 19
 EDGES = 1 << 20
@@ -65,17 +72,60 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return ids.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def rotated(fp: np.ndarray, side: int) -> np.ndarray:
-    """The key of trie `side`: its half of the bits first."""
-    return fp if side == 0 else (fp << np.uint64(32)) | (fp >> np.uint64(32))
+@dataclass(frozen=True)
+class Trie:
+    """An order of a fingerprint's bits: some blocks of one half, then what else that half has, then the other half.
 
+    Links whose errors are few enough in that half, and none in those blocks, are those that this trie is to find.
+    """
+
+    order: tuple[int, ...]
+    exact: int
+
+    def key(self, fp: np.ndarray) -> np.ndarray:
+        """Fingerprints with their bits in this order, the first in the highest place."""
+        out, one = np.zeros(len(fp), dtype=np.uint64), np.uint64(1)
+        for bit in self.order:
+            out = (out << one) | ((fp >> np.uint64(bit)) & one)
+        return out
+
+    def budget(self, depth: int, errors: int) -> int:
+        """Errors that a pair may have in its first depth + 1 bits."""
+        return 0 if depth < self.exact else errors // 2 if depth < HALF else errors
 
-def trie_links(a: np.ndarray, b: np.ndarray, same: bool, errors: int = ERRORS):
+
+def tries(depth: int, errors: int = ERRORS) -> list[Trie]:
+    """Tries that find all links between them, each with `depth` leading bits or more in which links don't differ.
+
+    Of the two halves one has at most half the errors. Cut into more blocks than it has errors, it has blocks without
+    any: for each choice of those there is a trie. The fewest blocks whose free ones have `depth` bits are taken, at most
+    as many as leave a bit for each.
+    """
+    most = errors // 2
+    blocks = max(most, 1)
+    while blocks < HALF and min_bits(blocks, most) < depth:
+        blocks += 1
+    out = []
+    for half in (range(BITS - 1, HALF - 1, -1), range(HALF - 1, -1, -1)):
+        other = [b for b in range(BITS - 1, -1, -1) if b not in half]
+        cut = [c.tolist() for c in np.array_split(np.array(half), blocks)]
+        for free in combinations(range(blocks), blocks - most):
+            first = [b for k in free for b in cut[k]]
+            out.append(Trie((*first, *(b for b in half if b not in first), *other), len(first)))
+    return out
+
+
+def min_bits(blocks: int, errors: int) -> int:
+    """Bits that the blocks of a half have, at least, that `errors` errors leave free."""
+    return sum(sorted(len(c) for c in np.array_split(np.arange(HALF), blocks))[: blocks - errors])
+
+
+def trie_links(a: np.ndarray, b: np.ndarray, same: bool, trie: Trie, errors: int = ERRORS):
     """Pairs of equal-or-close keys between two sorted arrays of distinct keys (the leaves of two subtries).
 
     Node pairs of the two tries are walked down together, bit by bit. A node is the range of keys below it. The bits in
-    which a pair's paths differ add up; a pair is dropped when they exceed the budget: errors in all, and half of them
-    within the first 32 bits (of two halves, one has at most half the errors, and there is a trie for either half).
+    which a pair's paths differ add up; a pair is dropped when they exceed the trie's budget at that depth: none within
+    its free blocks, half of the errors within its first half, all of them after.
     Ranges that are small enough are compared outright. At most PAIRS or so node pairs are held, depth first.
     Yields (index in a, index in b); same: a is b, and each unordered pair comes once.
     """
@@ -99,7 +149,7 @@ def trie_links(a: np.ndarray, b: np.ndarray, same: bool, errors: int = ERRORS):
         bit = np.uint64(BITS - 1 - depth)
         a_mid, b_mid = split(a, nodes[:, 0], nodes[:, 1], bit), split(b, nodes[:, 2], nodes[:, 3], bit)
         lo_a, hi_a, lo_b, hi_b, e = nodes.T
-        budget = errors // 2 if depth < 32 else errors
+        budget = trie.budget(depth, errors)
         twin = same & (lo_a == lo_b) & (hi_a == hi_b)
         children = [np.stack([lo_a, a_mid, lo_b, b_mid, e], 1), np.stack([a_mid, hi_a, b_mid, hi_b, e], 1)]
         more = e < budget
@@ -154,68 +204,61 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[out]], nodes[out]
 
 
-def linked(groups, errors: int, side: int):
-    """Forest edges of the near pairs within one task's subtrie and between it and its neighbours."""
+def linked(a: np.ndarray, b: np.ndarray, same: bool, trie: Trie, errors: int) -> pd.DataFrame:
+    """Forest edges (a, b) of the links between the fingerprints of two subtries."""
+    ka, kb = trie.key(a), trie.key(b)
+    oa, ob = np.argsort(ka), np.argsort(kb)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
-    for a, b, same in groups:
-        ra, rb = rotated(a, side), rotated(b, side)
-        oa, ob = np.argsort(ra), np.argsort(rb)
-        ra, rb = ra[oa], rb[ob]
-        for i, j in trie_links(ra, rb, same, errors):
-            held.append((a[oa[i]], b[ob[j]]))
-            n += len(i)
-            if n >= EDGES:
-                held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                n = len(held[0][0])
-    if held:
-        return forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return None
+    for i, j in trie_links(ka[oa], kb[ob], same, trie, errors):
+        held.append((a[oa[i]], b[ob[j]]))
+        n += len(i)
+        if n >= EDGES:
+            held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            n = len(held[0][0])
+    none = np.zeros(0, dtype=np.uint64)
+    x, y = forest(*(np.concatenate(v) for v in zip(*held, strict=True))) if held else (none, none)
+    return pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
 
 
 def near_links(distinct: DataFrame, errors: int = ERRORS, subtrie: int = SUBTRIE) -> DataFrame:
     """(fp long) distinct -> (a, b): links that join all fingerprints within `errors` bits of each other, as forests.
 
-    The two tries (either half of the bits first) are parted by their p leading bits into subtries. A subtrie meets
-    those whose leading bits differ in at most half the errors; each pair of subtries is walked once, where the smaller
-    prefix lives, so a fingerprint is sent to its own subtrie and to the smaller ones of the near prefixes.
+    A fingerprint goes once to each of the tries, to the subtrie of its p leading bits, in which links of that trie don't
+    differ; so a subtrie is a group of work that needs no other. With 4 errors there are 2 tries up to SUBTRIE
+    fingerprints, 6 while p is at most 10, and 30 for p = 20, at some 3 * 10^10 fingerprints. A subtrie in which very
+    many fingerprints agree is cut into parts by hash, and each two of its parts are a group.
     """
     n = distinct.count()
-    p = max(3, min(20, int(np.ceil(np.log2(max(n, 1) / subtrie))))) if n > subtrie else 0
-    masks = [m for m in range(1 << p) if 0 < bin(m).count("1") <= errors // 2] if p <= 16 else [m for k in range(p) for m in {1 << k, *((1 << k) | (1 << j) for j in range(k))}]
+    p = int(np.ceil(np.log2(n / subtrie))) if n > subtrie else 0
+    all_tries = tries(p, errors)
+    p = min(p, min(t.exact for t in all_tries))
 
     def send(batches):
         for pdf in batches:
             fp = pdf["fp"].to_numpy().view(np.uint64)
-            for side in (0, 1):
-                own = (rotated(fp, side) >> np.uint64(BITS - p)).astype(np.int64) if p else np.zeros(len(fp), dtype=np.int64)
-                yield pd.DataFrame({"side": np.int32(side), "home": own, "own": own, "fp": fp.view(np.int64)})
-                for m in masks:
-                    there = own ^ m
-                    less = there < own
-                    if less.any():
-                        yield pd.DataFrame({"side": np.int32(side), "home": there[less], "own": own[less], "fp": fp.view(np.int64)[less]})
+            for k, t in enumerate(all_tries):
+                home = (t.key(fp) >> np.uint64(BITS - p)).astype(np.int64) if p else np.zeros(len(fp), dtype=np.int64)
+                yield pd.DataFrame({"trie": np.int32(k), "home": home, "fp": fp.view(np.int64)})
 
     def meet(key, pdf):
-        side, home = int(key[0]), int(key[1])
-        own = pdf["own"].to_numpy()
-        fp = pdf["fp"].to_numpy().view(np.uint64)
-        mine = fp[own == home]
-
-        def groups():
-            yield mine, mine, True
-            other = own != home
-            if other.any():  # all neighbours in one array: they hold distinct keys
-                yield mine, fp[other], False
-
-        found = linked(groups(), errors, side)
-        if found is None:
-            return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
-        return pd.DataFrame({"a": found[0].view(np.int64), "b": found[1].view(np.int64)})
-
-    sent = distinct.select("fp").mapInPandas(send, "side int, home long, own long, fp long")
-    parts = max(16, (2 << p))
-    return sent.repartition(parts, "side", "home").groupBy("side", "home").applyInPandas(meet, "a long, b long")
+        fp, part = pdf["fp"].to_numpy().view(np.uint64), pdf["part"].to_numpy()
+        low, high = int(key[2]), int(key[3])
+        mine = fp[part == low]
+        return linked(mine, mine if low == high else fp[part == high], low == high, all_tries[int(key[0])], errors)
+
+    sent = distinct.select("fp").mapInPandas(send, "trie int, home long, fp long")
+    parts = F.lit(1)
+    if p:  # without leading bits there is one subtrie a trie, of at most `subtrie` fingerprints
+        crowded = stored(sent.groupBy("trie", "home").count().filter(F.col("count") > CROWDED * subtrie).select("trie", "home", F.ceil(F.col("count") / subtrie).alias("parts")))
+        if n_crowded := crowded.count():
+            sent = sent.join(F.broadcast(crowded) if n_crowded <= FEW else crowded, ["trie", "home"], "left")
+            parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("fp"), parts.cast("long"))
+    sent = sent.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+    sent = sent.select("trie", "home", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
+    groups = max(16, len(all_tries) << min(p, 14))
+    return sent.repartition(groups, "trie", "home", "low", "high").groupBy("trie", "home", "low", "high").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, errors: int = ERRORS, subtrie: int = SUBTRIE) -> DataFrame:

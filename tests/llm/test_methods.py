@@ -172,15 +172,42 @@ def test_trie_links_are_all_pairs():
             m = sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False))
             x.append(base ^ m)
     x = np.unique(np.array(x, dtype=np.uint64))
-    d = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
-    want = {(i, j) for i, j in zip(*np.nonzero(d), strict=True) if i < j}
-    got = set()
-    for side in (0, 1):
-        r = simhash.rotated(x, side)
-        o = np.argsort(r)
-        for i, j in simhash.trie_links(r[o], r[o], True):
-            got |= {tuple(sorted(p)) for p in zip(o[i].tolist(), o[j].tolist(), strict=True)}
-    assert got == want
+    d = np.bitwise_count(x[:, None] ^ x[None, :])
+    for errors, depth in ((4, 0), (4, 10), (4, 16), (4, 20), (3, 12), (1, 8), (0, 3)):
+        want = {(i, j) for i, j in zip(*np.nonzero(d <= errors), strict=True) if i < j}
+        got = set()
+        for trie in simhash.tries(depth, errors):
+            assert sorted(trie.order) == list(range(64)) and trie.exact >= depth
+            r = trie.key(x)
+            o = np.argsort(r)
+            for i, j in simhash.trie_links(r[o], r[o], True, trie, errors):
+                got |= {tuple(sorted(p)) for p in zip(o[i].tolist(), o[j].tolist(), strict=True)}
+        assert got == want
+    assert [len(simhash.tries(p)) for p in (0, 10, 16, 18, 20)] == [2, 6, 12, 20, 30]
+
+
+def test_crowded_subtries_are_walked_in_parts(spark, monkeypatch):
+    """Fingerprints that mostly agree in their leading bits: subtries of many times the usual size lose no link."""
+    rng = np.random.default_rng(5)
+    near = np.array([sum(1 << int(k) for k in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for _ in range(700)], dtype=np.uint64)
+    x = np.unique(np.concatenate([near, rng.integers(0, 2**63, 300).astype(np.uint64)]))
+    want = {v: v for v in x.view(np.int64).tolist()}
+
+    def root(v):
+        while want[v] != v:
+            v = want[v]
+        return v
+
+    signed = x.view(np.int64).tolist()
+    for i, j in zip(*np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4), strict=True):
+        u, v = root(signed[i]), root(signed[j])
+        want[max(u, v)] = min(u, v)
+    distinct = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for few in (simhash.FEW, 0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        links = simhash.near_links(distinct, subtrie=16)
+        got = {r.node: r.root for r in components(links).collect()}
+        assert {v: got.get(v, v) for v in signed} == {v: root(v) for v in signed}
 
 
 def test_components(spark):
