@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lidarloom.llm import mixing, packing, resemblance, rules, suffixes
+from lidarloom.llm import mixing, packing, rules, simhash_near, suffixes
 from lidarloom.llm.common import one_run, staged, table
 
 
@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays that links of five-word similarity 0.8 or more hold together: that with the smallest
-    doc_id, null last. Null, empty and blank texts are one group; repeated rows are copies."""
-    return resemblance.keep_one(docs)
+    doc_id, null last. SimHash fingerprints of five words propose the links, the texts decide. Null, empty and blank texts
+    are one group; repeated rows are copies."""
+    return simhash_near.keep_one(docs)
 
 
 @staged
