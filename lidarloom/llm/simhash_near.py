@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, with_class
 from .components import components
-from .resemblance import LEAST, ODD, WordHashes, alike, close, lowest, mixed, shingles, words_of
+from .resemblance import LEAST, LOWEST, ODD, SLACK, WordHashes, close, lowest, mixed, shingles, words_of
 from .simhash import CROWDED, FEW, SEED
 
 WORDS = 4
@@ -194,6 +194,26 @@ def first_pairs(pdf: pd.DataFrame, low: int, high: int, least: float) -> pd.Data
     return pd.concat([few, pd.DataFrame({"a": uid[more], "b": uid[by_rank[best[more]]], "w": size[more]})]).astype({"w": "Int64"})
 
 
+def filled(lowest: pd.Series) -> np.ndarray:
+    """Rows' lowest shingles, to the width of LOWEST with numbers that no shingle and no other row has."""
+    out = (1 << 32) + np.arange(len(lowest) * LOWEST, dtype=np.int64).reshape(-1, LOWEST)
+    for row, b in zip(out, lowest, strict=True):
+        own = np.frombuffer(b, "<u4")
+        row[: len(own)] = own
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """resemblance.alike for many pairs at once: whether texts of n and m shingles with these lowest ones can be near."""
+    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    same = both[:, 1:] == both[:, :-1]
+    common = same.sum(axis=1)
+    every = common >= least * (n + m - common)
+    sample = (same & (1 + np.cumsum(~same, axis=1) <= LOWEST)).sum(axis=1)
+    some = sample >= least * LOWEST - SLACK * (least * (1 - least) * LOWEST) ** 0.5
+    return np.where((n <= LOWEST) & (m <= LOWEST), every, some)
+
+
 def later_pairs(pdf: pd.DataFrame, low: int, high: int, before: list[np.ndarray], least: float, best: bool) -> pd.DataFrame:
     """Of rows with more partners the pairs (a, b, w) that links leave apart.
 
@@ -208,7 +228,7 @@ def later_pairs(pdf: pd.DataFrame, low: int, high: int, before: list[np.ndarray]
     for m, order in zip(masks, before, strict=True):
         for bit in order.tolist():
             m[bit // 64] |= np.uint64(1 << (bit % 64))
-    shingle = [] if best else [np.frombuffer(b, "<u4") for b in pdf["lowest"]]
+    shingle = None if best else filled(pdf["lowest"])
 
     def look(x: np.ndarray, y: np.ndarray) -> None:
         for i, j in met(n, fp, x, y, least):
@@ -228,8 +248,10 @@ def later_pairs(pdf: pd.DataFrame, low: int, high: int, before: list[np.ndarray]
             for m in masks:
                 ok = ((apart & m) != 0).any(axis=1)
                 i, j, apart = i[ok], j[ok], apart[ok]
-            ok = np.array([alike(shingle[p], shingle[q], int(n[p]), int(n[q]), least) for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-            held.append((i[ok], j[ok], i[ok]))
+            for some in np.array_split(np.arange(len(i)), len(i) // 2048 + 1):
+                p, q = i[some], j[some]
+                ok = alike(shingle[p], shingle[q], n[p], n[q], least)
+                held.append((p[ok], q[ok], p[ok]))
 
     more = np.zeros(len(uid), dtype=bool)
     main = root == roots[times.argmax()]

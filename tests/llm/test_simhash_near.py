@@ -113,6 +113,24 @@ def test_what_is_left_out_comes_later(crowd):
         assert len(later) == len(set(later)) and near <= set(later) <= inside
 
 
+def test_lowest_shingles_at_once():
+    """As resemblance.alike says pair by pair."""
+    rng = np.random.default_rng(4)
+    sizes = [int(x) for x in rng.choice([3, 90, 255, 256, 257, 900], 120)]
+    runs = [np.sort(rng.choice(1 << 32, 1100, replace=False)) for _ in range(2)]
+    low, n = [], []
+    for s in sizes:
+        own = np.unique(np.concatenate([rng.choice(runs[0], s * 9 // 10, replace=False) if s < 900 else runs[0][:s], rng.choice(runs[1], s // 10, replace=False)]))
+        low.append(own[: resemblance.LOWEST].astype("<u4"))
+        n.append(len(own))
+    i, j = np.triu_indices(len(n), 1)
+    held, n = simhash_near.filled(pd.Series([x.tobytes() for x in low])), np.array(n)
+    for least in (0.5, 0.8):
+        want = [resemblance.alike(low[a], low[b], int(n[a]), int(n[b]), least) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        assert simhash_near.alike(held[i], held[j], n[i], n[j], least).tolist() == want
+    assert 0 < sum(simhash_near.alike(held[i], held[j], n[i], n[j], 0.3))
+
+
 def test_driver_plans_less_than_before(spark, crowd):
     """The driver keeps the plans of jobs: the stage needs fewer than banded minima do where bands are crowded."""
     docs = spark.createDataFrame(crowd, "doc_id long, text string")
