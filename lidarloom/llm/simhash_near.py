@@ -15,7 +15,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_class
@@ -37,6 +37,8 @@ PARTNERS = 4
 #: Rows that are tried as the middle of a cluster, and rows near one that make it a cluster; rows compared at once.
 LEADERS, CLUSTER = 64, 64
 CHUNK = 256
+#: Blocks of 64 numbers, a bit each, that are few enough to broadcast.
+BLOCKS = 1 << 19
 
 
 def reach(n: np.ndarray | int, bits: int = BITS) -> np.ndarray:
@@ -270,6 +272,25 @@ def later_pairs(pdf: pd.DataFrame, low: int, high: int, before: list[np.ndarray]
     return pd.concat([near, pd.DataFrame({"a": uid[more], "b": uid[more], "w": None})]).astype({"w": "Int64"})
 
 
+def block(uid: str) -> Column:
+    return F.shiftright(uid, 6)
+
+
+def is_few(rows: DataFrame, uid: str) -> bool:
+    """Whether any choice of these rows can be broadcast by picked()."""
+    return rows.select(block(uid)).distinct().count() <= BLOCKS
+
+
+def picked(rows: DataFrame, chosen: DataFrame, uid: str, few: bool) -> DataFrame:
+    """The rows whose number is in chosen (uid, repeats allowed). If the blocks are few, chosen numbers are sent to the rows
+    as bits, so that texts stay where they are; else rows and numbers are shuffled."""
+    if not few:
+        return rows.join(chosen.distinct(), uid, "left_semi")
+    place = F.col(uid).bitwiseAND(63).cast("int")
+    bits = chosen.groupBy(block(uid).alias("__block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("__bits"))
+    return rows.join(F.broadcast(bits), (block(uid) == F.col("__block")) & (F.getbit("__bits", place) == 1), "left_semi")
+
+
 def near_groups(docs: DataFrame, least: float = LEAST, subtrie: int = SUBTRIE) -> DataFrame:
     """(uid long distinct, text) -> uid, group: the smallest uid that links of similarity `least` reach.
 
@@ -280,7 +301,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, subtrie: int = SUBTRIE) -
     """
     docs = docs.select("uid", F.col("text").cast("string").alias("text"))
     sk = stored(sketches(docs))
-    total = sk.count()
+    total, few_blocks = sk.count(), is_few(sk, "uid")
     classes = stored(sk.groupBy("h1", "h2").agg(F.min("uid").alias("class"), F.count(F.lit(1)).alias("__n")))
     of = stored(with_class(sk.select("uid", "h1", "h2"), classes, ["h1", "h2"], "__n", total).select("uid", "class"))
     one = of.filter("uid = class").select("uid")
@@ -320,8 +341,8 @@ def near_groups(docs: DataFrame, least: float = LEAST, subtrie: int = SUBTRIE) -
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        sides = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        seen = stored(close(pairs, stored(docs.join(sides, "uid", "left_semi")), least))
+        sides = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
+        seen = stored(close(pairs, stored(picked(docs, sides, "uid", few_blocks)), least))
         tried = seen if tried is None else tried.unionByName(seen)
         return stored(components(tried.filter("near").select("a", "b")))
 
@@ -337,7 +358,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, subtrie: int = SUBTRIE) -
         if rows.agg(F.min("root") == F.max("root")).first()[0] is not False:
             break
         if not best:
-            rows = rows.join(lowest(docs.join(rows.select("uid"), "uid", "left_semi")).withColumnRenamed("low", "lowest"), "uid")
+            rows = rows.join(lowest(picked(docs, rows.select("uid"), "uid", few_blocks)).withColumnRenamed("low", "lowest"), "uid")
         found = stored(dealt(rows).applyInPandas(later(best), schema))
         if not found.limit(1).count():
             break
@@ -356,4 +377,4 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     groups = near_groups(d.select(F.col("__uid").alias("uid"), F.col("__row.text").alias("text")), least)
     named = d.select("__uid", F.col("__row.doc_id").alias("__id")).join(groups.select(F.col("uid").alias("__uid"), "group"), "__uid")
     stay = named.groupBy("group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__uid"))["__uid"].alias("__uid"))
-    return d.join(stay.select("__uid"), "__uid", "left_semi").select("__row.*")
+    return picked(d, stay.select("__uid"), "__uid", is_few(d, "__uid")).select("__row.*")

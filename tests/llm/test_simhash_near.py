@@ -143,6 +143,46 @@ def test_driver_plans_less_than_before(spark, crowd):
     assert jobs[0] < jobs[1], jobs
 
 
+def test_picked_rows(spark):
+    """The chosen rows, however their numbers lie, whether they are sent as bits or shuffled."""
+    numbers = [*range(-70, 200), *(1 << k for k in range(8, 63)), (1 << 33) - 1, (1 << 33) + 63, (1 << 63) - 1, -(1 << 63)]
+    rows = spark.createDataFrame([(u, str(u)) for u in numbers], "uid long, text string")
+    want = sorted(u for k, u in enumerate(numbers) if k % 3 == 0 or k > 320)
+    chosen = spark.createDataFrame([(u,) for u in [*want, *want, 201, 1 << 40 | 1]], "uid long")
+    for few in (True, False):
+        assert sorted((r.uid, r.text) for r in simhash_near.picked(rows, chosen, "uid", few).collect()) == [(u, str(u)) for u in want]
+        assert simhash_near.picked(rows, chosen.limit(0), "uid", few).count() == 0
+    assert simhash_near.is_few(rows, "uid")
+
+
+def test_texts_without_partners_stay_where_they_are(spark, monkeypatch):
+    """Only texts that are compared are shuffled, also where nothing is small enough for Spark to broadcast by itself. With
+    too many rows for that all are, and the same rows stay."""
+    rng = np.random.default_rng(6)
+    table = [(k, " ".join(f"{x:08x}" for x in rng.integers(0, 1 << 32, 3000))) for k in range(60)]
+    table += [(100 + k, table[0][1].replace(" ", f" {k} ", 1)) for k in range(2)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, *none)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = []
+        for blocks in (simhash_near.BLOCKS, 0):
+            monkeypatch.setattr(simhash_near, "BLOCKS", blocks)
+            before = shuffled()
+            assert sorted(r.doc_id for r in simhash_near.keep_one(docs).select("doc_id", "text").collect()) == list(range(60))
+            moved.append(shuffled() - before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    of_texts = sum(len(t) for _, t in table)
+    assert moved[0] < 0.25 * of_texts < of_texts < moved[1], (moved, of_texts)
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(None, "one two three"), (4, "One two\tthree"), (4, "One two three"), (None, "x"), (7, None), (8, " \n")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash_near.keep_one(d).collect()) == ["4", "7", "None"]
