@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_class
+from .common import small_batches, stored, with_class
 from .components import components
 from .resemblance import LEAST, LOWEST, ODD, SLACK, WordHashes, close, lowest, mixed, shingles, words_of
 from .simhash import CROWDED, FEW, SEED
@@ -34,9 +34,10 @@ MISSED = 1e-6
 SUBTRIE = 16384
 #: A row with so many partners or fewer in a subtrie is looked at with all of them at once; likeliest partners after that.
 PARTNERS = 4
-#: Rows that are tried as the middle of a cluster, and rows near one that make it a cluster; rows compared at once.
+#: Rows that are tried as the middle of a cluster, and rows near one that make it a cluster; pairs compared at once, at
+#: some 130 bytes each where all of them are near.
 LEADERS, CLUSTER = 64, 64
-CHUNK = 256
+COMPARED = 1 << 18
 #: Blocks of 64 numbers, a bit each, that are few enough to broadcast.
 BLOCKS = 1 << 19
 
@@ -113,8 +114,9 @@ def met(n: np.ndarray, fp: np.ndarray, x: np.ndarray, y: np.ndarray, least: floa
         return
     same, n_y = x is y, n[y]
     rough = reach(0, 128)
-    for s in range(0, len(x), CHUNK):
-        part = x[s : s + CHUNK]
+    chunk = max(1, COMPARED // len(y))
+    for s in range(0, len(x), chunk):
+        part = x[s : s + chunk]
         lo, hi = np.searchsorted(n_y, np.floor(least * n[part[0]])), np.searchsorted(n_y, np.ceil(n[part[-1]] / least), "right")
         other = y[max(lo, s + 1) if same else lo : hi]
         d = np.bitwise_count(fp[part, 0][:, None] ^ fp[other, 0]) + np.bitwise_count(fp[part, 1][:, None] ^ fp[other, 1])
@@ -374,7 +376,8 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of each group of near-copies: that with the smallest doc_id (null last), and of rows that share it any
     one. Columns stay as they were. Null, empty and blank texts are one group; an empty table gives no rows."""
     d = stored(docs.select(F.struct("*").alias("__row"), F.monotonically_increasing_id().alias("__uid")))
-    groups = near_groups(d.select(F.col("__uid").alias("uid"), F.col("__row.text").alias("text")), least)
+    with small_batches(d.sparkSession):  # what is left for later runs no Python
+        groups = near_groups(d.select(F.col("__uid").alias("uid"), F.col("__row.text").alias("text")), least)
     named = d.select("__uid", F.col("__row.doc_id").alias("__id")).join(groups.select(F.col("uid").alias("__uid"), "group"), "__uid")
     stay = named.groupBy("group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__uid"))["__uid"].alias("__uid"))
     return picked(d, stay.select("__uid"), "__uid", is_few(d, "__uid")).select("__row.*")
