@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..operators import deskew, keyframes, observer, trajectory
 from ..params import Params
 from .ordered import ordinal
 from .recorded import query, sql_units, units
-from .registry import DAY_NS, attitudes, calibrations
+from .registry import DAY_NS, HALF_TURN, attitudes, calibrations
 from .scalar_queries import product
 
 P = Params()
@@ -45,6 +47,20 @@ def listed(columns: dict[str, str]) -> str:
 HALF = "(pose_id % 360) * 0.5 * 3.141592653589793 / 180"
 
 
+def turned_poses(t) -> DataFrame:
+    """attitudes() by the C library's cosines: turns of the limit's very 45 degrees are told by their last bit, in which
+    the JVM's differ."""
+    p = attitudes(t).drop("qw", "qz").withColumn("half", F.expr(HALF_TURN))
+
+    def run(batches):
+        for pdf in batches:
+            half = pdf["half"].tolist()
+            yield pdf.drop(columns="half").assign(qw=[math.cos(x) for x in half], qz=[math.sin(x) for x in half])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in p.dtypes if c != "half")
+    return p.mapInPandas(run, f"{kinds}, qw double, qz double")
+
+
 @query(f"""WITH RECURSIVE o AS (SELECT drive_id, pose_id, stamp_ns, px, py, cos({HALF}) AS qw, sin({HALF}) AS qz, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id) AS k FROM poses),
     r AS (SELECT drive_id, pose_id, k, [{{'x': px, 'y': py, 'w': qw, 'z': qz}}] AS kept, true AS new FROM o WHERE k = 1
         UNION ALL SELECT drive_id, pose_id, k, CASE WHEN new THEN list_append(kept, {{'x': px, 'y': py, 'w': qw, 'z': qz}}) ELSE kept END, new FROM (
@@ -54,7 +70,7 @@ HALF = "(pose_id % 360) * 0.5 * 3.141592653589793 / 180"
                     FROM r JOIN o ON o.drive_id = r.drive_id AND o.k = r.k + 1))))
     SELECT drive_id, pose_id AS scan_id, len(kept) - 1 AS kf_id FROM r WHERE new""")
 def select_keyframes(t):
-    return keyframes.select_keyframes(attitudes(t), 1.0, 45.0).select("drive_id", "scan_id", "kf_id")
+    return keyframes.select_keyframes(turned_poses(t), 1.0, 45.0).select("drive_id", "scan_id", "kf_id")
 
 
 @query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY stamp_ns, pose_id) AS k FROM poses),
