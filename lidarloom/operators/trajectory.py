@@ -14,43 +14,85 @@ from ..plans.ordered import folded, ordinal
 HOUR_NS = 3_600_000_000_000
 
 
+def turns(r: pd.Series) -> np.ndarray:
+    """Rotations in extended precision from nine numbers each, or from three: a rotation vector."""
+    v = np.array(r.to_list(), dtype=np.longdouble)
+    if v.shape[1] == 9:
+        return v.reshape(-1, 3, 3)
+    s2 = (v**2).sum(1)
+    s, tiny = np.sqrt(s2), s2 < 1e-12
+    one = np.where(tiny, 1, s)
+    a = np.where(tiny, 1 - s2 / 6, np.sin(s) / one)[:, None, None]
+    b = np.where(tiny, 0.5 - s2 / 24, (1 - np.cos(s)) / one**2)[:, None, None]
+    k = np.zeros((len(v), 3, 3), dtype=np.longdouble)
+    for i, j, c, sign in ((0, 1, 2, -1), (0, 2, 1, 1), (1, 2, 0, -1)):
+        k[:, i, j], k[:, j, i] = sign * v[:, c], -sign * v[:, c]
+    return np.eye(3, dtype=np.longdouble) + a * k + b * (k @ k)
+
+
+#: A place and a turn in extended precision as pairs of doubles.
+PARTS = ("r", "r_low", "t", "t_low")
+
+
+def in_parts(r: np.ndarray, t: np.ndarray) -> dict[str, list[list[float]]]:
+    out = {}
+    for name, v in (("r", r.reshape(len(r), 9)), ("t", t)):
+        high = v.astype(float)
+        out |= {name: high.tolist(), f"{name}_low": (v - high).astype(float).tolist()}
+    return out
+
+
+def of_parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    r, r_low, t, t_low = (np.array(pdf[c].to_list(), dtype=np.longdouble) for c in PARTS)
+    return (r + r_low).reshape(-1, 3, 3), t + t_low
+
+
+def products(r: np.ndarray, t: np.ndarray, turn: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each step set behind all before it, the first behind turn and place."""
+    rs, ts = np.empty_like(r), np.empty_like(t)
+    for i in range(len(r)):
+        place, turn = turn @ t[i] + place, turn @ r[i]
+        rs[i], ts[i] = turn, place
+    return rs, ts
+
+
 def chain_poses(steps: DataFrame, width: int = HOUR_NS) -> DataFrame:
     """steps (drive_id, scan_id, stamp_ns, r, t: this scan in the frame of the one before) -> r, t in the drive's first
-    frame, and px..qz.
+    frame, and px..qz. r: nine numbers, or three: a rotation vector, which holds a turn more exactly than its sines.
 
-    A prefix product: products within each (drive, time bucket), the buckets' totals chained per drive (a row a bucket),
-    and each row's product set behind its bucket's.
+    A prefix product: the product of each (drive, time bucket), chained per drive (a row a bucket), and each bucket's rows
+    behind the buckets before it. Small errors of a turn grow with the way behind it, so products are of extended
+    precision and rounded once, at the end.
     """
-    d = steps.withColumn("__b", F.floor(F.col("stamp_ns") / width).cast("long"))
+    d = steps.select("drive_id", F.floor(F.col("stamp_ns") / width).cast("long").alias("__b"), "scan_id", "stamp_ns", "r", "t")
     keys = f"drive_id {dict(steps.dtypes)['drive_id']}, __b long"
+    parts = f"{keys}, " + ", ".join(f"{c} array<double>" for c in PARTS)
+    start = np.eye(3, dtype=np.longdouble), np.zeros(3, dtype=np.longdouble)
 
-    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         pdf = pdf.sort_values(["stamp_ns", "scan_id"])
-        r, t, rs, ts = np.eye(3), np.zeros(3), [], []
-        for a, b in zip(pdf["r"], pdf["t"], strict=True):
-            t, r = r @ np.asarray(b) + t, r @ np.asarray(a).reshape(3, 3)
-            rs.append(r.ravel().tolist())
-            ts.append(t.tolist())
-        return pdf[["drive_id", "__b", "scan_id", "stamp_ns"]].assign(r=rs, t=ts)
+        return pdf, turns(pdf["r"]), np.array(pdf["t"].to_list(), dtype=np.longdouble)
 
-    own = d.select("drive_id", "__b", "scan_id", "stamp_ns", "r", "t").groupBy("drive_id", "__b").applyInPandas(prefix, f"{keys}, scan_id long, stamp_ns long, r array<double>, t array<double>")
-    totals = own.groupBy("drive_id", "__b").agg(F.max_by(F.struct("r", "t"), F.struct("stamp_ns", "scan_id")).alias("__x"))
-    totals = totals.select("drive_id", "__b", F.lit(0).cast("long").alias("scan_id"), F.col("__b").alias("stamp_ns"), "__x.r", "__x.t")
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, r, t = ordered(pdf)
+        r, t = products(r, t, *start)
+        return pdf[["drive_id", "__b"]].tail(1).assign(**in_parts(r[-1:], t[-1:]))
 
     def before(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__b")
-        r, t, rs, ts = np.eye(3), np.zeros(3), [], []
-        for a, b in zip(pdf["r"], pdf["t"], strict=True):
-            rs.append(r.ravel().tolist())
-            ts.append(t.tolist())
-            t, r = r @ np.asarray(b) + t, r @ np.asarray(a).reshape(3, 3)
-        return pdf[["drive_id", "__b"]].assign(__r=rs, __t=ts)
-
-    heads = totals.groupBy("drive_id").applyInPandas(before, f"{keys}, __r array<double>, __t array<double>")
-    out = own.join(heads, ["drive_id", "__b"])
-    r, t = G.se3_compose((G.items(F.col("__r"), 9), G.items(F.col("__t"), 3)), (G.items(F.col("r"), 9), G.items(F.col("t"), 3)))
-    out = out.select("drive_id", "scan_id", "stamp_ns", F.array(*r).alias("r"), F.array(*t).alias("t"))
-    return with_pose(out)
+        r, t = products(*of_parts(pdf), *start)
+        r, t = (np.concatenate([a[None], x[:-1]]) for a, x in zip(start, (r, t), strict=True))
+        return pdf[["drive_id", "__b"]].assign(**in_parts(r, t))
+
+    def behind(pdf: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
+        pdf, r, t = ordered(pdf)
+        turn, place = of_parts(head)
+        r, t = products(r, t, turn[0], place[0])
+        return pdf[["drive_id", "scan_id", "stamp_ns"]].assign(r=r.reshape(-1, 9).astype(float).tolist(), t=t.astype(float).tolist())
+
+    heads = d.groupBy("drive_id", "__b").applyInPandas(total, parts).groupBy("drive_id").applyInPandas(before, parts)
+    both = d.groupBy("drive_id", "__b").cogroup(heads.groupBy("drive_id", "__b"))
+    return with_pose(both.applyInPandas(behind, f"{keys.removesuffix(', __b long')}, scan_id long, stamp_ns long, r array<double>, t array<double>"))
 
 
 def with_pose(df: DataFrame) -> DataFrame:
