@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,118 @@ def grid_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], size: float
     return pairs.select(*on, *PAIR[:2], (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), *more)
 
 
+#: Numbers that a step over pairs holds at once.
+STEP = 1 << 18
+
+
+def cells_of(places: np.ndarray, size: float) -> np.ndarray:
+    """As points.cell(); places that are no number count as zero there too."""
+    return np.nan_to_num(np.floor(places / size), nan=0.0, posinf=2.0**63, neginf=-(2.0**63))
+
+
+class Grid:
+    """Places by cell of space, so that those in the 27 cells around a cell are nine runs of the sorted cells."""
+
+    def __init__(self, places: np.ndarray, size: float) -> None:
+        self.size = size
+        cells = cells_of(places, size)
+        self.low = cells.min(0) - 1
+        self.wide = cells.max(0) - self.low + 3  # a column on either side, so that runs never go on in the next row
+        if float(np.prod(self.wide)) >= 2.0**62:  # too far apart for one number a cell: one cell for all
+            self.low, self.wide = None, None
+            return
+        keys = self.key(cells)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def key(self, cells: np.ndarray) -> np.ndarray:
+        at = (cells - self.low).astype(np.int64)
+        wide = self.wide.astype(np.int64)
+        return (at[..., 0] * wide[1] + at[..., 1]) * wide[2] + at[..., 2]
+
+    def around(self, cell: np.ndarray) -> np.ndarray:
+        """Rows in the 27 cells, in order."""
+        rows = [np.zeros(0, dtype=np.int64)]
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                at = cell + (i, j, 0)
+                if ((at[:2] >= self.low[:2]) & (at[:2] < self.low[:2] + self.wide[:2])).all() and self.low[2] <= at[2] < self.low[2] + self.wide[2]:
+                    k = self.key(at)
+                    rows.append(self.order[slice(*np.searchsorted(self.keys, [k - 1, k + 2]))])
+        return np.sort(np.concatenate(rows))
+
+
+def meetings(left: np.ndarray, right: np.ndarray, size: float):
+    """(rows of left, rows of right): the left places of each cell in small steps, with all right places in the 27 cells
+    around."""
+    grid = Grid(right, size)
+    cells = cells_of(left, size)
+    found, of = np.unique(cells, axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(of.ravel(), minlength=len(found)))
+    for cell_, rows in zip(found, np.split(order, ends[:-1]), strict=True):
+        if grid.low is not None:
+            others = grid.around(cell_)
+        else:
+            others = np.flatnonzero((np.abs(cells_of(right, size) - cell_) <= 1).all(1))
+        if len(others):
+            for some in np.array_split(rows, len(rows) * len(others) // STEP + 1):
+                if len(some):
+                    yield some, others
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all places a to all places b, added in the order in which Spark and the SQL add."""
+    d = [a[:, None, i] - b[None, :, i] for i in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def in_cells(left: DataFrame, right: DataFrame, on: Sequence[str], size: float, search: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, point: str = "point_id", wide: int = 4, chunk: int = 1 << 14, block: int = 1 << 16) -> DataFrame:
+    """What search() gives for left points and the right points in the cells around theirs: frames of both (id and
+    places, right ones in order of id) with their places as arrays. schema: of search()'s rows, which get the columns of
+    `on` in front. No pair leaves its group, so pairs are never shuffled or sorted.
+
+    A group is a block of `wide` cells of `size` each way: its left points meet all right points in it and in the cells
+    next to it, so a right point goes to few groups (on average (1 + 2 / wide) ^ 3). Where many points crowd, groups are
+    cut into chunks of left and blocks of right points, each two of which meet; a left point then has a row of search()
+    for every block, which the caller merges.
+    """
+    kinds = dict(left.dtypes)
+
+    def celled(df: DataFrame) -> DataFrame:
+        d = df.select(*[F.col(c).alias(n) for c, n in [*zip(on, on), (point, "id"), *zip("xyz", "xyz")]]).withColumns({f"__c{c}": cell(F.col(c), size) for c in "xyz"})
+        for c in (*on, "__cx", "__cy", "__cz"):
+            d = d.filter(F.col(c).isNotNull())
+        return d
+
+    keys = [*on, "__kx", "__ky", "__kz"]
+    a, b = celled(left), celled(right)
+    for c in "xyz":
+        at = F.pmod(F.col(f"__c{c}"), F.lit(wide))
+        k = F.col(f"__c{c}") - at
+        a = a.withColumn(f"__k{c}", k)
+        b = b.withColumn(f"__k{c}", F.explode(F.array_compact(F.array(k, F.when(at == 0, k - wide), F.when(at == wide - 1, k + wide)))))
+    a, b = (d.drop("__cx", "__cy", "__cz") for d in (a, b))
+    n = lambda d, name: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = stored(n(a, "__a").join(n(b, "__b"), keys))
+    parts = lambda name, most: F.ceil(F.col(name) / most).cast("int")
+    dealt = lambda of, every: {of[0]: F.pmod(F.xxhash64("id"), of[1]).cast("int"), every[0]: F.explode(F.sequence(F.lit(0), every[1] - 1))}
+    i, j = ("__i", parts("__a", chunk)), ("__j", parts("__b", block))
+    x, y = a.join(sizes, keys).withColumns(dealt(i, j)).drop("__a", "__b"), b.join(sizes, keys).withColumns(dealt(j, i)).drop("__a", "__b")
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", {schema}"
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in (*on, *names)})
+        y = y.sort_values("id", kind="stable")
+        found = search(x, x[list("xyz")].to_numpy(float), y, y[list("xyz")].to_numpy(float))
+        return found.assign(**{c: x[c].iloc[0] for c in on})[[*on, *names]]
+
+    by = [*keys, "__i", "__j"]
+    return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInPandas(run, out)
+
+
 def nearest_of(pairs: DataFrame, on: Sequence[str], k: int, ties: bool = False) -> DataFrame:
     """The k nearest of each left row, ties to the smaller right id, with their rank. ties: all as near as the k-th."""
     w = Window.partitionBy(*on, "left_id")
@@ -140,6 +253,31 @@ def approx_knn_join(left: DataFrame, right: DataFrame, k: int, size: float | Non
     return nearest_of(grid_pairs(left, right, on, size, point), on, k)
 
 
+def radius_ends(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id") -> DataFrame:
+    """The ends of what sorted_radius() lists, without the list: on, left_id, n (how many right points have a squared
+    distance below r2), first_id and first_d2 of the nearest (ties: the smaller id), last_id and last_d2 of the farthest
+    (ties: the larger id). Left points without a match have no row. Memory and disk don't grow with the matches."""
+    kind, size = dict(right.dtypes)[point], float(np.sqrt(r2)) * (1 + 1e-12)
+
+    def search(x: pd.DataFrame, p: np.ndarray, y: pd.DataFrame, q: np.ndarray) -> pd.DataFrame:
+        found = []
+        for rows, others in meetings(p, q, size):
+            d = squared(p[rows], q[others])
+            inside = d < r2
+            n = inside.sum(1)
+            first = np.where(inside, d, np.inf).argmin(1)  # right points are in order of id
+            last = d.shape[1] - 1 - np.where(inside, d, -1.0)[:, ::-1].argmax(1)
+            i, hit = np.arange(len(rows)), n > 0
+            found.append([v[hit] for v in (rows, n, others[first], d[i, first], others[last], d[i, last])])
+        at, n, first, first_d2, last, last_d2 = (np.concatenate(v) for v in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 6
+        ids = y["id"].to_numpy()
+        return pd.DataFrame({"left_id": x["id"].to_numpy()[at], "n": n, "first_id": ids[first], "first_d2": first_d2, "last_id": ids[last], "last_d2": last_d2})
+
+    parts = in_cells(left, right, on, size, search, f"left_id {dict(left.dtypes)[point]}, n long, first_id {kind}, first_d2 double, last_id {kind}, last_d2 double", point)
+    ends = parts.groupBy(*on, "left_id").agg(F.sum("n").alias("n"), F.min(F.struct("first_d2", "first_id")).alias("first"), F.max(F.struct("last_d2", "last_id")).alias("last"))
+    return ends.select(*on, "left_id", "n", *[F.col(f"{end}.{end}_{c}").alias(f"{end}_{c}") for end in ("first", "last") for c in ("id", "d2")])
+
+
 def nn_within(left: DataFrame, right: DataFrame, distance: float, on: Sequence[str], point: str = "point_id", places: Sequence[str] = PLACES) -> DataFrame:
     """The nearest right point closer than distance; left points without one have no row. One pass, exact. places: the
     columns that hold a place."""
