@@ -250,7 +250,25 @@ def approx_knn_join(left: DataFrame, right: DataFrame, k: int, size: float | Non
         return knn_join(left, right, k, on, size, point, eps=eps)
     if size is None:
         raise ValueError("one pass needs the size of a cell")
-    return nearest_of(grid_pairs(left, right, on, size, point), on, k)
+    kind = dict(left.dtypes)[point]
+
+    def search(x: pd.DataFrame, p: np.ndarray, y: pd.DataFrame, q: np.ndarray) -> pd.DataFrame:
+        found = []
+        for rows, others in meetings(p, q, size):
+            d = squared(p[rows], q[others])
+            if d.shape[1] > k:
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                at, of = np.nonzero(~(d > kth))
+            else:
+                at, of = (v.ravel() for v in np.indices(d.shape))
+            order = np.lexsort((of, d[at, of], at))  # right points are in order of id
+            at, of = at[order], of[order]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            found.append((rows[at[first]], others[of[first]], d[at[first], of[first]]))
+        at, of, d = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"left_id": x["id"].to_numpy()[at], "right_id": y["id"].to_numpy()[of], "d2": d})
+
+    return nearest_of(in_cells(left, right, on, size, search, f"left_id {kind}, right_id {dict(right.dtypes)[point]}, d2 double", point), on, k)
 
 
 def radius_ends(left: DataFrame, right: DataFrame, r2: float, on: Sequence[str] = ("drive_id", "scan_id"), point: str = "point_id") -> DataFrame:

@@ -39,9 +39,12 @@ def test_ends_and_nearest(clouds, sizes, monkeypatch):
         inside = [(d, j) for d, j, _ in pairs if d < 2.25]
         assert got.pop(i) == (len(inside), min(inside)[1], min(inside)[0], max(inside)[1], max(inside)[0])
     assert not got
+    rows = spatial.approx_knn_join(left, right, 8, 1.5, ["scan"]).collect()
+    near = {i: sorted((d, j) for d, j, n in pairs if n)[:8] for i, pairs in want.items()}
+    assert sorted((r.left_id, r["rank"], r.d2, r.right_id) for r in rows) == sorted((i, k + 1, *v) for i, x in near.items() for k, v in enumerate(x))
 
 
-@pytest.mark.parametrize("search", [lambda c: spatial.radius_ends(c, c, 2.25, ["scan"])])
+@pytest.mark.parametrize("search", [lambda c: spatial.radius_ends(c, c, 2.25, ["scan"]), lambda c: spatial.approx_knn_join(c, c, 8, 1.5, ["scan"])])
 def test_pairs_are_not_shuffled(clouds, search):
     """No join or exchange of pairs: places meet in a cogroup, and only its rows are grouped afterwards."""
     plan = search(clouds[1])._jdf.queryExecution().optimizedPlan().toString()
@@ -51,4 +54,4 @@ def test_pairs_are_not_shuffled(clouds, search):
 def test_nothing_in_reach(spark, clouds):
     none = clouds[1].limit(0)
     for a, b in ((clouds[0], none), (none, clouds[0])):
-        assert spatial.radius_ends(a, b, 2.25, ["scan"]).count() == 0
+        assert spatial.radius_ends(a, b, 2.25, ["scan"]).count() == 0 and spatial.approx_knn_join(a, b, 8, 1.5, ["scan"]).count() == 0
