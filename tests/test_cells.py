@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lidarloom.operators import spatial
+from lidarloom.operators import keyframes, spatial
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,41 @@ def test_nothing_in_reach(spark, clouds):
     none = clouds[1].limit(0)
     for a, b in ((clouds[0], none), (none, clouds[0])):
         assert spatial.radius_ends(a, b, 2.25, ["scan"]).count() == 0 and spatial.approx_knn_join(a, b, 8, 1.5, ["scan"]).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 50, "block": 60}])
+def test_concave_hull_in_blocks(spark, sizes, monkeypatch):
+    """Neighbours of a keyframe don't leave the group of work in which they meet, also where they come in blocks."""
+    whole = keyframes.in_cells
+    monkeypatch.setattr(keyframes, "in_cells", lambda *a, **b: whole(*a, **{**b, **sizes}))
+    rng = np.random.default_rng(8)
+    p, alpha = np.concatenate([rng.uniform(0, 3, (90, 3)), rng.integers(0, 5, (40, 3)) / 4 + 2, rng.uniform(6, 9, (3, 3))]), 1.2
+    want = set()
+    for i in range(len(p)):
+        offsets = np.unique(p - p[i], axis=0)
+        d2 = (offsets**2).sum(1)
+        if keyframes.touches_empty_ball(offsets[(d2 > 0) & (d2 <= 4 * alpha**2)], alpha):
+            want.add(i)
+    assert 20 < len(want) < len(p) - 5
+    k = spark.createDataFrame([("d", i, *x) for i, x in enumerate(p.tolist())], "drive_id string, kf_id long, px double, py double, pz double")
+    hull = keyframes.concave_hull_keyframes(k, alpha)
+    assert "FlatMapCoGroupsInPandas" in hull._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.kf_id for r in hull.collect()} == want
+
+
+def test_what_directions_tell_of_balls():
+    """Neither of the two quick answers contradicts the balls."""
+    rng = np.random.default_rng(2)
+    for n in (30, 120, 900):
+        p = rng.uniform(0, 2, (n, 3)) if n < 900 else np.unique(rng.integers(0, 14, (n, 3)) / 7, axis=0)
+        inside, told = keyframes.surrounded(p, p, 0.4, 0.8), 0
+        for i in range(0, len(p), max(1, len(p) // 60)):
+            d = p - p[i]
+            d2 = (d**2).sum(1)
+            d = d[(d2 > 0) & (d2 < 2.56)]
+            room, true = keyframes.has_room(d, 0.8), keyframes.touches_empty_ball(keyframes.sides_of(d), 0.8)
+            assert not (room and not true) and not (inside[i] and true)
+            told += room or inside[i]
+        assert n < 900 or told > 30
+    assert not keyframes.has_room(np.zeros((0, 3)), 0.8) and not keyframes.touches_empty_ball(keyframes.sides_of(np.zeros((0, 3))), 0.8)
+    assert not keyframes.has_room(np.array([[1.5, 0, 0], [0, 1.5, 0.0]]), 0.8)  # balls that don't cross
