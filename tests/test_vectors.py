@@ -122,3 +122,28 @@ def test_places_by_other_names(spark):
     assert rows(spatial.radius_join(p, p, 0.5)) == rows(spatial.radius_join(q, q, 0.5, places=names))
     on = ["drive_id", "scan_id"]
     assert rows(spatial.nn_within(p, p, 0.5, on)) == rows(spatial.nn_within(q, q, 0.5, on, places=names))
+
+
+def test_a_vector_is_sent_to_few_groups(spark, monkeypatch):
+    """Vectors without structure look into nearly all cells, but are sent to a bin of cells once."""
+    x = np.random.default_rng(2).normal(size=(1500, 24)).astype(np.float32)
+    x[700:760] = x[5]
+    kept, keep = [], vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df: kept.append(keep(df)) or kept[-1])
+    got = vectors.knn_nd(frame(spark, x).withColumn("embedding", F.col("embedding").cast("array<float>")), frame(spark, x), 4, chunk=400, block=400, cells=40)
+    assert sorted((r.left_id, r.right_id, r["rank"]) for r in got.collect()) == plain(x.astype(float), x.astype(float), 4, "l2")
+    most = [df.agg(F.max(F.size("to"))).first()[0] for df in kept if "to" in df.columns]
+    assert len(most) == 2 and max(most) <= 8
+
+
+def test_candidates_hold_ties_and_odd_vectors():
+    x = np.concatenate([np.random.default_rng(3).normal(size=(60, 5)), np.ones((20, 5)), np.full((1, 5), np.nan), np.full((1, 5), 1e200)])
+    for y in (x[:80], x):
+        with np.errstate(all="ignore"):
+            d = vectors.DISTANCES["l2"](y, y)
+            found = [(r, c, v) for r, c, v in vectors.candidates(vectors.DISTANCES["l2"], y, y, 3, np.full(len(y), np.inf))]
+        rows, cols, near = (np.concatenate(z) for z in zip(*found))
+        for i in range(len(y)):
+            of = rows == i
+            order = np.lexsort((cols[of], near[of]))[:3]
+            assert cols[of][order].tolist() == np.argsort(d[i], kind="stable")[:3].tolist() and np.array_equal(near[of][order], d[i][cols[of][order]], equal_nan=True)
